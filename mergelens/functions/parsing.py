@@ -59,5 +59,5 @@ def valid_user(user: str, default: str = "User") -> Column:
 
 def split_list(text: Column) -> Column:
     """Comma-separated text to an array of trimmed, non-empty items."""
-    items = F.transform(F.split(text, ","), F.trim)
+    items = F.transform(F.split(text, ","), lambda item: F.trim(item))
     return F.filter(items, lambda item: item != "")
