@@ -250,14 +250,15 @@ def pr_defaults(spark, sf_dir):
 
 @_query
 def pr_branches(spark, sf_dir):
-    prs = _normal(spark, sf_dir).pull_requests
+    prs = load.flat_prs(_normalizer(spark, sf_dir)[2])
     sides = [F.col(f"{side}.{field}").alias(f"{side}_{field}") for side in ("base", "head") for field in ("label", "ref", "sha", "user_id", "repo_id")]
     return prs.select("number", *sides)
 
 
 @_query
 def comments_union(spark, sf_dir):
-    rows = _normal(spark, sf_dir).comments
+    norm, raw, prs = _normalizer(spark, sf_dir)
+    rows = norm.comments(raw["review_comments"], raw["issue_comments"], prs)
     return rows.select("id", "number", "type", "review_id", "in_reply_to_id", "path", "position", "body", _hour("created_at").alias("created_h"))
 
 
@@ -309,7 +310,8 @@ def users_first_seen(spark, sf_dir):
 
 @_query
 def repositories_first_seen(spark, sf_dir):
-    return _normal(spark, sf_dir).repositories.select("id", "name", "full_name", "owner_id")
+    repositories = interning.first_seen_repositories(_normalizer(spark, sf_dir)[2])
+    return repositories.select("id", "name", "full_name", "owner_id")
 
 
 @_query
