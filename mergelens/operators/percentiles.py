@@ -3,26 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mergelens.functions.times import micros_to_hours
-
 # Values are counted per minute first. A group has at most as many minutes as
 # its durations span, and a minute at most 60 million distinct microseconds, so
 # no window below sees more rows than that, whatever the group holds.
 _BUCKET_MICROS = 60_000_000
 
 
-def _ranks(total: Column, fraction: float) -> tuple[Column, Column, Column]:
-    """Position ``(n - 1) * p`` and the 0-based ranks on both sides of it."""
-    position = (total - 1) * F.lit(float(fraction))
-    low = F.floor(position)
-    return position, low, F.least(low + 1, total - 1)
-
-
 def percentile_hours(
     rows: DataFrame, keys: Sequence[str], micros: str, fractions: dict[str, float], count: str = "n"
 ) -> DataFrame:
@@ -34,54 +24,51 @@ def percentile_hours(
     exchange, the minutes holding the wanted ranks are found, and only their
     values are ordered.
     """
-    keys = list(keys)
+    group = ", ".join(f"`{key}`" for key in keys)
     counts = (
         rows.filter(F.col(micros).isNotNull())
-        .groupBy(*keys, F.floor(F.col(micros) / _BUCKET_MICROS).alias("_bucket"), F.col(micros).alias("_value"))
+        .groupBy(*keys, F.expr(f"{micros} div {_BUCKET_MICROS}").alias("_bucket"), F.col(micros).alias("_value"))
         .agg(F.count("*").alias("_n"))
     )
-    group = Window.partitionBy(*keys)
-    earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (
-        counts.groupBy(*keys, "_bucket")
-        .agg(F.sum("_n").alias("_size"))
-        .withColumns(
-            {
-                "_before": F.coalesce(F.sum("_size").over(earlier), F.lit(0)),
-                "_total": F.sum("_size").over(group),
-            }
-        )
+    # 0-based ranks on both sides of the position (n - 1) * p of each fraction.
+    names = list(fractions)
+    position = {name: f"((_total - 1) * {float(fractions[name])!r}D)" for name in names}
+    low = {name: f"floor({position[name]})" for name in names}
+    high = {name: f"least({low[name]} + 1, _total - 1)" for name in names}
+    ranks = [rank for name in names for rank in (low[name], high[name])]
+
+    buckets = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size"))
+    placed = buckets.selectExpr(
+        "*",
+        f"coalesce(sum(_size) OVER (PARTITION BY {group} ORDER BY _bucket "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before",
+        f"sum(_size) OVER (PARTITION BY {group}) AS _total",
     )
-    total = F.col("_total")
-    wanted = [rank for fraction in fractions.values() for rank in _ranks(total, fraction)[1:]]
-    holds = [(rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_size")) for rank in wanted]
     # At most two buckets per fraction remain of each group.
-    needed = buckets.filter(reduce(Column.__or__, holds)).select(
-        *[F.col(name).alias(f"_k{i}") for i, name in enumerate(keys)],
-        F.col("_bucket").alias("_kb"),
-        "_before",
-        "_total",
+    needed = placed.filter(" OR ".join(f"({rank} >= _before AND {rank} < _before + _size)" for rank in ranks))
+    needed = needed.selectExpr(
+        *[f"`{key}` AS _k{i}" for i, key in enumerate(keys)], "_bucket AS _kb", "_before", "_total"
     )
-    same = [F.col(name).eqNullSafe(F.col(f"_k{i}")) for i, name in enumerate(keys)]
-    upto = Window.partitionBy(*keys, "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.join(needed, [*same, F.col("_bucket") == F.col("_kb")]).withColumn(
-        "_end", F.col("_before") + F.sum("_n").over(upto)
+    same = " AND ".join([f"`{key}` <=> _k{i}" for i, key in enumerate(keys)] + ["_bucket = _kb"])
+    ranked = counts.join(needed, F.expr(same)).selectExpr(
+        *[f"`{key}`" for key in keys],
+        "_value",
+        "_n",
+        "_total",
+        f"_before + sum(_n) OVER (PARTITION BY {group}, _bucket ORDER BY _value "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _end",
     )
 
-    def value_at(rank: Column) -> Column:
-        covered = (rank < F.col("_end")) & (rank >= F.col("_end") - F.col("_n"))
-        return F.max(F.when(covered, F.col("_value")))
-
-    picks = [F.max("_total").alias("_total")]
-    for i, fraction in enumerate(fractions.values()):
-        _, low, high = _ranks(total, fraction)
-        picks += [value_at(low).alias(f"_low{i}"), value_at(high).alias(f"_high{i}")]
-    found = ranked.groupBy(*keys).agg(*picks)
+    def value_at(rank: str) -> str:
+        return f"max(CASE WHEN {rank} < _end AND {rank} >= _end - _n THEN _value END) / 1e6D / 3600"
 
-    results = []
-    for i, (name, fraction) in enumerate(fractions.items()):
-        position, low, high = _ranks(total, fraction)
-        low_hours, high_hours = micros_to_hours(F.col(f"_low{i}")), micros_to_hours(F.col(f"_high{i}"))
-        between = low_hours * (high - position) + high_hours * (position - low)
-        results.append(F.when(low == high, low_hours).otherwise(between).alias(name))
-    return found.select(*keys, total.alias(count), *results)
+    picks = []
+    for i, name in enumerate(names):
+        picks += [F.expr(value_at(low[name])).alias(f"_low{i}"), F.expr(value_at(high[name])).alias(f"_high{i}")]
+    found = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
+    results = [
+        f"CASE WHEN {low[name]} = {high[name]} THEN _low{i} ELSE "
+        f"_low{i} * ({high[name]} - {position[name]}) + _high{i} * ({position[name]} - {low[name]}) END AS `{name}`"
+        for i, name in enumerate(names)
+    ]
+    return found.selectExpr(*[f"`{key}`" for key in keys], f"_total AS `{count}`", *results)

@@ -18,7 +18,7 @@ HOT_ROWS = 1_000_000
 # At most so many groups are sliced. Any other group is not among the largest
 # 2,000, so it holds less than 1/2,000 of all rows and is no straggler either.
 _HOT_GROUPS = 2_000
-_TRACKED = 100_000
+_TRACKED = 20_000
 SLICE_MICROS = 60_000_000
 
 

@@ -6,7 +6,6 @@ microseconds, so that results can be compared exactly.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -24,8 +23,8 @@ from mergelens.operators.tables import PR_KEY, Tables
 from mergelens.plans import star
 from mergelens.plans.metrics import metrics
 from mergelens.plans.report import dataset_summary, report, report_items
-from mergelens.session import shared_dir
 from mergelens.sources import dump, listing, load, sinks
+from mergelens.sources.staging import Staging
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,23 +45,16 @@ def _round(column: Column) -> Column:
 
 # --- scans of a written dump ---------------------------------------------------
 
-_WRITTEN: dict[tuple[str, str], str] = {}
 
+def _scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Scan of a table of a dump on shared storage, which holds its raw payloads as JSON lines."""
 
-def _dump_path(spark: SparkSession, sf_dir: str) -> str:
-    """A dump on shared storage with the whole raw layer; written once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _WRITTEN:
-        root = f"{shared_dir(spark)}/mergelens-dumps/{uuid.uuid4().hex}/{star.DUMP}"
-        raw = star.raw_tables(spark, sf_dir)
-        sinks.append_tables({name: rows.drop("dump_id", "line_ord") for name, rows in raw.items()}, root)
-        sinks.write_manifest(spark, root, star.MANIFEST.fields)
-        _WRITTEN[key] = root
-    return _WRITTEN[key]
-
+    def land(staging: Staging) -> str:
+        root = f"{staging.path}/{star.DUMP}"
+        sinks.append_tables({name: star.raw_table(spark, sf_dir, name).drop("dump_id", "line_ord")}, root)
+        return root
 
-def _scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return dump.scan(spark, _dump_path(spark, sf_dir), name)
+    return dump.scan(spark, star.landed_once(spark, f"dump {name}", sf_dir, land), name)
 
 
 @_query
@@ -176,7 +168,7 @@ def candidate_prs(spark, sf_dir):
 
 @_query
 def parse_iso_ts(spark, sf_dir):
-    rows = star.raw_tables(spark, sf_dir)["reviews"]
+    rows = star.raw_table(spark, sf_dir, "reviews")
     parsed = parse_iso(F.col("submitted_at"))
     return rows.select(
         "id", F.unix_micros(parsed).alias("micros"), iso_text(parsed).alias("text"),
@@ -186,9 +178,10 @@ def parse_iso_ts(spark, sf_dir):
 
 @_query
 def pr_number_from_url(spark, sf_dir):
-    raw = star.raw_tables(spark, sf_dir)
     parts = [
-        raw[name].select("id", parsing.number_from_url(F.col(url)).alias("number"), parsing.repo_from_url(F.col(url)).alias("repo"))
+        star.raw_table(spark, sf_dir, name).select(
+            "id", parsing.number_from_url(F.col(url)).alias("number"), parsing.repo_from_url(F.col(url)).alias("repo")
+        )
         for name, url in (("reviews", "pull_request_url"), ("review_comments", "pull_request_url"), ("issue_comments", "issue_url"))
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -196,46 +189,51 @@ def pr_number_from_url(spark, sf_dir):
 
 @_query
 def timeline_pr_number(spark, sf_dir):
-    rows = star.raw_tables(spark, sf_dir)["timeline"]
+    rows = star.raw_table(spark, sf_dir, "timeline")
     number = parsing.number_from_timeline_url(F.col("url"))
     return rows.select("id", number.alias("number")).filter(F.col("number").isNotNull())
 
 
 @_query
 def review_state_norm(spark, sf_dir):
-    rows = star.raw_tables(spark, sf_dir)["reviews"]
+    rows = star.raw_table(spark, sf_dir, "reviews")
     return rows.select("id", parsing.review_state(F.col("state")).alias("state"))
 
 
 @_query
 def user_type_default(spark, sf_dir):
-    raw = star.raw_tables(spark, sf_dir)
-    reviewers = raw["reviews"].select("id", parsing.user_type(F.col("user.type")).alias("type"))
-    owners = raw["pull_requests"].select("id", parsing.user_type(F.col("base.repo.owner.type"), "Organization").alias("type"))
+    reviews, prs = (star.raw_table(spark, sf_dir, name) for name in ("reviews", "pull_requests"))
+    reviewers = reviews.select("id", parsing.user_type(F.col("user.type")).alias("type"))
+    owners = prs.select("id", parsing.user_type(F.col("base.repo.owner.type"), "Organization").alias("type"))
     return reviewers.unionByName(owners)
 
 
-def _normal(spark: SparkSession, sf_dir: str, **options) -> Tables:
-    return load.canonical(star.raw_tables(spark, sf_dir), star.MANIFEST, star.MANIFEST.frame(spark), **options)
+def _normal(spark: SparkSession, sf_dir: str, prune: bool = False) -> Tables:
+    """Canonical tables loaded from the raw layer; landed once per session."""
+
+    def land(staging: Staging) -> Tables:
+        raw = star.raw_tables(spark, sf_dir)
+        return load.canonical(raw, star.MANIFEST, star.MANIFEST.frame(spark), prune=prune, staging=staging)
+
+    return star.landed_once(spark, f"normal {prune}", sf_dir, land)
 
 
-def _normalizer(spark: SparkSession, sf_dir: str):
+def _normal_prs(spark: SparkSession, sf_dir: str) -> tuple[load.Normalizer, DataFrame]:
     norm = load.Normalizer(star.MANIFEST)
-    raw = star.raw_tables(spark, sf_dir)
-    return norm, raw, norm.pull_requests(raw["pull_requests"])
+    return norm, norm.pull_requests(star.raw_table(spark, sf_dir, "pull_requests"))
 
 
 @_query
 def commit_committer(spark, sf_dir):
-    norm, raw, prs = _normalizer(spark, sf_dir)
-    rows = norm.commits(raw["commits"], prs)
+    norm, prs = _normal_prs(spark, sf_dir)
+    rows = norm.commits(star.raw_table(spark, sf_dir, "commits"), prs)
     return rows.select("sha", F.col("author.login").alias("author"), F.col("committer.login").alias("committer"))
 
 
 @_query
 def commit_required_fields(spark, sf_dir):
-    norm, raw, prs = _normalizer(spark, sf_dir)
-    rows = norm.usable_commits(norm.commits(raw["commits"], prs))
+    norm, prs = _normal_prs(spark, sf_dir)
+    rows = norm.usable_commits(norm.commits(star.raw_table(spark, sf_dir, "commits"), prs))
     return rows.select("sha", "number", "message", _hour("date").alias("date_h"), "idx")
 
 
@@ -244,21 +242,22 @@ _COUNTERS = ("commits", "additions", "deletions", "changed_files", "comments", "
 
 @_query
 def pr_defaults(spark, sf_dir):
-    _, _, prs = _normalizer(spark, sf_dir)
+    _, prs = _normal_prs(spark, sf_dir)
     return prs.select("number", "merged", *_COUNTERS)
 
 
 @_query
 def pr_branches(spark, sf_dir):
-    prs = load.flat_prs(_normalizer(spark, sf_dir)[2])
+    prs = load.flat_prs(_normal_prs(spark, sf_dir)[1])
     sides = [F.col(f"{side}.{field}").alias(f"{side}_{field}") for side in ("base", "head") for field in ("label", "ref", "sha", "user_id", "repo_id")]
     return prs.select("number", *sides)
 
 
 @_query
 def comments_union(spark, sf_dir):
-    norm, raw, prs = _normalizer(spark, sf_dir)
-    rows = norm.comments(raw["review_comments"], raw["issue_comments"], prs)
+    norm, prs = _normal_prs(spark, sf_dir)
+    raw = [star.raw_table(spark, sf_dir, name) for name in ("review_comments", "issue_comments")]
+    rows = norm.comments(*raw, prs)
     return rows.select("id", "number", "type", "review_id", "in_reply_to_id", "path", "position", "body", _hour("created_at").alias("created_h"))
 
 
@@ -310,7 +309,7 @@ def users_first_seen(spark, sf_dir):
 
 @_query
 def repositories_first_seen(spark, sf_dir):
-    repositories = interning.first_seen_repositories(_normalizer(spark, sf_dir)[2])
+    repositories = interning.first_seen_repositories(_normal_prs(spark, sf_dir)[1])
     return repositories.select("id", "name", "full_name", "owner_id")
 
 

@@ -7,8 +7,10 @@ so that equal times are common.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import reduce
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,9 @@ from mergelens.operators.tables import Tables
 from mergelens.session import configure
 from mergelens.sources import schemas
 from mergelens.sources.manifest import Manifest
+from mergelens.sources.staging import Staging
+
+T = TypeVar("T")
 
 DUMP = "star"
 START, END = "1996-01-01T00:00:00Z", "2000-12-31T00:00:00Z"
@@ -67,8 +72,23 @@ def pr_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("closed_h", F.coalesce("merged_h", open_end))
 
 
+_LANDED: dict[tuple, object] = {}
+
+
+def landed_once(spark: SparkSession, what: str, sf_dir: str, land: Callable[[Staging], T]) -> T:
+    """Result of ``land``, which writes tables on shared storage, once per session."""
+    key = (spark.sparkContext.applicationId, what, sf_dir)
+    if key not in _LANDED:
+        _LANDED[key] = land(Staging(configure(spark)))
+    return _LANDED[key]
+
+
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item: id, number, author_id, actor_id, ts_h and flags."""
+    """One row per line item: id, number, author_id, actor_id, ts_h and flags; landed."""
+    return landed_once(spark, "activity", sf_dir, lambda staging: staging.table("activity", _activity(spark, sf_dir)))
+
+
+def _activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     prs = pr_rows(spark, sf_dir).select("number", "author_id", "created_h", "repo_id")
     within = Window.partitionBy("l_orderkey").orderBy(
@@ -199,7 +219,19 @@ def all_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def canonical_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """Canonical tables inside the window, children of present pull requests only."""
+    """Canonical tables inside the window, children of present pull requests only.
+
+    Landed as parquet by the tables' own sink, as a load job leaves them.
+    """
+
+    def land(staging: Staging) -> Tables:
+        _windowed(spark, sf_dir).write(staging.path)
+        return Tables.read(spark, staging.path)
+
+    return landed_once(spark, "canonical", sf_dir, land)
+
+
+def _windowed(spark: SparkSession, sf_dir: str) -> Tables:
     every = all_tables(spark, sf_dir)
     prs = clip(every.pull_requests, "created_at", MANIFEST)
 
@@ -325,80 +357,101 @@ def raw_pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Raw payload tables of one dump, with the irregularities of real dumps."""
-    act = activity(spark, sf_dir)
-    ident, number, ts = F.col("id"), F.col("number"), F.col("ts_h")
-    actor = _user(F.col("actor_id"), ident % 11 == 0)
+def _actor() -> Column:
+    return _user(F.col("actor_id"), F.col("id") % 11 == 0)
+
+
+def _raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ident, ts = F.col("id"), F.col("ts_h")
     state = (
         F.when(F.col("line") == 7, "DISMISSED")
         .when(F.col("flag") == "A", "APPROVED")
         .when(F.col("flag") == "R", "CHANGES_REQUESTED")
         .otherwise("COMMENTED")
     )
-    reviews = _payload(
-        review_rows(act),
+    return _payload(
+        review_rows(activity(spark, sf_dir)),
         "reviews",
         ident,
         id=ident,
-        user=actor,
+        user=_actor(),
         body=F.lit("text"),
         state=state,
         submitted_at=F.when(ident % 2 == 0, _text(ts)).otherwise(_offset_text(ts)),
-        pull_request_url=_url("pulls", number),
-    )
-    no_author = F.struct(
-        F.when(ident % 17 != 0, _text(ts)).alias("date"),
+        pull_request_url=_url("pulls", F.col("number")),
     )
-    commits = _payload(
-        commit_rows(act),
+
+
+def _raw_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits, some without date, message, author, committer or number."""
+    ident = F.col("id")
+    date = F.struct(F.when(ident % 17 != 0, _text(F.col("ts_h"))).alias("date"))
+    return _payload(
+        commit_rows(activity(spark, sf_dir)),
         "commits",
         ident,
         sha=F.concat(F.lit("sha"), ident.cast("string")),
-        commit=F.struct(F.when(ident % 13 != 0, "fix").otherwise("").alias("message"), no_author.alias("author")),
+        commit=F.struct(F.when(ident % 13 != 0, "fix").otherwise("").alias("message"), date.alias("author")),
         author=F.when(ident % 19 != 0, _user(F.col("user_id"), ident % 11 == 0)),
         committer=F.when(ident % 3 != 0, _user(F.col("actor_id"))),
-        pull_request_number=F.when(ident % 23 != 0, number),
+        pull_request_number=F.when(ident % 23 != 0, F.col("number")),
         idx=F.col("line") - 1,
         repository=F.concat(F.lit("org/repo"), F.col("repo_id").cast("string")),
     )
-    comments = comment_rows(act)
-    review_comments = _payload(
-        comments.filter(F.col("type") == "review"),
+
+
+def _raw_review_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ident, ts = F.col("id"), F.col("ts_h")
+    return _payload(
+        comment_rows(activity(spark, sf_dir)).filter(F.col("type") == "review"),
         "review_comments",
         ident,
         id=ident,
-        user=actor,
+        user=_actor(),
         body=F.lit("inline"),
         created_at=_text(ts),
         updated_at=_text(ts + 1),
-        pull_request_url=_url("pulls", number),
+        pull_request_url=_url("pulls", F.col("number")),
         pull_request_review_id=F.col("review_id"),
         path=F.col("path"),
         position=F.col("line"),
     )
-    issue_comments = _payload(
-        comments.filter(F.col("type") == "issue"),
+
+
+def _raw_issue_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ident = F.col("id")
+    return _payload(
+        comment_rows(activity(spark, sf_dir)).filter(F.col("type") == "issue"),
         "issue_comments",
         ident,
         id=ident,
-        user=actor,
+        user=_actor(),
         body=F.lit("thread"),
-        created_at=_text(ts),
-        issue_url=_url("issues", number),
+        created_at=_text(F.col("ts_h")),
+        issue_url=_url("issues", F.col("number")),
     )
-    timeline = _payload(
-        timeline_rows(act),
+
+
+def _raw_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events; those of line 7 have a URL without the pull request's number."""
+    ident = F.col("id")
+    of_pr = _url("issues", F.col("number"), "/timeline/")
+    return _payload(
+        timeline_rows(activity(spark, sf_dir)),
         "timeline",
         ident,
         id=ident,
-        url=F.when(F.col("line") == 7, _url("issues", "events/", ident)).otherwise(_url("issues", number, "/timeline/")),
+        url=F.when(F.col("line") == 7, _url("issues", "events/", ident)).otherwise(of_pr),
         event=F.col("event"),
-        actor=F.when(ident % 29 != 0, actor),
-        created_at=F.when(ident % 31 != 0, _text(ts)),
+        actor=F.when(ident % 29 != 0, _actor()),
+        created_at=F.when(ident % 31 != 0, _text(F.col("ts_h"))),
     )
-    files = _payload(
-        file_rows(act),
+
+
+def _raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("number")
+    return _payload(
+        file_rows(activity(spark, sf_dir)),
         "files",
         number,
         sha=F.concat(F.lit("blob"), number.cast("string"), F.col("filename")),
@@ -410,15 +463,26 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         pull_request_number=number,
         repository=F.concat(F.lit("org/repo"), (number % 5).cast("string")),
     )
-    return {
-        "pull_requests": raw_pull_requests(spark, sf_dir),
-        "reviews": reviews,
-        "review_comments": review_comments,
-        "issue_comments": issue_comments,
-        "commits": commits,
-        "files": files,
-        "timeline": timeline,
-    }
+
+
+_RAW = {
+    "pull_requests": raw_pull_requests,
+    "reviews": _raw_reviews,
+    "review_comments": _raw_review_comments,
+    "issue_comments": _raw_issue_comments,
+    "commits": _raw_commits,
+    "files": _raw_files,
+    "timeline": _raw_timeline,
+}
+
+
+def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One raw payload table, with the irregularities of real dumps."""
+    return _RAW[name](spark, sf_dir)
+
+
+def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {name: raw_table(spark, sf_dir, name) for name in _RAW}
 
 
 def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -426,17 +490,16 @@ def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     An order has at most a few dozen line items, so the arrays are short.
     """
-    raw = raw_tables(spark, sf_dir)
     number = F.col("pull_request_number")
     url_number = F.substring_index("pull_request_url", "/", -1).cast("long")
 
     def nested(name: str, key: Column) -> DataFrame:
         columns = schemas.RAW[name].fieldNames()
-        rows = raw[name].select(key.alias("key"), F.col("line_ord").alias("ord"), F.struct(*columns).alias("row"))
+        rows = raw_table(spark, sf_dir, name).select(key.alias("key"), F.col("line_ord").alias("ord"), F.struct(*columns).alias("row"))
         ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "row"))), lambda pair: pair["row"])
         return rows.filter(F.col("key").isNotNull()).groupBy("key").agg(ordered.alias(name))
 
-    heads = raw["pull_requests"].filter(F.col("line_ord") < SECOND_COPY)
+    heads = raw_table(spark, sf_dir, "pull_requests").filter(F.col("line_ord") < SECOND_COPY)
     columns = schemas.RAW["pull_requests"].fieldNames()
     records = heads.select(F.col("number").alias("key"), F.struct(*columns).alias("pull_request"))
     parts = [nested("commits", number), nested("files", number), nested("reviews", url_number)]
