@@ -36,6 +36,16 @@ class Checks:
         )
         return rows.filter(passed)
 
+    def value(self, column: Column, source: str, reason: str) -> Column:
+        """The column, failing where it is null unless bad rows are set aside.
+
+        The failure sits in the value and not only in a filter, as a filter could
+        be placed behind one that drops nulls.
+        """
+        if self.quarantines:
+            return column
+        return F.coalesce(column, F.raise_error(F.lit(f"{source}: {reason}")))
+
     @property
     def set_aside(self) -> DataFrame | None:
         if not self._set_aside:

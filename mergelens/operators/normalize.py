@@ -63,6 +63,15 @@ class Normalizer:
             raw = self.checks.require(raw, source, "not JSON", F.col(CORRUPT).isNull())
         return raw.drop(CORRUPT)
 
+    def _complete(self, rows: DataFrame, source: str, *names: str) -> DataFrame:
+        """Rows with a readable value in each of the named columns."""
+        for name in names:
+            reason = f"no usable {name}"
+            rows = rows.withColumn(name, self.checks.value(F.col(name), source, reason))
+            if self.checks.quarantines:
+                rows = self.checks.require(rows, source, reason, F.col(name).isNotNull())
+        return rows
+
     def _linked_child(self, rows: DataFrame, source: str, prs: DataFrame, user: str) -> DataFrame:
         """Children of known pull requests, each with a valid user."""
         linked = of_known_prs(rows, prs)
@@ -78,12 +87,7 @@ class Normalizer:
         lines = self._lines(raw, "pull_requests").withColumns(
             {name: parse_iso(F.col(name)) for name in ("created_at", "updated_at", "closed_at", "merged_at")}
         )
-        lines = self.checks.require(
-            lines,
-            "pull_requests",
-            "no number or creation time",
-            F.col("number").isNotNull() & F.col("created_at").isNotNull(),
-        )
+        lines = self._complete(lines, "pull_requests", "number", "created_at")
         lines = clip(lines, "created_at", self.windows)
         usable = parsing.valid_user("user") & F.col("state").isin(*fixed.PR_STATES)
         lines = self.checks.require(lines, "pull_requests", "no valid user or state", usable)
@@ -104,10 +108,8 @@ class Normalizer:
             F.col("state").alias("raw_state"),
             parse_iso(F.col("submitted_at")).alias("submitted_at"),
         )
-        rows = self.checks.require(rows, "reviews", "no submission time", F.col("submitted_at").isNotNull())
+        rows = self._complete(rows, "reviews", "submitted_at", "number", "raw_state", "id")
         rows = clip(rows, "submitted_at", self.windows)
-        complete = F.col("number").isNotNull() & F.col("raw_state").isNotNull() & F.col("id").isNotNull()
-        rows = self.checks.require(rows, "reviews", "no number, id or state", complete)
         rows = self._linked_child(rows, "reviews", prs, "user")
         return rows.withColumn("state", parsing.review_state(F.col("raw_state"))).drop("raw_state")
 
@@ -131,7 +133,7 @@ class Normalizer:
             parse_iso(date).alias("date"),
             "idx",
         )
-        rows = self.checks.require(rows, "commits", "malformed date", F.col("date").isNotNull())
+        rows = self._complete(rows, "commits", "date")
         rows = clip(rows, "date", self.windows)
         return without_link(of_known_prs(rows, prs)).filter(F.col("author").isNotNull())
 
@@ -181,8 +183,7 @@ class Normalizer:
             parse_iso(F.col("updated_at")).alias("updated_at"),
             *[value.alias(name) for name, value in kind.items()],
         )
-        dated = F.col("number").isNotNull() & F.col("created_at").isNotNull()
-        rows = self.checks.require(rows, source, "no number or creation time", dated)
+        rows = self._complete(rows, source, "number", "created_at")
         return clip(rows, "created_at", self.windows)
 
     def timeline(self, raw: DataFrame, prs: DataFrame) -> DataFrame:
@@ -209,7 +210,7 @@ class Normalizer:
             "html_url",
         ).filter(F.col("number").isNotNull() & F.col("created_text").isNotNull())
         rows = rows.withColumn("created_at", parse_iso(F.col("created_text"))).drop("created_text")
-        rows = self.checks.require(rows, "timeline", "malformed time", F.col("created_at").isNotNull())
+        rows = self._complete(rows, "timeline", "created_at")
         rows = clip(rows, "created_at", self.windows)
         return without_link(of_known_prs(rows, prs)).filter(parsing.valid_user("actor"))
 
