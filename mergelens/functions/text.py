@@ -5,30 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPLITTER = float(2**27 + 1)
+_SPLITTER = 2**27 + 1
 
 
-def decimals(value: Column, places: int) -> Column:
-    """``value`` with a fixed number of decimals (1 to 3), for magnitudes below 1e12.
+def decimals_sql(name: str, places: int) -> str:
+    """SQL text of ``name`` with a fixed number of decimals (1 to 3), below 1e12.
 
     ``format_string`` rounds the shortest decimal text half up, so 0.125 would
     become 0.13. Here the product with the power of ten is kept exact as a sum
     ``high + low`` of doubles and its fraction is compared with one half.
     """
-    scale = float(10**places)
-    size = F.abs(value)
-    upper = size * _SPLITTER - (size * _SPLITTER - size)
-    high = size * scale
-    low = (upper * scale - high) + (size - upper) * scale
-    whole = F.floor(high)
-    beyond_half = (high - whole - 0.5) + low
-    odd = F.pmod(whole, F.lit(2)) == 1
-    units = whole + F.when((beyond_half > 0) | ((beyond_half == 0) & odd), 1).otherwise(0)
-    sign = F.when(value < 0, "-").otherwise("")
-    step = F.lit(10**places).cast("long")
-    return F.concat(
-        sign,
-        F.floor(units / step).cast("string"),
-        F.lit("."),
-        F.lpad(F.pmod(units, step).cast("string"), places, "0"),
+    step = 10**places
+    size = f"abs({name})"
+    upper = f"({size} * {_SPLITTER}D - ({size} * {_SPLITTER}D - {size}))"
+    high = f"({size} * {step}D)"
+    low = f"(({upper} * {step}D - {high}) + ({size} - {upper}) * {step}D)"
+    whole = f"floor({high})"
+    beyond_half = f"(({high} - {whole} - 0.5D) + {low})"
+    up = f"({beyond_half} > 0 OR ({beyond_half} = 0 AND {whole} % 2 = 1))"
+    units = f"({whole} + CASE WHEN {up} THEN 1 ELSE 0 END)"
+    return (
+        f"concat(CASE WHEN {name} < 0 THEN '-' ELSE '' END, {units} div {step}, '.', "
+        f"lpad(cast({units} % {step} AS string), {places}, '0'))"
     )
+
+
+def decimals(name: str, places: int) -> Column:
+    """The column ``name`` as text, see ``decimals_sql``."""
+    return F.expr(decimals_sql(name, places))

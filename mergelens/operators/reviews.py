@@ -31,7 +31,7 @@ def path_matches(comments: DataFrame, reviews: DataFrame, files: DataFrame) -> D
         .distinct()
     )
     keyed = paths.join(reviews.select(*PR_KEY, F.col("id").alias("review_id")), ["dump_id", "review_id"])
-    changed = files.select(*PR_KEY, F.col("filename").alias("path")).distinct()
+    changed = files.select(*PR_KEY, F.col("filename").alias("path"))
     return keyed.join(changed, [*PR_KEY, "path"], "left_semi").select("dump_id", "review_id").distinct()
 
 
@@ -123,12 +123,15 @@ def review_facts(tables: Tables, hot_rows: int | None = None) -> DataFrame:
     """Every review with what followed it.
 
     Columns: key, id, user_login, state, submitted_at, is_change_request,
-    effective, updated_after_review, merged_after_review.
+    effective, updated_after_review, merged_after_review; and for response times
+    pr_author, merged, created_at of the pull request, at_micros, next_commit.
     """
+    answer = ("pr_author", "merged", "created_at", "at_micros", "next_commit")
     followed = with_followups(tables.reviews, tables, hot_rows=hot_rows)
     events = followed.join(last_events(tables.timeline), PR_KEY, "left")
     flagged = events.select(
         *REVIEW_COLUMNS,
+        *answer,
         answered_in_time().alias("answered"),
         updated_after().alias("updated_after_review"),
         merged_after().alias("merged_after_review"),
@@ -142,6 +145,7 @@ def review_facts(tables: Tables, hot_rows: int | None = None) -> DataFrame:
         (F.col("is_change_request") & F.col("answered") & on_path).alias("effective"),
         "updated_after_review",
         "merged_after_review",
+        *answer,
     )
 
 

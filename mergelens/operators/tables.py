@@ -27,6 +27,8 @@ class Tables:
     repositories: DataFrame | None = None
     manifests: DataFrame | None = None
     quarantine: DataFrame | None = None
+    # What followed each review, if already worked out and landed.
+    review_facts: DataFrame | None = None
 
     def write(self, path: str, mode: str = "errorifexists") -> None:
         """Land the tables as parquet below ``path``, one folder per table.

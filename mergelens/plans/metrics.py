@@ -15,12 +15,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergelens.functions import fixed
-from mergelens.functions.text import decimals
+from mergelens.functions.text import decimals_sql
 from mergelens.functions.times import hours_between, merge_micros, micros_between, micros_to_hours
 from mergelens.operators.interactions import breakdown, interactions, kind_counts
 from mergelens.operators.percentiles import percentile_hours
@@ -151,8 +152,12 @@ def _merge_effectiveness_items(tables: Tables, subjects: DataFrame) -> DataFrame
 # --- review leverage ---------------------------------------------------------
 
 
+def _facts(tables: Tables) -> DataFrame:
+    return review_facts(tables) if tables.review_facts is None else tables.review_facts
+
+
 def _leverage(tables: Tables, subjects: DataFrame) -> DataFrame:
-    facts = user_reviews(review_facts(tables), subjects)
+    facts = user_reviews(_facts(tables), subjects)
     flags = {
         "total_reviews": F.lit(True),
         "change_requests": F.col("is_change_request"),
@@ -180,7 +185,7 @@ _LEVERAGE_COLUMNS = (
 
 
 def _leverage_items(tables: Tables, subjects: DataFrame) -> DataFrame:
-    facts = user_reviews(review_facts(tables), subjects).filter("is_change_request")
+    facts = user_reviews(_facts(tables), subjects).filter("is_change_request")
     return facts.select(
         *SUBJECT, "repo_key", "number", F.col("id").alias("review_id"), "effective", F.col("submitted_at").alias("at")
     )
@@ -190,7 +195,9 @@ def _leverage_items(tables: Tables, subjects: DataFrame) -> DataFrame:
 
 
 def _change_requests_on(tables: Tables, prs: DataFrame) -> DataFrame:
-    asks = with_change_request(tables.reviews.select("dump_id", "repo_key", "number", "id", "state"), tables.comments)
+    asks = tables.review_facts
+    if asks is None:
+        asks = with_change_request(tables.reviews.select(*PR_KEY, "id", "state"), tables.comments)
     return asks.filter("is_change_request").select(*PR_KEY).join(prs.select(*PR_KEY, *_PERIOD), PR_KEY)
 
 
@@ -249,8 +256,11 @@ def _first_review_items(tables: Tables, subjects: DataFrame) -> DataFrame:
 
 
 def _responses(tables: Tables, subjects: DataFrame) -> DataFrame:
-    formal = tables.reviews.filter(F.col("state") == fixed.CHANGES_REQUESTED)
-    followed = with_followups(formal, tables, next_review=False).filter(F.coalesce("merged", F.lit(False)))
+    formal = F.col("state") == fixed.CHANGES_REQUESTED
+    followed = tables.review_facts
+    if followed is None:
+        followed = with_followups(tables.reviews.filter(formal), tables, next_review=False)
+    followed = followed.filter(formal & F.coalesce("merged", F.lit(False)))
     owned = followed.drop("user_login").withColumnRenamed("pr_author", "user_login")
     within = of_subjects(owned, subjects, "user_login").filter(
         (F.col("start_date").isNull() | (F.col("created_at") >= F.col("start_date")))
@@ -278,63 +288,57 @@ def _response_items(tables: Tables, subjects: DataFrame) -> DataFrame:
 # --- summaries ---------------------------------------------------------------
 
 
-def _text(*parts: str | Column) -> Column:
-    return F.concat(*[F.lit(part) if isinstance(part, str) else part.cast("string") for part in parts])
-
-
-def _number(name: str, places: int = 2) -> Column:
-    return decimals(F.col(name), places)
+def _sentence(template: str, places: int = 2) -> str:
+    """SQL text of a template: ``{name}`` is a count, ``{name!r}`` a number with decimals."""
+    parts = []
+    for literal, name, _, conversion in Formatter().parse(template):
+        if literal:
+            parts.append("'" + literal + "'")
+        if name:
+            parts.append(decimals_sql(name, places) if conversion else f"cast({name} AS string)")
+    return "concat(" + ", ".join(parts) + ")"
 
 
 # Wording of the summaries.
 def _throughput_summary() -> Column:
-    return _text(
-        F.col("opened_count"), " PRs opened, ", F.col("merged_count"), " merged in window. Merge ratio: ",
-        _number("merge_ratio"),
-    )
+    return F.expr(
+        _sentence("{opened_count} PRs opened, {merged_count} merged in window. Merge ratio: {merge_ratio!r}")
+    )
 
 
 def _cycle_time_summary() -> Column:
-    return _text(
-        F.col("merged_count"), " merged PRs. Median: ", _number("median_hours"), "h, p75: ",
-        _number("p75_hours"), "h.",
-    )
+    return F.expr(_sentence("{merged_count} merged PRs. Median: {median_hours!r}h, p75: {p75_hours!r}h."))
 
 
 def _merge_effectiveness_summary() -> Column:
-    text = _text(
-        F.col("merged_pr_count"), " PRs merged, average merge time: ", _number("average_merge_time_hours", 1),
-        " hours, average back-and-forth: ", _number("average_back_and_forth", 1),
-    )
-    return F.when(F.col("merged_pr_count").isNotNull(), text).otherwise(F.lit(fixed.NO_MERGED_PRS))
+    text = _sentence(
+        "{merged_pr_count} PRs merged, average merge time: {average_merge_time_hours!r} hours, "
+        "average back-and-forth: {average_back_and_forth!r}",
+        places=1,
+    )
+    return F.coalesce(F.expr(text), F.lit(fixed.NO_MERGED_PRS))
 
 
 def _leverage_summary() -> Column:
-    text = _text(
-        F.col("total_reviews"), " PRs reviewed, ", F.col("effective_changes"),
-        " effective change requests out of ", F.col("change_requests"), " (",
-        _number("effectiveness_percentage", 1), "%). Updated after review: ", F.col("updated_after_review"),
-        ", merged after review: ", F.col("merged_after_review"),
-    )
-    return F.when(F.col("change_requests").isNotNull(), text).otherwise(F.lit(fixed.NO_CHANGE_REQUESTS))
+    text = _sentence(
+        "{total_reviews} PRs reviewed, {effective_changes} effective change requests out of {change_requests} "
+        "({effectiveness_percentage!r}%). Updated after review: {updated_after_review}, "
+        "merged after review: {merged_after_review}",
+        places=1,
+    )
+    return F.coalesce(F.expr(text), F.lit(fixed.NO_CHANGE_REQUESTS))
 
 
 def _iterations_summary() -> Column:
-    return _text(F.col("merged_prs"), " merged PRs; avg iterations: ", _number("average_iterations"))
+    return F.expr(_sentence("{merged_prs} merged PRs; avg iterations: {average_iterations!r}"))
 
 
 def _first_review_summary() -> Column:
-    return _text(
-        F.col("reviewed_prs"), " PRs reviewed; median: ", _number("median_hours"), "h, p75: ",
-        _number("p75_hours"), "h",
-    )
+    return F.expr(_sentence("{reviewed_prs} PRs reviewed; median: {median_hours!r}h, p75: {p75_hours!r}h"))
 
 
 def _response_summary() -> Column:
-    return _text(
-        F.col("samples"), " responses measured; median: ", _number("median_hours"), "h, p75: ",
-        _number("p75_hours"), "h",
-    )
+    return F.expr(_sentence("{samples} responses measured; median: {median_hours!r}h, p75: {p75_hours!r}h"))
 
 
 _ALL = (

@@ -594,7 +594,7 @@ def metric_summaries(spark, sf_dir):
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables, subjects = _of_users(spark, sf_dir)
-    return report(tables, subjects)[0]
+    return report(tables, subjects, staging=Staging(spark))[0]
 
 
 @_query

@@ -23,7 +23,7 @@ def test_number_text_rounds_like_exact_values(spark):
     values += [rng.randrange(0, 10**5) / 1000 for _ in range(3000)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for places in (1, 2, 3):
-        rows = df.select("v", decimals(F.col("v"), places).alias("t")).collect()
+        rows = df.select("v", decimals("v", places).alias("t")).collect()
         assert [r.t for r in rows] == [f"{r.v:.{places}f}" for r in rows]
 
 
@@ -42,7 +42,7 @@ EDGES = [
 @pytest.mark.parametrize("slug, cases", EDGES)
 def test_rating_edges(spark, slug, cases):
     df = spark.createDataFrame([(value,) for value, _ in cases], "v double")
-    assert [r.r for r in df.select(rating(slug, F.col("v")).alias("r")).collect()] == [r for _, r in cases]
+    assert [r.r for r in df.select(rating(slug, "v").alias("r")).collect()] == [r for _, r in cases]
 
 
 def test_report_rows(spark):
