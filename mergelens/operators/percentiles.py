@@ -25,9 +25,12 @@ def percentile_hours(
     values are ordered.
     """
     group = ", ".join(f"`{key}`" for key in keys)
+    # The join below filters null buckets; doing so here as well keeps both uses of
+    # the counts equal, so that they share one exchange.
     counts = (
-        rows.filter(F.col(micros).isNotNull())
-        .groupBy(*keys, F.expr(f"{micros} div {_BUCKET_MICROS}").alias("_bucket"), F.col(micros).alias("_value"))
+        rows.selectExpr(*[f"`{key}`" for key in keys], f"`{micros}` div {_BUCKET_MICROS} AS _bucket", f"`{micros}` AS _value")
+        .filter("_value IS NOT NULL AND _bucket IS NOT NULL")
+        .groupBy(*keys, "_bucket", "_value")
         .agg(F.count("*").alias("_n"))
     )
     # 0-based ranks on both sides of the position (n - 1) * p of each fraction.
