@@ -1,10 +1,11 @@
 """The metrics: one row per subject, and one row per item behind it.
 
-A metric is a pair of functions over (tables, subjects). Per-subject numbers are
-built from contributions: rows of (subject, numbers) from each source, plus one
-row of zeros per subject, summed by one aggregate. Subjects without activity
-keep their row, and as partial sums are taken before the exchange, a subject
-with a large share of all rows costs no more than others.
+A metric names contributions over (tables, subjects): rows of a subject and
+numbers, from each source. All contributions of all chosen metrics, the
+percentiles of their durations, and a row of nothing per subject and metric meet
+in one aggregate by metric and subject. Subjects without activity keep their row,
+and as partial sums are taken before the exchange, a subject with a large share
+of all rows costs no more than others.
 
 Lists behind a metric are item rows, not arrays: the list of one subject has no
 size limit and must not have to fit one task.
@@ -40,47 +41,81 @@ _HALVES = {"median_hours": 0.5, "p75_hours": 0.75}
 
 @dataclass(frozen=True)
 class Metric:
-    """A metric: its numbers per subject, its items, its summary text."""
+    """A metric of one's pull requests or reviews.
+
+    ``contributions`` are frames with the subject's columns and any of ``sums``.
+    ``durations`` has the subject's columns and ``micros``; its count, median and
+    p75 are then available as ``n``, ``median_hours`` and ``p75_hours``.
+    ``values`` are the details as SQL over sums and percentiles, ``summary`` is a
+    text as SQL over the details, and ``has_details`` tells whether there are any.
+    """
 
     slug: str
     name: str
-    columns: tuple[str, ...]
-    measure: Callable[[Tables, DataFrame], DataFrame]
-    items: Callable[[Tables, DataFrame], DataFrame]
-    summary: Callable[[], Column]
-    # False where the subject has no data and the metric gives no details.
-    has_details: Callable[[], Column] = lambda: F.lit(True)
-
-
-def _totals(subjects: DataFrame, sums: list[str], *contributions: DataFrame) -> DataFrame:
-    """Sum the named columns over all contributions, one row per subject."""
-    parts = [subjects.select(*SUBJECT), *[part.select(*SUBJECT, *[c for c in sums if c in part.columns]) for part in contributions]]
+    values: dict[str, str]
+    summary: str
+    sums: tuple[str, ...] = ()
+    contributions: Callable[[Tables, DataFrame], list[DataFrame]] = lambda tables, subjects: []
+    durations: Callable[[Tables, DataFrame], DataFrame] | None = None
+    items: Callable[[Tables, DataFrame], DataFrame] | None = None
+    has_details: str = "true"
+
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return tuple(self.values)
+
+    def measure(self, tables: Tables, subjects: DataFrame) -> DataFrame:
+        """One row per subject with the metric's details."""
+        return measured([self], tables, subjects).drop("metric_slug")
+
+
+def measured(chosen: list[Metric], tables: Tables, subjects: DataFrame) -> DataFrame:
+    """Details of the chosen metrics, one row per metric and subject.
+
+    Details of other metrics are null in a row.
+    """
+    keys = ["metric_slug", *SUBJECT]
+    slugs = F.array(*[F.lit(metric.slug) for metric in chosen])
+    parts = [subjects.select(F.explode(slugs).alias("metric_slug"), *SUBJECT)]
+    durations = []
+    for metric in chosen:
+        slug = F.lit(metric.slug).alias("metric_slug")
+        for part in metric.contributions(tables, subjects):
+            parts.append(part.select(slug, *SUBJECT, *[name for name in metric.sums if name in part.columns]))
+        if metric.durations is not None:
+            durations.append(metric.durations(tables, subjects).select(slug, *SUBJECT, "micros"))
+    sums = list(dict.fromkeys(name for metric in chosen for name in metric.sums))
+    if durations:
+        spans = reduce(DataFrame.unionByName, durations)
+        parts.append(percentile_hours(spans, keys, "micros", _HALVES, "n"))
+        sums += ["n", *_HALVES]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    totals = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in sums]
-    return rows.groupBy(*SUBJECT).agg(*totals)
+    totals = rows.groupBy(*keys).agg(*[F.expr(f"coalesce(sum({name}), 0)").alias(name) for name in sums])
+    details = {}
+    for metric in chosen:
+        for name, value in metric.values.items():
+            details.setdefault(name, []).append(f"WHEN '{metric.slug}' THEN {value}")
+    return totals.selectExpr(
+        *keys, *[f"CASE metric_slug {' '.join(cases)} END AS {name}" for name, cases in details.items()]
+    )
 
 
-def _ratio(part: str, whole: str) -> Column:
-    return F.coalesce(F.try_divide(F.col(part), F.col(whole)).cast("double"), F.lit(0.0))
+def _one() -> Column:
+    return F.lit(1).cast("long")
 
 
-def _hours_summary(subjects: DataFrame, durations: DataFrame, count: str) -> DataFrame:
-    """Count, median and p75 of durations; zeros for subjects without any."""
-    found = percentile_hours(durations, SUBJECT, "micros", _HALVES, count)
-    return _totals(subjects, [count, *_HALVES], found).withColumns(
-        {name: F.col(name).cast("double") for name in _HALVES}
-    )
+def _ratio(part: str, whole: str) -> str:
+    return f"coalesce(try_divide({part}, {whole}), 0D)"
 
 
 # --- pull-request throughput -------------------------------------------------
 
 
-def _throughput(tables: Tables, subjects: DataFrame) -> DataFrame:
-    one = F.lit(1).cast("long")
-    opened = user_prs(tables.pull_requests, subjects).withColumn("opened_count", one)
-    merged = user_merged_prs(tables.pull_requests, subjects).withColumn("merged_count", one)
-    totals = _totals(subjects, ["opened_count", "merged_count"], opened, merged)
-    return totals.withColumn("merge_ratio", _ratio("merged_count", "opened_count"))
+def _throughput(tables: Tables, subjects: DataFrame) -> list[DataFrame]:
+    return [
+        user_prs(tables.pull_requests, subjects).withColumn("opened_count", _one()),
+        user_merged_prs(tables.pull_requests, subjects).withColumn("merged_count", _one()),
+    ]
 
 
 def _throughput_items(tables: Tables, subjects: DataFrame) -> DataFrame:
@@ -96,10 +131,6 @@ def _merged_durations(tables: Tables, subjects: DataFrame) -> DataFrame:
     return user_merged_prs(tables.pull_requests, subjects).withColumn("micros", merge_micros())
 
 
-def _cycle_time(tables: Tables, subjects: DataFrame) -> DataFrame:
-    return _hours_summary(subjects, _merged_durations(tables, subjects), "merged_count")
-
-
 def _cycle_time_items(tables: Tables, subjects: DataFrame) -> DataFrame:
     rows = _merged_durations(tables, subjects).withColumn("hours", micros_to_hours(F.col("micros")))
     return rows.select(*SUBJECT, "repo_key", "number", "hours", "created_at", "line_ord")
@@ -108,20 +139,10 @@ def _cycle_time_items(tables: Tables, subjects: DataFrame) -> DataFrame:
 # --- merge effectiveness -----------------------------------------------------
 
 
-def _merge_effectiveness(tables: Tables, subjects: DataFrame) -> DataFrame:
+def _merge_effectiveness(tables: Tables, subjects: DataFrame) -> list[DataFrame]:
     merged = _merged_durations(tables, subjects)
-    own = merged.select(
-        *SUBJECT, F.lit(1).cast("long").alias("merged_pr_count"), micros_to_hours(F.col("micros")).alias("hours")
-    )
-    others = _merged_interactions(tables, merged).withColumn("interactions", F.lit(1).cast("long"))
-    totals = _totals(subjects, ["merged_pr_count", "hours", "interactions"], own, others)
-    any_merged = F.col("merged_pr_count") > 0
-    return totals.select(
-        *SUBJECT,
-        F.when(any_merged, F.col("merged_pr_count")).alias("merged_pr_count"),
-        F.when(any_merged, _ratio("hours", "merged_pr_count")).alias("average_merge_time_hours"),
-        F.when(any_merged, _ratio("interactions", "merged_pr_count")).alias("average_back_and_forth"),
-    )
+    own = merged.select(*SUBJECT, _one().alias("merged_pr_count"), micros_to_hours(F.col("micros")).alias("hours"))
+    return [own, _merged_interactions(tables, merged).withColumn("interactions", _one())]
 
 
 def _merged_interactions(tables: Tables, merged: DataFrame) -> DataFrame:
@@ -156,7 +177,7 @@ def _facts(tables: Tables) -> DataFrame:
     return review_facts(tables) if tables.review_facts is None else tables.review_facts
 
 
-def _leverage(tables: Tables, subjects: DataFrame) -> DataFrame:
+def _leverage(tables: Tables, subjects: DataFrame) -> list[DataFrame]:
     facts = user_reviews(_facts(tables), subjects)
     flags = {
         "total_reviews": F.lit(True),
@@ -165,23 +186,7 @@ def _leverage(tables: Tables, subjects: DataFrame) -> DataFrame:
         "updated_after_review": F.col("updated_after_review"),
         "merged_after_review": F.col("merged_after_review"),
     }
-    counted = facts.select(*SUBJECT, *[flag.cast("long").alias(name) for name, flag in flags.items()])
-    totals = _totals(subjects, list(flags), counted)
-    asked = F.col("change_requests") > 0
-    share = _ratio("effective_changes", "change_requests") * 100
-    return totals.withColumn("effectiveness_percentage", share).select(
-        *SUBJECT, *[F.when(asked, F.col(name)).alias(name) for name in _LEVERAGE_COLUMNS]
-    )
-
-
-_LEVERAGE_COLUMNS = (
-    "total_reviews",
-    "change_requests",
-    "effective_changes",
-    "effectiveness_percentage",
-    "updated_after_review",
-    "merged_after_review",
-)
+    return [facts.select(*SUBJECT, *[flag.cast("long").alias(name) for name, flag in flags.items()])]
 
 
 def _leverage_items(tables: Tables, subjects: DataFrame) -> DataFrame:
@@ -201,12 +206,9 @@ def _change_requests_on(tables: Tables, prs: DataFrame) -> DataFrame:
     return asks.filter("is_change_request").select(*PR_KEY).join(prs.select(*PR_KEY, *_PERIOD), PR_KEY)
 
 
-def _iterations(tables: Tables, subjects: DataFrame) -> DataFrame:
-    one = F.lit(1).cast("long")
+def _iterations(tables: Tables, subjects: DataFrame) -> list[DataFrame]:
     prs = user_prs(tables.pull_requests.filter("merged"), subjects)
-    asks = _change_requests_on(tables, prs).withColumn("asks", one)
-    totals = _totals(subjects, ["merged_prs", "asks"], prs.withColumn("merged_prs", one), asks)
-    return totals.select(*SUBJECT, "merged_prs", _ratio("asks", "merged_prs").alias("average_iterations"))
+    return [prs.withColumn("merged_prs", _one()), _change_requests_on(tables, prs).withColumn("asks", _one())]
 
 
 def _iterations_items(tables: Tables, subjects: DataFrame) -> DataFrame:
@@ -231,10 +233,9 @@ def _first_reviews(tables: Tables, subjects: DataFrame) -> tuple[DataFrame, Data
     return prs, found
 
 
-def _first_review_time(tables: Tables, subjects: DataFrame) -> DataFrame:
+def _first_review_times(tables: Tables, subjects: DataFrame) -> DataFrame:
     _, found = _first_reviews(tables, subjects)
-    durations = found.withColumn("micros", micros_between(F.col("created_at"), F.col("first_review_at")))
-    return _hours_summary(subjects, durations, "reviewed_prs")
+    return found.withColumn("micros", micros_between(F.col("created_at"), F.col("first_review_at")))
 
 
 def _first_review_items(tables: Tables, subjects: DataFrame) -> DataFrame:
@@ -269,10 +270,6 @@ def _responses(tables: Tables, subjects: DataFrame) -> DataFrame:
     return within.withColumn("micros", F.col("next_commit") - F.col("at_micros"))
 
 
-def _response_time(tables: Tables, subjects: DataFrame) -> DataFrame:
-    return _hours_summary(subjects, _responses(tables, subjects), "samples")
-
-
 def _response_items(tables: Tables, subjects: DataFrame) -> DataFrame:
     return _responses(tables, subjects).select(
         *SUBJECT,
@@ -288,117 +285,116 @@ def _response_items(tables: Tables, subjects: DataFrame) -> DataFrame:
 # --- summaries ---------------------------------------------------------------
 
 
-def _sentence(template: str, places: int = 2) -> str:
-    """SQL text of a template: ``{name}`` is a count, ``{name!r}`` a number with decimals."""
+def _sentence(template: str, places: int = 2, otherwise: str | None = None) -> str:
+    """SQL text of a template: ``{name}`` is a count, ``{name!r}`` a number with decimals.
+
+    Where a number is null the text is ``otherwise``.
+    """
     parts = []
     for literal, name, _, conversion in Formatter().parse(template):
         if literal:
             parts.append("'" + literal + "'")
         if name:
             parts.append(decimals_sql(name, places) if conversion else f"cast({name} AS string)")
-    return "concat(" + ", ".join(parts) + ")"
-
-
-# Wording of the summaries.
-def _throughput_summary() -> Column:
-    return F.expr(
-        _sentence("{opened_count} PRs opened, {merged_count} merged in window. Merge ratio: {merge_ratio!r}")
-    )
-
-
-def _cycle_time_summary() -> Column:
-    return F.expr(_sentence("{merged_count} merged PRs. Median: {median_hours!r}h, p75: {p75_hours!r}h."))
-
-
-def _merge_effectiveness_summary() -> Column:
-    text = _sentence(
-        "{merged_pr_count} PRs merged, average merge time: {average_merge_time_hours!r} hours, "
-        "average back-and-forth: {average_back_and_forth!r}",
-        places=1,
-    )
-    return F.coalesce(F.expr(text), F.lit(fixed.NO_MERGED_PRS))
-
-
-def _leverage_summary() -> Column:
-    text = _sentence(
-        "{total_reviews} PRs reviewed, {effective_changes} effective change requests out of {change_requests} "
-        "({effectiveness_percentage!r}%). Updated after review: {updated_after_review}, "
-        "merged after review: {merged_after_review}",
-        places=1,
-    )
-    return F.coalesce(F.expr(text), F.lit(fixed.NO_CHANGE_REQUESTS))
-
-
-def _iterations_summary() -> Column:
-    return F.expr(_sentence("{merged_prs} merged PRs; avg iterations: {average_iterations!r}"))
-
+    text = "concat(" + ", ".join(parts) + ")"
+    return f"coalesce({text}, '{otherwise}')" if otherwise else text
 
-def _first_review_summary() -> Column:
-    return F.expr(_sentence("{reviewed_prs} PRs reviewed; median: {median_hours!r}h, p75: {p75_hours!r}h"))
 
+def _if_asked(name: str) -> str:
+    return f"CASE WHEN change_requests > 0 THEN {name} END"
 
-def _response_summary() -> Column:
-    return F.expr(_sentence("{samples} responses measured; median: {median_hours!r}h, p75: {p75_hours!r}h"))
 
+_HOURS = {"median_hours": "median_hours", "p75_hours": "p75_hours"}
 
+# Names of the details and wording of the summaries.
 _ALL = (
     Metric(
         "pr_merge_effectiveness",
         fixed.METRIC_NAMES["pr_merge_effectiveness"],
-        ("merged_pr_count", "average_merge_time_hours", "average_back_and_forth"),
+        {
+            "merged_pr_count": "nullif(merged_pr_count, 0)",
+            "average_merge_time_hours": "try_divide(hours, merged_pr_count)",
+            "average_back_and_forth": "try_divide(interactions, merged_pr_count)",
+        },
+        _sentence(
+            "{merged_pr_count} PRs merged, average merge time: {average_merge_time_hours!r} hours, "
+            "average back-and-forth: {average_back_and_forth!r}",
+            places=1,
+            otherwise=fixed.NO_MERGED_PRS,
+        ),
+        ("merged_pr_count", "hours", "interactions"),
         _merge_effectiveness,
-        _merge_effectiveness_items,
-        _merge_effectiveness_summary,
-        lambda: F.col("merged_pr_count").isNotNull(),
+        items=_merge_effectiveness_items,
+        has_details="merged_pr_count IS NOT NULL",
     ),
     Metric(
         "review_leverage",
         fixed.METRIC_NAMES["review_leverage"],
-        _LEVERAGE_COLUMNS,
+        {
+            "total_reviews": _if_asked("total_reviews"),
+            "change_requests": _if_asked("change_requests"),
+            "effective_changes": _if_asked("effective_changes"),
+            "effectiveness_percentage": "try_divide(effective_changes, change_requests) * 100",
+            "updated_after_review": _if_asked("updated_after_review"),
+            "merged_after_review": _if_asked("merged_after_review"),
+        },
+        _sentence(
+            "{total_reviews} PRs reviewed, {effective_changes} effective change requests out of {change_requests} "
+            "({effectiveness_percentage!r}%). Updated after review: {updated_after_review}, "
+            "merged after review: {merged_after_review}",
+            places=1,
+            otherwise=fixed.NO_CHANGE_REQUESTS,
+        ),
+        ("total_reviews", "change_requests", "effective_changes", "updated_after_review", "merged_after_review"),
         _leverage,
-        _leverage_items,
-        _leverage_summary,
-        lambda: F.col("change_requests").isNotNull(),
+        items=_leverage_items,
+        has_details="change_requests IS NOT NULL",
     ),
     Metric(
         "pr_throughput",
         fixed.METRIC_NAMES["pr_throughput"],
-        ("opened_count", "merged_count", "merge_ratio"),
+        {
+            "opened_count": "opened_count",
+            "merged_count": "merged_count",
+            "merge_ratio": _ratio("merged_count", "opened_count"),
+        },
+        _sentence("{opened_count} PRs opened, {merged_count} merged in window. Merge ratio: {merge_ratio!r}"),
+        ("opened_count", "merged_count"),
         _throughput,
-        _throughput_items,
-        _throughput_summary,
+        items=_throughput_items,
     ),
     Metric(
         "cycle_time",
         fixed.METRIC_NAMES["cycle_time"],
-        ("merged_count", "median_hours", "p75_hours"),
-        _cycle_time,
-        _cycle_time_items,
-        _cycle_time_summary,
+        {"merged_count": "n", **_HOURS},
+        _sentence("{merged_count} merged PRs. Median: {median_hours!r}h, p75: {p75_hours!r}h."),
+        durations=_merged_durations,
+        items=_cycle_time_items,
     ),
     Metric(
         "review_iterations",
         fixed.METRIC_NAMES["review_iterations"],
-        ("merged_prs", "average_iterations"),
+        {"merged_prs": "merged_prs", "average_iterations": _ratio("asks", "merged_prs")},
+        _sentence("{merged_prs} merged PRs; avg iterations: {average_iterations!r}"),
+        ("merged_prs", "asks"),
         _iterations,
-        _iterations_items,
-        _iterations_summary,
+        items=_iterations_items,
     ),
     Metric(
         "time_to_first_review",
         fixed.METRIC_NAMES["time_to_first_review"],
-        ("reviewed_prs", "median_hours", "p75_hours"),
-        _first_review_time,
-        _first_review_items,
-        _first_review_summary,
+        {"reviewed_prs": "n", **_HOURS},
+        _sentence("{reviewed_prs} PRs reviewed; median: {median_hours!r}h, p75: {p75_hours!r}h"),
+        durations=_first_review_times,
+        items=_first_review_items,
     ),
     Metric(
         "slow_review_response",
         fixed.METRIC_NAMES["slow_review_response"],
-        ("samples", "median_hours", "p75_hours"),
-        _response_time,
-        _response_items,
-        _response_summary,
+        {"samples": "n", **_HOURS},
+        _sentence("{samples} responses measured; median: {median_hours!r}h, p75: {p75_hours!r}h"),
+        durations=_responses,
+        items=_response_items,
     ),
 )
 

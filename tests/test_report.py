@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mergelens.functions import fixed
 from mergelens.functions.text import decimals
+from mergelens.operators.subjects import user_prs
 from mergelens.plans.metrics import Metric, metrics
 from mergelens.plans.report import rating, report, report_items, write_report
 from mergelens.sources.listing import candidates, updated_between
@@ -42,7 +43,7 @@ EDGES = [
 @pytest.mark.parametrize("slug, cases", EDGES)
 def test_rating_edges(spark, slug, cases):
     df = spark.createDataFrame([(value,) for value, _ in cases], "v double")
-    assert [r.r for r in df.select(rating(slug, "v").alias("r")).collect()] == [r for _, r in cases]
+    assert [r.r for r in df.selectExpr(rating(slug, "v") + " AS r").collect()] == [r for _, r in cases]
 
 
 def test_report_rows(spark):
@@ -72,13 +73,14 @@ def test_report_without_any_known_metric(spark):
 
 
 def test_own_metric(spark):
-    def count(tables, subjects):
-        return metrics()["cycle_time"].measure(tables, subjects).withColumnRenamed("merged_count", "n")
-
-    own = Metric("own", "Own", ("n",), count, count, lambda: F.lit("mine"))
-    rows, _ = report(make_tables(spark, prs=PRS), make_subjects(spark, "alice"), ["own"], {**metrics(), "own": own})
-    row = rows.first()
-    assert (row.metric_slug, row.rating, row.summary, row.details) == ("own", "unknown", "mine", '{"n":2}')
+    def opened(tables, subjects):
+        return [user_prs(tables.pull_requests, subjects).withColumn("mine", F.lit(1))]
+
+    own = Metric("own", "Own", {"n": "mine"}, "concat('n is ', n)", ("mine",), opened)
+    tables, subjects = make_tables(spark, prs=PRS), make_subjects(spark, "alice")
+    rows, _ = report(tables, subjects, ["own", "cycle_time"], {**metrics(), "own": own})
+    row = rows.filter("metric_slug = 'own'").first()
+    assert (row.metric_name, row.rating, row.summary, row.details) == ("Own", "unknown", "n is 3", '{"n":3}')
 
 
 def test_report_files(spark, tmp_path):
