@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass, fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 # A pull request is identified within a dump by its number, as its children
@@ -45,14 +47,12 @@ class Tables:
             rows.write.mode(mode).parquet(f"{path.rstrip('/')}/{table.name}")
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str) -> Tables:
-        """Tables landed by ``write``; the optional ones only where present."""
-        from pyspark.errors import AnalysisException
-
+    def read(cls, spark: SparkSession, path: str, names: Collection[str] | None = None) -> Tables:
+        """Tables landed by ``write``: the named ones, or all that are present."""
         found = {}
-        for table in fields(cls):
+        for name in names or [table.name for table in fields(cls)]:
             try:
-                found[table.name] = spark.read.parquet(f"{path.rstrip('/')}/{table.name}")
+                found[name] = spark.read.parquet(f"{path.rstrip('/')}/{name}")
             except AnalysisException as error:
                 if error.getCondition() != "PATH_NOT_FOUND":
                     raise

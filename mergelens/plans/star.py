@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mergelens.operators.normalize import clip, of_known_prs, without_link
-from mergelens.operators.tables import Tables
+from mergelens.operators.tables import CHILDREN, Tables
 from mergelens.session import configure
 from mergelens.sources import schemas
 from mergelens.sources.manifest import Manifest
@@ -226,7 +226,7 @@ def canonical_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     def land(staging: Staging) -> Tables:
         _windowed(spark, sf_dir).write(staging.path)
-        return Tables.read(spark, staging.path)
+        return Tables.read(spark, staging.path, ["pull_requests", *CHILDREN, "manifests"])
 
     return landed_once(spark, "canonical", sf_dir, land)
 
