@@ -94,6 +94,16 @@ def test_report_files(spark, tmp_path):
     assert {json.loads(r.item)["number"]: json.loads(r.item)["hours"] for r in items} == {1: 2.0, 2: None, 3: None}
 
 
+def test_report_files_of_all_metrics(spark, tmp_path):
+    tables = make_tables(spark, prs=PRS, reviews=[(1, 1, "bob", 2, "changes_requested")], commits=[(1, "alice", 3)])
+    subjects = make_subjects(spark, "alice", "bob")
+    assert write_report(tables, subjects, str(tmp_path / "r")) == []
+    landed = spark.read.parquet(str(tmp_path / "r" / "metrics"))
+    plain = report(tables, subjects)[0]
+    assert sorted(landed.drop("start_date", "end_date").collect()) == sorted(plain.drop("start_date", "end_date").collect())
+    assert landed.count() == 14
+
+
 def test_items_of_all_metrics(spark):
     tables = make_tables(spark, prs=PRS, reviews=[(1, 1, "bob", 2, "changes_requested")], commits=[(1, "alice", 3)])
     rows = report_items(tables, make_subjects(spark, "alice", "bob")).collect()
