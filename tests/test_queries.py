@@ -5,9 +5,8 @@ from compare import connect, differences
 from conftest import SMALL
 
 import __spark_entry__ as entry_module
-
-QUERIES = entry_module.queries()
-ORACLE = entry_module.oracle_sql()
+from mergelens.plans.oracle import ORACLE
+from mergelens.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +18,8 @@ def duck():
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
