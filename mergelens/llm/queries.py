@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergelens.llm.common import staging, table
+import public_tokenizers
+
+from mergelens.llm import chat, langid, warc
+from mergelens.llm.common import crc_remainder, staging, table
 from mergelens.llm.minhash import near_duplicates
+from mergelens.llm.mixing import mix
+from mergelens.llm.packing import pack_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,8 +24,58 @@ def _query(run: Query) -> Query:
     return run
 
 
+@_query
+def op2_chat_format(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    stage = staging(spark)
+    written = stage.table("chats", chat.format_chats(turns.unionByName(more)))
+    formatted, learned = chat.formatted_text(), chat.loss_text()
+    read = written.select("conv_id", "valid", formatted.alias("formatted"), learned.alias("learned"))
+    read = read.withColumn("turns", chat.parse_turns(F.col("formatted")))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
+@_query
+def op4_vector_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op5_golden_mix(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"), staging(spark))
+
+
 @_query
 def op6_minmax_near_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = near_duplicates(docs, staging(spark), shingle=3, similarity=(17, 20))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@_query
+def op9_warc_revisits(spark, sf_dir):
+    stage = staging(spark)
+    path = f"{stage.path}/archives"
+    warc.write_archives(table(spark, sf_dir, "pages"), path, stage)
+    return warc.read_archives(spark, path)
+
+
+@_query
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = (crc_remainder("doc_id", 4) == 2).alias("held_out")
+    model = langid.train(docs.filter(~held_out))
+    return langid.predict(docs, model, ["doc_id", held_out])

@@ -31,6 +31,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _VALUE = mix(_LOWER.astype(_U) + _U(0x1234567))  # of a byte, after lower-casing
+_EXACT = mix(np.arange(256, dtype=_U) + _U(0x1234567))
 _WORD_BYTE = np.ones(256, dtype=bool)
 _WORD_BYTE[[9, 10, 11, 12, 13, 32]] = False
 _powers: list[np.ndarray] = [np.ones(0, _U), np.ones(0, _U)]
@@ -56,6 +57,16 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets.astype(np.int64), np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Hashes of the byte spans ``start`` to ``end``, in time linear in the data."""
+    n = len(data)
+    power, inverse = _power_tables(n + 1)
+    sums = np.zeros(n + 1, _U)
+    np.cumsum((_VALUE if lower else _EXACT)[data] * power[:n], out=sums[1:])
+    raw = (sums[end] - sums[start]) * inverse[start]
+    return mix(raw + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
 def _hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of the texts that ``offsets`` (from 0) cut ``data`` into, and where each text's begin."""
     n = len(data)
@@ -68,11 +79,17 @@ def _hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     last = offsets[1:][offsets[:-1] < offsets[1:]] - 1
     ends[last] = inside[1:-1][last]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power, inverse = _power_tables(n + 1)
-    sums = np.zeros(n + 1, _U)
-    np.cumsum(_VALUE[data] * power[:n], out=sums[1:])
-    raw = (sums[end] - sums[start]) * inverse[start]
-    return mix(raw + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93)), np.searchsorted(start, offsets)
+    return span_hashes(data, start, end, lower=True), np.searchsorted(start, offsets)
+
+
+def text_runs(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows of about ``most`` bytes of text, or one row if that is longer."""
+    first, rows = 0, len(offsets) - 1
+    while first < rows:
+        stop = int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1
+        stop = min(rows, max(first + 1, stop))
+        yield first, stop
+        first = stop
 
 
 def hashed_texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -81,13 +98,9 @@ def hashed_texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
     A run has about ``CHUNK_BYTES`` of text, or one row if that is longer.
     """
     offsets, data = text_buffers(column)
-    first, rows = 0, len(offsets) - 1
-    while first < rows:
-        stop = int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, side="right")) - 1
-        stop = min(rows, max(first + 1, stop))
+    for first, stop in text_runs(offsets):
         cut = offsets[first : stop + 1]
         yield first, stop, *_hash_words(data[cut[0] : cut[-1]], cut - cut[0])
-        first = stop
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
