@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from mergelens.llm import chat, langid, warc
+from mergelens.llm import chat, langid, lm, warc
 from mergelens.llm.common import crc_remainder, staging, table
 from mergelens.llm.minhash import near_duplicates
 from mergelens.llm.mixing import mix
 from mergelens.llm.packing import pack_documents
+from mergelens.llm.subspace import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +25,13 @@ def _query(run: Query) -> Query:
     return run
 
 
+@_query
+def op1_backoff_automaton(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_remainder("doc_id", 7) == 2
+    return lm.score(docs, ~held_out, staging(spark), ["doc_id", held_out.alias("held_out")])
+
+
 @_query
 def op2_chat_format(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -65,6 +73,11 @@ def op6_minmax_near_dedup(spark, sf_dir):
     return found.withColumnRenamed("id", "doc_id")
 
 
+@_query
+def op7_subspace_pigeonhole(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"), staging(spark))
+
+
 @_query
 def op9_warc_revisits(spark, sf_dir):
     stage = staging(spark)
