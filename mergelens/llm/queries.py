@@ -11,6 +11,7 @@ import public_tokenizers
 
 from mergelens.llm import chat, langid, lm, warc
 from mergelens.llm.common import crc_remainder, staging, table
+from mergelens.llm.fingerprints import fingerprint_edits
 from mergelens.llm.minhash import near_duplicates
 from mergelens.llm.mixing import mix
 from mergelens.llm.packing import pack_documents
@@ -78,6 +79,11 @@ def op7_subspace_pigeonhole(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"), staging(spark))
 
 
+@_query
+def op8_invertible_sketch(spark, sf_dir):
+    return fingerprint_edits(table(spark, sf_dir, "documents"), staging(spark))
+
+
 @_query
 def op9_warc_revisits(spark, sf_dir):
     stage = staging(spark)
