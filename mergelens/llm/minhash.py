@@ -10,7 +10,7 @@ Stages, each written to the shared folder:
 1. Signatures: set size, a 128-bit fingerprint of the whole shingle set, band keys.
 2. Classes of equal sets, by an aggregate; from here on one document stands for all.
 3. Candidates of a band bucket: every member with the bucket's smallest member and
-   with a pseudo-random one. That is linear in the bucket, whatever its size.
+   with its most popular one. That is linear in the bucket, whatever its size.
 4. Links: Jaccard of the full sets, recomputed from whole texts.
 5. Components of the links. In buckets that still hold members of different
    components, members that are in different components meet in a second round;
@@ -19,9 +19,9 @@ Stages, each written to the shared folder:
 Two texts at similarity s share no bucket with probability (1 - s^rows)^bands: for
 the defaults 5e-5 at 0.8 and 4e-7 at 0.85.
 
-Null texts and texts without a word have an empty set and link with nothing. Rows
-without id get no component and stay. Rows that share an id are one document: the
-links of each count for all. Other columns of the input are not touched.
+Null texts and texts without a word have an empty set and link with nothing. Rows without an id stay, and none stands for
+a class. Rows that share an id are
+judged by their own text. Other columns of the input are not touched.
 """
 
 from __future__ import annotations
@@ -125,6 +125,37 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
+def _still_mixed(members: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component."""
+    split = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    return members.join(split.filter("x <> y").select("key"), "key", "left_semi")
+
+
+def _bounded(mixed: DataFrame, source: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """Adds ``own``, the shingles no other member has; drops members that these alone keep from any link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            want = batch.column(0).to_pylist()
+            for first, _, hashes, bounds in hashed_texts(batch.column(1)):
+                fps, sets = [], []
+                for at, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                    found = shingle_hashes(hashes[a:b], shingle)
+                    if fingerprint(found)[0] == want[first + at]:
+                        fps.append(np.full(len(found), want[first + at]))
+                        sets.append(found.view(np.int64))
+                if fps:
+                    yield pa.RecordBatch.from_pydict({"fp": np.concatenate(fps), "shingle": np.concatenate(sets)})
+
+    nodes = mixed.select("a.fp", "a.id").distinct()
+    shingles = nodes.join(source, "id").select("fp", "text").mapInArrow(run, "fp long, shingle long").distinct()
+    single = shingles.groupBy("shingle").agg(F.count("*").alias("c"), F.min("fp").alias("fp")).filter("c = 1")
+    own = single.groupBy("fp").agg(F.count("*").alias("own"))
+    marked = mixed.withColumn("fp", F.col("a.fp")).join(own, "fp", "left").drop("fp")
+    marked = marked.withColumn("own", F.coalesce("own", F.lit(0)))
+    return marked.filter(f"(a.n - own) * {den} >= a.n * {num}")
+
+
 def near_duplicates(
     docs: DataFrame,
     stage: Staging,
@@ -151,13 +182,16 @@ def near_duplicates(
     classes = stage.table("classes", classes)
 
     members = classes.filter("id is not null").select(F.explode("bands").alias("key"), "fp", "id", "n")
+    shared = members.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     node = F.struct("fp", "id", "n")
-    centers = members.groupBy("key").agg(
-        F.min(node).alias("low"), F.min_by(node, F.xxhash64("key", "fp")).alias("any"), F.count("*").alias("m")
+    members = stage.table("members", members.join(shared, "key"))
+    # The member that shares buckets with most others is the likeliest to link with any of them.
+    popular = members.groupBy("fp").agg(F.sum("m").alias("p"))
+    ranked = members.join(popular, "fp").withColumn("node", node)
+    centers = ranked.groupBy("key").agg(
+        F.min("node").alias("low"), F.max_by("node", F.struct("p", "fp")).alias("popular")
     )
-    members = stage.table("members", members)
-    centers = centers.filter("m > 1").select("key", F.explode(F.array("low", "any")).alias("c")).distinct()
-    centers = stage.table("centers", centers)
+    centers = stage.table("centers", centers.select("key", F.explode(F.array("low", "popular")).alias("c")).distinct())
 
     def pairs(one: str, two: str):
         low_first = F.col(f"{one}.fp") < F.col(f"{two}.fp")
@@ -177,15 +211,16 @@ def near_duplicates(
     found = components(links, stage, "components-1")
 
     # Second round: buckets that still hold more than one component.
-    open_members = members.join(centers.select("key").distinct(), "key", "left_semi").join(
-        found.withColumnRenamed("id", "fp"), "fp", "left"
+    open_members = members.join(found.withColumnRenamed("id", "fp"), "fp", "left")
+    open_members = open_members.select("key", F.coalesce("component", "fp").alias("component"), node.alias("a"))
+    mixed = stage.table("mixed", _still_mixed(open_members))
+    mixed = stage.table("bounded", _still_mixed(_bounded(mixed, source, shingle, num, den)))
+    other = mixed.select("key", F.col("component").alias("component_b"), F.col("a").alias("b"), F.col("own").alias("own_b"))
+    # Shingles of one's own are in no intersection and in every union.
+    best = (
+        "least(a.n - own, b.n - own_b) * {den} >= greatest(a.n + own_b, b.n + own) * {num}".format(den=den, num=num)
     )
-    open_members = stage.table("open", open_members.withColumn("component", F.coalesce("component", "fp")))
-    split = open_members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    mixed = open_members.join(split.filter("x <> y").select("key"), "key", "left_semi")
-    mixed = stage.table("mixed", mixed.select("key", "component", node.alias("a")))
-    other = mixed.select("key", F.col("component").alias("component_b"), F.col("a").alias("b"))
-    second = mixed.join(other, "key").filter("component < component_b").filter(near).select(*pairs("a", "b")).distinct()
+    second = mixed.join(other, "key").filter("component < component_b").filter(best).select(*pairs("a", "b")).distinct()
     second = stage.table("pairs-2", second.join(first, ["a", "b"], "left_anti"))
     if second.isEmpty():
         links_all = found

@@ -12,6 +12,7 @@ import public_tokenizers
 from mergelens.llm import chat, langid, lm, warc
 from mergelens.llm.common import crc_remainder, staging, table
 from mergelens.llm.fingerprints import fingerprint_edits
+from mergelens.llm.idfile import read_documents, with_starts, write_ids
 from mergelens.llm.minhash import near_duplicates
 from mergelens.llm.mixing import mix
 from mergelens.llm.packing import pack_documents
@@ -57,6 +58,15 @@ def op2_chat_format(spark, sf_dir):
     )
 
 
+@_query
+def op3_context_mixing_ids(spark, sf_dir):
+    stage = staging(spark)
+    path = f"{stage.path}/ids"
+    write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    found = with_starts(stage.table("documents", read_documents(spark, path)))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @_query
 def op4_vector_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
