@@ -2,4 +2,95 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+_CHATS = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+    SELECT *, role = 'assistant' AS loss,
+        -- each of four characters is escaped to two
+        length(text) + length(regexp_replace(text, '[^\[\]<\\]', '', 'g')) AS chars,
+        CASE role WHEN 'user' THEN 6 + 7 WHEN 'assistant' THEN 5 + 4 WHEN 'system' THEN 7 + 8
+            ELSE 6 + length(role) + length(regexp_replace(role, '[^\[\]<\\]', '', 'g')) + 1 + 7 END AS marks,
+        CASE WHEN role IN ('user', 'assistant', 'system') THEN role[1] ELSE 'x' END AS letter
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(sum(CASE WHEN loss THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (loss), '')) AS loss_sha256,
+    CAST(sum(chars + marks) AS BIGINT) AS formatted_chars,
+    regexp_full_match(string_agg(letter, '' ORDER BY turn NULLS FIRST, role, text), 's|s?u(au)*a?') AS valid
+FROM sized GROUP BY conv_id
+"""
+
+_SETS = r"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE
+        WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+    FROM worded
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), pairs AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * i >= 85 * (x.n + y.n - i)
+), links AS (
+    SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reach AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other
+), components AS (
+    SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM components LEFT JOIN sizes USING (doc_id)
+"""
+
+_VECTORS = """
+WITH RECURSIVE sound AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), pairs AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id
+    WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.95
+), reach AS (
+    SELECT vec_id, vec_id AS other FROM sound
+    UNION SELECT reach.vec_id, pairs.b FROM reach JOIN pairs ON pairs.a = reach.other
+), components AS (
+    SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+), counts AS (
+    SELECT a AS vec_id, count(*) AS n FROM pairs GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM components LEFT JOIN counts USING (vec_id)
+"""
+
+_WARC = """
+WITH bodies AS (
+    SELECT page_id, url, coalesce(html, '') AS body FROM pages
+), digests AS (
+    SELECT page_id, url, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM bodies
+), last AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS response FROM digests
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 1000 AND page_id < response THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 1000 AND page_id < response THEN response END AS refers_to, url
+FROM last
+"""
+
+ORACLE: dict[str, str] = {
+    "op2_chat_format": _CHATS,
+    "op6_minmax_near_dedup": _SETS,
+    "op7_subspace_pigeonhole": _VECTORS,
+    "op9_warc_revisits": _WARC,
+}
