@@ -34,18 +34,30 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = near_duplicates(docs, staging(spark))
     kept = found.filter("kept and id is not null").select("id").distinct()
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
-    # A repeated id leaves one row, chosen by content.
-    ranked = Window.partitionBy("id").orderBy(F.xxhash64("_row"))
+    # Of rows with the same id and text one stays, chosen by content.
+    ranked = Window.partitionBy("id", F.xxhash64("_row.text")).orderBy(F.xxhash64("_row"))
     chosen = rows.join(kept, F.col("_row.doc_id") == F.col("id")).withColumn("at", F.row_number().over(ranked))
     nameless = rows.filter("_row.doc_id is null").distinct()
     return chosen.filter("at = 1").select("_row").unionByName(nameless).select("_row.*")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows as one column, with a key of their content and what mixing reads."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    return rows.withColumns({"key": F.xxhash64("_row"), "body": F.col("_row.text"), "origin": F.col("_row.source")})
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document taken n times over is n rows; of the copy at a stream's end only the words taken."""
-    taken = mix(docs, staging(spark)).filter("taken > 0").select(F.col("doc_id").alias("id"), "size", "taken")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"))
-    rows = rows.join(taken, F.col("_row.doc_id").eqNullSafe(F.col("id")))
+    rows = keyed(docs)
+    taken = mix(rows, staging(spark), id="key", text="body", source="origin")
+    # Equal rows are told apart by number.
+    by_key = Window.partitionBy("key").orderBy("key")
+    taken = taken.withColumnRenamed("doc_id", "key").select(
+        "key", "size", "taken", F.row_number().over(by_key).alias("at")
+    )
+    rows = rows.select("key", "_row", F.row_number().over(by_key).alias("at"))
+    rows = rows.join(taken.filter("taken > 0"), ["key", "at"])
     copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
     rows = rows.withColumn("copy", F.explode(copies))
     part = F.col("taken") - (F.col("copy") - 1) * F.col("size")
