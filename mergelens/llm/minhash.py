@@ -17,11 +17,11 @@ Stages, each written to the shared folder:
    inside a component no further link can change the result. So no candidate is lost.
 
 Two texts at similarity s share no bucket with probability (1 - s^rows)^bands: for
-the defaults 5e-5 at 0.8 and 4e-7 at 0.85.
+the defaults 3e-4 at 0.8, 1e-6 at 0.85 and 2e-10 at 0.9.
 
-Null texts and texts without a word have an empty set and link with nothing. Rows without an id stay, and none stands for
-a class. Rows that share an id are
-judged by their own text. Other columns of the input are not touched.
+Null texts and texts without a word have an empty set and link with nothing. Rows
+without an id stay, and none stands for a class. Rows that share an id are judged by
+their own text. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergelens.llm.components import components
@@ -38,6 +38,7 @@ from mergelens.llm.words import hashed_texts, mix, shingle_hashes
 from mergelens.sources.staging import Staging
 
 _U = np.uint64
+_RARE = 64
 _SIGNATURE = "id long, n_shingles long, fp long, fp2 long, bands array<long>"
 
 
@@ -131,8 +132,8 @@ def _still_mixed(members: DataFrame) -> DataFrame:
     return members.join(split.filter("x <> y").select("key"), "key", "left_semi")
 
 
-def _bounded(mixed: DataFrame, source: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """Adds ``own``, the shingles no other member has; drops members that these alone keep from any link."""
+def _shingles(nodes: DataFrame, source: DataFrame, shingle: int) -> DataFrame:
+    """``fp``, ``shingle`` and ``n`` of the nodes' full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,15 +146,44 @@ def _bounded(mixed: DataFrame, source: DataFrame, shingle: int, num: int, den: i
                         fps.append(np.full(len(found), want[first + at]))
                         sets.append(found.view(np.int64))
                 if fps:
-                    yield pa.RecordBatch.from_pydict({"fp": np.concatenate(fps), "shingle": np.concatenate(sets)})
+                    n = np.repeat([len(f) for f in fps], [len(f) for f in fps])
+                    columns = {"fp": np.concatenate(fps), "shingle": np.concatenate(sets), "n": n}
+                    yield pa.RecordBatch.from_pydict(columns)
+
+    texts = nodes.join(source, "id").select("fp", "text")
+    return texts.mapInArrow(run, "fp long, shingle long, n long").distinct()
+
+
+def _second_round(mixed: DataFrame, source: DataFrame, stage: Staging, shingle: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b: nodes) of different components that may still link.
+
+    With a set's shingles ordered by how many members have them, two sets that link
+    share one among the rarest of each. If that is rare (at most ``_RARE`` members)
+    the pair comes from it. If not, the two have no rare shingle in common: all of
+    these are in no intersection and in every union, which bounds the similarity,
+    and only pairs of a bucket that the bound allows are formed.
+    """
+    nodes = stage.table("nodes", mixed.select("a.fp", "a.id", "component").distinct())
+    shingles = stage.table("shingles", _shingles(nodes.select("fp", "id").distinct(), source, shingle))
+    known = shingles.groupBy("shingle").agg(F.count("*").alias("df"))
+    rarity = Window.partitionBy("fp").orderBy("df", "shingle")
+    placed = shingles.join(known, "shingle").withColumn("at", F.row_number().over(rarity))
+    rare = stage.table("rare", placed.filter(F.col("df") <= _RARE).select("fp", "shingle", "n", "at", "df"))
+    own = rare.groupBy("fp").agg(F.count("*").alias("own"))
+
+    first = rare.filter(f"df > 1 and at <= n - ceil({num} * n / {den}) + 1")
+    first = first.join(nodes, "fp").select("shingle", "component", F.struct("fp", "id", "n").alias("a"))
+    other = first.select("shingle", F.col("component").alias("component_b"), F.col("a").alias("b"))
+    sizes = f"least(a.n, b.n) * {den} >= greatest(a.n, b.n) * {num}"
+    by_rare = first.join(other, "shingle").filter("component < component_b").filter(sizes).select("a", "b")
 
-    nodes = mixed.select("a.fp", "a.id").distinct()
-    shingles = nodes.join(source, "id").select("fp", "text").mapInArrow(run, "fp long, shingle long").distinct()
-    single = shingles.groupBy("shingle").agg(F.count("*").alias("c"), F.min("fp").alias("fp")).filter("c = 1")
-    own = single.groupBy("fp").agg(F.count("*").alias("own"))
     marked = mixed.withColumn("fp", F.col("a.fp")).join(own, "fp", "left").drop("fp")
     marked = marked.withColumn("own", F.coalesce("own", F.lit(0)))
-    return marked.filter(f"(a.n - own) * {den} >= a.n * {num}")
+    marked = stage.table("bounded", _still_mixed(marked.filter(f"(a.n - own) * {den} >= a.n * {num}")))
+    other = marked.select("key", F.col("component").alias("component_b"), F.col("a").alias("b"), F.col("own").alias("own_b"))
+    best = f"least(a.n - own, b.n - own_b) * {den} >= greatest(a.n + own_b, b.n + own) * {num}"
+    by_bucket = marked.join(other, "key").filter("component < component_b").filter(best).select("a", "b")
+    return by_rare.union(by_bucket)
 
 
 def near_duplicates(
@@ -163,8 +193,8 @@ def near_duplicates(
     text: str = "text",
     shingle: int = 5,
     similarity: tuple[int, int] = (4, 5),
-    bands: int = 25,
-    rows: int = 5,
+    bands: int = 35,
+    rows: int = 7,
     seed: int = 1,
 ) -> DataFrame:
     """``id``, ``n_shingles``, ``component_id`` and ``kept`` of every row of ``docs``.
@@ -214,13 +244,7 @@ def near_duplicates(
     open_members = members.join(found.withColumnRenamed("id", "fp"), "fp", "left")
     open_members = open_members.select("key", F.coalesce("component", "fp").alias("component"), node.alias("a"))
     mixed = stage.table("mixed", _still_mixed(open_members))
-    mixed = stage.table("bounded", _still_mixed(_bounded(mixed, source, shingle, num, den)))
-    other = mixed.select("key", F.col("component").alias("component_b"), F.col("a").alias("b"), F.col("own").alias("own_b"))
-    # Shingles of one's own are in no intersection and in every union.
-    best = (
-        "least(a.n - own, b.n - own_b) * {den} >= greatest(a.n + own_b, b.n + own) * {num}".format(den=den, num=num)
-    )
-    second = mixed.join(other, "key").filter("component < component_b").filter(best).select(*pairs("a", "b")).distinct()
+    second = _second_round(mixed, source, stage, shingle, num, den).select(*pairs("a", "b")).distinct()
     second = stage.table("pairs-2", second.join(first, ["a", "b"], "left_anti"))
     if second.isEmpty():
         links_all = found
