@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mergelens.functions import fixed
 from mergelens.functions.parsing import linked, nonempty
-from mergelens.operators.skew import hot_groups, with_next
+from mergelens.operators.skew import with_next
 from mergelens.operators.tables import PR_KEY, Tables
 
 _RESPONSE_MICROS = fixed.RESPONSE_HOURS * 3600 * 1_000_000
@@ -76,14 +76,12 @@ def with_pr(rows: DataFrame, prs: DataFrame, *columns: str) -> DataFrame:
     return rows.join(prs.select(*PR_KEY, F.col("user_login").alias("pr_author"), *columns), PR_KEY, "left")
 
 
-def with_followups(
-    reviews: DataFrame, tables: Tables, next_review: bool = True, hot_rows: int | None = None
-) -> DataFrame:
+def with_followups(reviews: DataFrame, tables: Tables, next_review: bool = True) -> DataFrame:
     """Add to reviews when the author's next commit and the next review came.
 
     ``next_commit_at`` and ``next_review_at`` are strictly later than the review.
-    Reviews and commits share one exchange by pull request; the pull request
-    joins there and the window follows in place.
+    Reviews and commits meet their pull request in one join, and each other in
+    slices of it.
     """
     none = F.lit(None)
     asks = reviews.select(
@@ -99,12 +97,11 @@ def with_followups(
         F.unix_micros("date").alias("at_micros"),
     )
     events = asks.unionByName(commits)
-    hot = hot_groups(events, PR_KEY, hot_rows)
     joined = with_pr(events, tables.pull_requests, "merged", "created_at", "merged_at", "closed_at")
     wanted = {"next_commit": ~F.col("is_review") & (F.col("user_login") == F.col("pr_author"))}
     if next_review:
         wanted["next_review"] = F.col("is_review")
-    followed = with_next(joined, PR_KEY, "at_micros", wanted, hot)
+    followed = with_next(joined, PR_KEY, "at_micros", wanted)
     return followed.filter("is_review").drop("is_review")
 
 
@@ -119,7 +116,7 @@ def answered_in_time() -> Column:
     return F.coalesce(F.col("merged") & (F.col("next_commit") <= limit) & alone, F.lit(False))
 
 
-def review_facts(tables: Tables, hot_rows: int | None = None) -> DataFrame:
+def review_facts(tables: Tables) -> DataFrame:
     """Every review with what followed it.
 
     Columns: key, id, user_login, state, submitted_at, is_change_request,
@@ -127,7 +124,7 @@ def review_facts(tables: Tables, hot_rows: int | None = None) -> DataFrame:
     pr_author, merged, created_at of the pull request, at_micros, next_commit.
     """
     answer = ("pr_author", "merged", "created_at", "at_micros", "next_commit")
-    followed = with_followups(tables.reviews, tables, hot_rows=hot_rows)
+    followed = with_followups(tables.reviews, tables)
     events = followed.join(last_events(tables.timeline), PR_KEY, "left")
     flagged = events.select(
         *REVIEW_COLUMNS,

@@ -1,9 +1,11 @@
-"""Groups too large for one task, and running values over such groups.
-
-A window needs all rows of its partition in one task. For groups with very many
-rows the partition is cut into time slices; what a slice needs from the others
-(how many rows came before, which event comes next) is aggregated per slice
-first, so it is small. Groups below the limit stay in one slice.
+"""Running values over groups of any size.
+
+A window needs all rows of its partition in one task, and one group may hold a
+large share of all rows. So every group is cut into slices of time, whatever its
+size; what a slice needs from the others (how many rows came before, which event
+comes next) is aggregated per slice first and enters it as one extra row per kind.
+The number of slices of a group is bounded by the time it spans. Rows of one slice,
+an hour by default, are one task's.
 """
 
 from __future__ import annotations
@@ -13,94 +15,47 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A group up to this many rows is sorted by one task without harm.
-HOT_ROWS = 1_000_000
-# At most so many groups are sliced. Any other group is not among the largest
-# 2,000, so it holds less than 1/2,000 of all rows and is no straggler either.
-_HOT_GROUPS = 2_000
-_TRACKED = 20_000
-SLICE_MICROS = 60_000_000
-
-
-def hot_groups(rows: DataFrame, keys: Sequence[str], limit: int | None = None) -> list[int]:
-    """Hashes of the largest groups above ``limit`` rows.
-
-    One pass over the key columns with a heavy-hitters sketch: every task sends
-    a bounded sketch, no exchange by key, and at most ``_HOT_GROUPS`` numbers
-    reach the driver. The outcome only picks the physical path; results do not
-    depend on it, so sketch error and hash collisions are harmless.
-    """
-    limit = HOT_ROWS if limit is None else limit
-    sketch = F.expr(f"approx_top_k(group_hash, {_HOT_GROUPS}, {_TRACKED})")
-    hashes = rows.select(F.xxhash64(*keys).alias("group_hash"))
-    top = hashes.agg(sketch.alias("top")).select(F.inline("top"))
-    return sorted(row["item"] for row in top.filter(F.col("count") > limit).collect())
-
-
-def slice_of(keys: Sequence[str], micros: Column, hot: list[int]) -> Column:
-    """Slice number of a row: its minute in a hot group, 0 in all others."""
-    minute = F.floor(micros / SLICE_MICROS).cast("long")
-    if not hot:
-        return F.lit(0).cast("long")
-    return F.when(F.xxhash64(*keys).isin(hot), minute).otherwise(F.lit(0).cast("long"))
+SLICE_MICROS = 3_600_000_000
 
 
-def _is_hot(keys: Sequence[str], hot: list[int]) -> Column:
-    return F.xxhash64(*keys).isin(hot)
+def _slice(micros: str, width: int) -> Column:
+    return F.floor(F.col(micros) / width).cast("long")
 
 
 def with_next(
-    events: DataFrame,
-    keys: Sequence[str],
-    micros: str,
-    wanted: dict[str, Column],
-    hot: list[int] | None = None,
+    events: DataFrame, keys: Sequence[str], micros: str, wanted: dict[str, Column], width: int = SLICE_MICROS
 ) -> DataFrame:
     """Add per row the time of the next later event of its group, by kind.
 
     ``wanted`` maps an output column to the condition an event must meet; the
     output is the earliest strictly later ``micros`` of such an event, or null.
-    Equal times are not later. The frame grows from the newest row down, so each
-    row is visited once.
+    Equal times are not later; null keys are keys like others. The frame grows
+    from the newest row down, so each row is visited once.
     """
-    hot = hot_groups(events, keys) if hot is None else hot
-    if not hot:
-        down = Window.partitionBy(*keys).orderBy(F.col(micros).desc())
-        later = down.rangeBetween(Window.unboundedPreceding, -1)
-        return events.withColumns(
-            {name: F.min(F.when(condition, F.col(micros))).over(later) for name, condition in wanted.items()}
-        )
     flags = {f"_{name}": condition for name, condition in wanted.items()}
-    sliced = events.withColumns({"_slice": slice_of(keys, F.col(micros), hot), "_carried": F.lit(False), **flags})
+    sliced = events.withColumns({"_slice": _slice(micros, width), "_carried": F.lit(False), **flags})
 
-    # First wanted event per slice of the hot groups, then the first one of all
-    # later slices: it enters the slice as one extra row per kind.
-    firsts = sliced.filter(_is_hot(keys, hot)).groupBy(*keys, "_slice").agg(
+    # First wanted event per slice, then the first one of all later slices.
+    firsts = sliced.groupBy(*keys, "_slice").agg(
         *[F.min(F.when(F.col(flag), F.col(micros))).alias(flag) for flag in flags]
     )
     later_slices = (
         Window.partitionBy(*keys).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = firsts.select(*keys, "_slice", *[F.min(flag).over(later_slices).alias(flag) for flag in flags])
-    entries = [
-        carried.filter(F.col(flag).isNotNull()).select(
-            *keys,
-            "_slice",
-            F.col(flag).alias(micros),
-            F.lit(True).alias("_carried"),
-            *[F.lit(other == flag).alias(other) for other in flags],
+    entry = F.explode(
+        F.array(
+            *[F.struct(F.col(flag).alias("at"), *[F.lit(other == flag).alias(other) for other in flags]) for flag in flags]
         )
-        for flag in flags
-    ]
-    everything = sliced
-    for entry in entries:
-        everything = everything.unionByName(entry, allowMissingColumns=True)
+    )
+    entries = carried.select(*keys, "_slice", entry.alias("e")).filter("e.at is not null")
+    entries = entries.select(*keys, "_slice", F.col("e.at").alias(micros), F.lit(True).alias("_carried"), *[f"e.{f}" for f in flags])
 
     down = Window.partitionBy(*keys, "_slice").orderBy(F.col(micros).desc())
     later = down.rangeBetween(Window.unboundedPreceding, -1)
     # An explicit exchange: a partitioning by the keys alone would do for the
-    # window, but it would leave a hot group in one task.
-    spread = everything.repartition(*keys, "_slice")
+    # window, but it would leave a large group in one task.
+    spread = sliced.unionByName(entries, allowMissingColumns=True).repartition(*keys, "_slice")
     found = spread.withColumns(
         {name: F.min(F.when(F.col(f"_{name}"), F.col(micros))).over(later) for name in wanted}
     )
@@ -112,23 +67,23 @@ def with_position(
     keys: Sequence[str],
     micros: str,
     order: Sequence[Column | str],
-    hot: list[int] | None = None,
+    width: int = SLICE_MICROS,
     name: str = "position",
 ) -> DataFrame:
-    """Add the 1-based position of each row in its group by ``micros``, then ``order``."""
-    hot = hot_groups(rows, keys) if hot is None else hot
-    if not hot:
-        ordered = Window.partitionBy(*keys).orderBy(micros, *order)
-        return rows.withColumn(name, F.row_number().over(ordered).cast("long"))
-    sliced = rows.withColumn("_slice", slice_of(keys, F.col(micros), hot))
-    sizes = sliced.filter(_is_hot(keys, hot)).groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+    """Add the 1-based position of each row in its group by ``micros``, then ``order``.
+
+    Null keys are keys like others; rows without a time come first.
+    """
+    sliced = rows.withColumns({"_slice": _slice(micros, width), "_carried": F.lit(False)})
+    sizes = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(*keys, "_slice").orderBy(micros, *order)
-    numbered = (
-        sliced.repartition(*keys, "_slice")
-        .withColumn("_at", F.row_number().over(within))
-        .join(offsets, [*keys, "_slice"], "left")
+    offsets = sizes.select(
+        *keys, "_slice", F.lit(True).alias("_carried"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    position = F.col("_at") + F.coalesce("_before", F.lit(0))
-    return numbered.withColumn(name, position.cast("long")).drop("_slice", "_at", "_before")
+    group = Window.partitionBy(*keys, "_slice")
+    everything = sliced.unionByName(offsets, allowMissingColumns=True).repartition(*keys, "_slice")
+    # The offset's row is the first of its slice.
+    at = F.row_number().over(group.orderBy(F.col("_carried").desc(), micros, *order)) - 1
+    placed = everything.withColumns({"_at": at, "_offset": F.max("_before").over(group)})
+    placed = placed.filter(~F.col("_carried")).withColumn(name, (F.col("_at") + F.col("_offset")).cast("long"))
+    return placed.drop("_slice", "_carried", "_before", "_at", "_offset")

@@ -153,9 +153,8 @@ def test_effective_change_request(spark, name):
         comments=[] if path is None else [(9, 1, "bob", 5, "review", 1, path)],
         files=[(1, "a.py")],
     )
-    for hot_rows in (None, 0):
-        facts = {r.id: r for r in review_facts(tables, hot_rows).collect()}
-        assert facts[1].effective is expected, (name, hot_rows)
+    facts = {r.id: r for r in review_facts(tables).collect()}
+    assert facts[1].effective is expected
 
 
 def test_merged_without_times_uses_72_hours(spark):

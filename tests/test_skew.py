@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mergelens.operators.percentiles import percentile_hours
-from mergelens.operators.skew import SLICE_MICROS, hot_groups, with_next, with_position
+from mergelens.operators.skew import SLICE_MICROS, with_next, with_position
 
 
 def events(spark, seed=1, n=3000):
@@ -20,33 +20,42 @@ def events(spark, seed=1, n=3000):
     return rows, spark.createDataFrame(rows, "g long, t long, kind string, id long").repartition(5)
 
 
-def test_hot_groups_finds_the_large_group_only(spark):
-    rows, df = events(spark)
-    expected = df.filter("g = 0").select(F.xxhash64("g")).first()[0]
-    assert hot_groups(df, ["g"], 500) == [expected]
-    assert hot_groups(df, ["g"], 5000) == []
+WIDTHS = [1, SLICE_MICROS, 10**18]
 
 
-@pytest.mark.parametrize("limit", [None, 500, 0])
-def test_with_next(spark, limit):
-    rows, df = events(spark)
-    hot = hot_groups(df, ["g"], limit)
-    assert (limit is None) == (hot == [])
+def odd_events(spark):
+    """Null groups, 2,500 groups of a few rows, and one instant with many rows."""
+    rows, _ = events(spark, 3, 600)
+    rows = [(None if g == 0 else g, t, kind, i) for g, t, kind, i in rows]
+    rows += [(1000 + i % 2500, i // 2500, "a", 10_000 + i) for i in range(5000)]
+    rows += [(7, 12345, "b", 20_000 + i) for i in range(300)]
+    return rows, spark.createDataFrame(rows, "g long, t long, kind string, id long").repartition(5)
+
+
+@pytest.mark.parametrize("make", [events, odd_events])
+@pytest.mark.parametrize("width", WIDTHS)
+def test_with_next(spark, width, make):
+    rows, df = make(spark)
     wanted = {"next_a": F.col("kind") == "a", "next_b": F.col("kind") == "b"}
-    out = with_next(df, ["g"], "t", wanted, hot)
+    out = with_next(df, ["g"], "t", wanted, width)
     assert set(out.columns) == {"g", "t", "kind", "id", "next_a", "next_b"}
     found = {r.id: (r.next_a, r.next_b) for r in out.collect()}
     assert len(found) == len(rows)
+    groups = {}
+    for g, t, kind, _ in rows:
+        groups.setdefault(g, []).append((t, kind))
     for g, t, _, i in rows:
-        later = [(t2, k2) for g2, t2, k2, _ in rows if g2 == g and t2 > t]
+        later = [(t2, k2) for t2, k2 in groups[g] if t2 > t]
         expected = tuple(min((t2 for t2, k2 in later if k2 == kind), default=None) for kind in "ab")
         assert found[i] == expected
 
 
-@pytest.mark.parametrize("limit", [None, 500, 0])
-def test_with_position(spark, limit):
-    rows, df = events(spark, 2)
-    out = with_position(df, ["g"], "t", ["id"], hot_groups(df, ["g"], limit))
+@pytest.mark.parametrize("make", [events, odd_events])
+@pytest.mark.parametrize("width", WIDTHS)
+def test_with_position(spark, width, make):
+    rows, df = make(spark)
+    out = with_position(df, ["g"], "t", ["id"], width)
+    assert set(out.columns) == {"g", "t", "kind", "id", "position"}
     found = {r.id: r.position for r in out.collect()}
     groups = {}
     for g, t, _, i in rows:
@@ -55,15 +64,14 @@ def test_with_position(spark, limit):
     assert found == expected
 
 
-def test_sliced_plan_spreads_the_large_group(spark):
+def test_a_large_group_spreads_over_tasks(spark):
     _, df = events(spark)
     setting = "spark.sql.adaptive.coalescePartitions.enabled"
     spark.conf.set(setting, "false")
     try:
-        for limit, spread in ((500, True), (None, False)):
-            out = with_next(df, ["g"], "t", {"n": F.lit(True)}, hot_groups(df, ["g"], limit))
-            placed = out.filter("g = 0").select(F.spark_partition_id().alias("p"), "n").collect()
-            assert (len({row.p for row in placed}) > 1) == spread
+        for out in (with_next(df, ["g"], "t", {"n": F.lit(True)}), with_position(df, ["g"], "t", ["id"])):
+            placed = out.filter("g = 0").select(F.spark_partition_id().alias("p")).collect()
+            assert len({row.p for row in placed}) > 1
     finally:
         spark.conf.unset(setting)
 
