@@ -32,13 +32,16 @@ def interactions(tables: Tables, prs: DataFrame, cutoff: str | None = "merged_at
         tables.timeline.filter(F.col("event").isin(*fixed.INTERACTION_EVENTS))
         .filter(F.col("actor_type") != fixed.BOT)
         .select(*PR_KEY, F.col("actor_login").alias("actor"), F.lit("timeline").alias("kind"), F.col("created_at").alias("at"))
-        .distinct()
     )
     limit = F.col(cutoff) if cutoff else F.lit(None).cast("timestamp")
     sides = prs.select(*PR_KEY, F.col("user_login").alias("_author"), limit.alias("_cutoff"), *carry)
     counted = (F.col("actor") != F.col("_author")) & (F.col("_cutoff").isNull() | (F.col("at") < F.col("_cutoff")))
-    everything = reviews.unionByName(comments).unionByName(events)
-    return everything.join(sides, PR_KEY).filter(counted).drop("_author", "_cutoff")
+
+    def on_prs(rows: DataFrame) -> DataFrame:
+        return rows.join(sides, PR_KEY).filter(counted).drop("_author", "_cutoff")
+
+    # Only events of the wanted pull requests are compared with each other.
+    return on_prs(reviews.unionByName(comments)).unionByName(on_prs(events).distinct())
 
 
 def kind_counts(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -91,6 +91,9 @@ class Normalizer:
         lines = clip(lines, "created_at", self.windows)
         usable = parsing.valid_user("user") & F.col("state").isin(*fixed.PR_STATES)
         lines = self.checks.require(lines, "pull_requests", "no valid user or state", usable)
+        sides = parsing.valid_user("base.user") & parsing.valid_user("head.user")
+        sides = sides & parsing.valid_user("base.repo.owner", "Organization")
+        lines = self.checks.require(lines, "pull_requests", "no valid user of a branch, or owner", sides)
         return last_line_per_pr(
             lines.select("dump_id", self._repo(F.col("base.repo.full_name")), "number", "line_ord", *_pr_fields())
         )
@@ -128,7 +131,7 @@ class Normalizer:
             "line_ord",
             "sha",
             "author",
-            F.coalesce("committer", "author").alias("committer"),
+            F.coalesce(_named("committer"), F.col("author")).alias("committer"),
             F.col("commit.message").alias("message"),
             parse_iso(date).alias("date"),
             "idx",
@@ -184,7 +187,9 @@ class Normalizer:
             *[value.alias(name) for name, value in kind.items()],
         )
         rows = self._complete(rows, source, "number", "created_at")
-        return clip(rows, "created_at", self.windows)
+        rows = clip(rows, "created_at", self.windows)
+        whole = F.col("id").isNotNull() & F.col("body").isNotNull()
+        return self.checks.require(rows, source, "no id or body", whole)
 
     def timeline(self, raw: DataFrame, prs: DataFrame) -> DataFrame:
         """Events of known pull requests; rows without number, time or actor are skipped."""
@@ -212,7 +217,9 @@ class Normalizer:
         rows = rows.withColumn("created_at", parse_iso(F.col("created_text"))).drop("created_text")
         rows = self._complete(rows, "timeline", "created_at")
         rows = clip(rows, "created_at", self.windows)
-        return without_link(of_known_prs(rows, prs)).filter(parsing.valid_user("actor"))
+        rows = without_link(of_known_prs(rows, prs)).filter(parsing.valid_user("actor"))
+        whole = F.col("id").isNotNull() & F.col("event").isNotNull()
+        return self.checks.require(rows, "timeline", "no id or event", whole)
 
     def files(self, raw: DataFrame, prs: DataFrame) -> DataFrame:
         lines = self._lines(raw, "files")
@@ -250,10 +257,16 @@ def _pr_fields() -> list[Column]:
         # The head branch takes the base repository.
         F.col("head").withField("repo", F.col("base.repo")).alias("head"),
         *[F.coalesce(name, zero).alias(name) for name in counters],
-        F.col("merged_by"),
+        _named("merged_by").alias("merged_by"),
     ]
 
 
+def _named(user: str) -> Column:
+    """A payload user, or null if it is an object without id and login."""
+    side = F.col(user)
+    return F.when(side["id"].isNotNull() | side["login"].isNotNull(), side)
+
+
 def last_line_per_pr(lines: DataFrame) -> DataFrame:
     """One row per pull-request key: the last line wins.
 

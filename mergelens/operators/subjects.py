@@ -29,34 +29,34 @@ def with_default_period(subjects: DataFrame, now: datetime) -> DataFrame:
 
 def of_subjects(rows: DataFrame, subjects: DataFrame, login: str) -> DataFrame:
     """Rows of each subject by login. A busy login is split by the skew join."""
-    who = subjects.select(*SUBJECT).withColumnRenamed("dump_id", "_dump").withColumnRenamed("user_login", "_login")
+    who = subjects.select(*SUBJECT).distinct().withColumnRenamed("dump_id", "_dump").withColumnRenamed("user_login", "_login")
     matched = rows.join(who, (F.col("dump_id") == F.col("_dump")) & (F.col(login) == F.col("_login")))
     renamed = matched.drop("_dump")
     return renamed.drop("user_login").withColumnRenamed("_login", "user_login")
 
 
-def _within(instant: str):
+def within(instant: str):
     return in_period(F.col(instant), F.col("start_date"), F.col("end_date"))
 
 
 def user_prs(prs: DataFrame, subjects: DataFrame) -> DataFrame:
     """Pull requests a subject opened in the period."""
-    return of_subjects(prs, subjects, "user_login").filter(_within("created_at"))
+    return of_subjects(prs, subjects, "user_login").filter(within("created_at"))
 
 
 def user_merged_prs(prs: DataFrame, subjects: DataFrame) -> DataFrame:
     """A subject's pull requests merged in the period, whenever they were opened."""
     merged = prs.filter(F.col("merged") & F.col("merged_at").isNotNull())
-    return of_subjects(merged, subjects, "user_login").filter(_within("merged_at"))
+    return of_subjects(merged, subjects, "user_login").filter(within("merged_at"))
 
 
 def user_reviews(reviews: DataFrame, subjects: DataFrame) -> DataFrame:
-    return of_subjects(reviews, subjects, "user_login").filter(_within("submitted_at"))
+    return of_subjects(reviews, subjects, "user_login").filter(within("submitted_at"))
 
 
 def user_commits(commits: DataFrame, subjects: DataFrame) -> DataFrame:
     """Commits a subject authored in the period."""
-    return of_subjects(commits, subjects, "author_login").filter(_within("date"))
+    return of_subjects(commits, subjects, "author_login").filter(within("date"))
 
 
 def acted_prs(

@@ -33,6 +33,11 @@ def line_order() -> Column:
     )
 
 
+def dump_root(part: str) -> Column:
+    """Full path of the dump whose ``part`` a file is, or lies in; it identifies the dump."""
+    return F.regexp_extract("_metadata.file_path", rf"^(.*)/{part.replace('.', '[.]')}(?:/[^/]+)?$", 1)
+
+
 def scan(spark: SparkSession, root: str, table: str, on_error: str = "fail") -> DataFrame:
     """One raw table of the dump at ``root``, or of all dumps matching a pattern.
 
@@ -44,7 +49,7 @@ def scan(spark: SparkSession, root: str, table: str, on_error: str = "fail") ->
     mode = "PERMISSIVE" if on_error == "quarantine" else "FAILFAST"
     path = f"{root.rstrip('/')}/{fixed.CANONICAL_DIR}/{fixed.TABLE_FILES[table]}"
     reader = spark.read.schema(schema).option("mode", mode).option("columnNameOfCorruptRecord", CORRUPT)
-    folder = F.regexp_extract("_metadata.file_path", rf"([^/]+)/{fixed.CANONICAL_DIR}/", 1)
+    folder = dump_root(f"{fixed.CANONICAL_DIR}/{fixed.TABLE_FILES[table]}")
     try:
         lines = reader.json(path)
     except AnalysisException as error:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from mergelens.functions import fixed
 from mergelens.functions.times import parse_iso
 from mergelens.sources import schemas
+from mergelens.sources.dump import dump_root
 
 _REQUIRED = ("user", "from", "to")
 
@@ -78,14 +80,20 @@ def read_manifest(spark: SparkSession, root: str) -> Manifest:
     for name in _REQUIRED:
         if name not in fields:
             raise KeyError(name)
-    return Manifest(root.rstrip("/").rsplit("/", 1)[-1], fields["provider"], fields)
+    for name in ("from", "to"):
+        try:
+            datetime.fromisoformat(str(fields[name]))
+        except ValueError as error:
+            raise ManifestError(f"manifest has no readable window: {error}", path) from error
+    return Manifest(root.rstrip("/"), fields["provider"], fields)
 
 
 def read_manifests(spark: SparkSession, pattern: str) -> DataFrame:
     """Manifests of all dumps matching a path pattern, one row each.
 
-    The folder name of a dump is its ``dump_id``. A manifest that lacks a
-    required field or names an unknown provider fails the query that reads it.
+    The full path of a dump is its ``dump_id``. A manifest that lacks a required
+    field, names an unknown provider or has no readable window fails the query
+    that reads it.
     """
     raw = (
         spark.read.schema(schemas.MANIFEST)
@@ -96,9 +104,9 @@ def read_manifests(spark: SparkSession, pattern: str) -> DataFrame:
     usable = F.col("provider").isin(*fixed.PROVIDERS)
     for name in _REQUIRED:
         usable = usable & F.col(name).isNotNull()
+    usable = usable & parse_iso(F.col("from")).isNotNull() & parse_iso(F.col("to")).isNotNull()
     message = F.concat(F.lit("unusable manifest: "), F.col("_metadata.file_path"))
     checked = raw.filter(
         F.when(F.coalesce(usable, F.lit(False)), True).otherwise(F.raise_error(message).cast("boolean"))
     )
-    folder = F.regexp_extract("_metadata.file_path", rf"([^/]+)/{fixed.MANIFEST_FILE}", 1)
-    return _typed(checked.withColumn("dump_id", folder))
+    return _typed(checked.withColumn("dump_id", dump_root(fixed.MANIFEST_FILE)))

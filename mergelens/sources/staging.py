@@ -26,3 +26,8 @@ class Staging:
         path = f"{self.path}/{name}"
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
+
+    def close(self) -> None:
+        """Delete this folder and nothing else; its tables can no longer be read."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -101,7 +101,9 @@ def ids(rows, column="id"):
 def test_manifest_fields(spark, tmp_path):
     manifest = read_manifest(spark, write(tmp_path / "one"))
     row = manifest.frame(spark).select("*", iso_text(__import__("pyspark").sql.functions.col("start_date")).alias("start")).first()
-    assert (row.dump_id, row.provider, row.user_login, row.repositories) == ("one", "github", "alice", ["org/repo"])
+    assert (row.dump_id, row.provider, row.user_login, row.repositories) == (
+        str(tmp_path / "one"), "github", "alice", ["org/repo"]
+    )
     assert row.start == "2026-01-01T00:00:00.000000Z"
 
 
@@ -296,8 +298,13 @@ def test_several_dumps_at_once(spark, tmp_path):
     later = {**MANIFEST, "user": "bob", "from": "2026-01-05T00:00:00Z"}
     write(tmp_path / "b", manifest=later, prs=[pr(1, BOB, at(6)), pr(2, BOB, at(2))])
     tables = load.read_dumps(spark, str(tmp_path / "*"))
-    assert sorted((r.dump_id, r.number) for r in tables.pull_requests.collect()) == [("a", 1), ("b", 1)]
-    header = {(r.dump_id, r.user_login, r.table): r.rows for r in report_header(tables).collect()}
+
+    def name(row):
+        assert row.dump_id.startswith("file:") and str(tmp_path) in row.dump_id
+        return row.dump_id.rsplit("/", 1)[-1]
+
+    assert sorted((name(r), r.number) for r in tables.pull_requests.collect()) == [("a", 1), ("b", 1)]
+    header = {(name(r), r.user_login, r.table): r.rows for r in report_header(tables).collect()}
     assert header["a", "alice", "reviews"] == 1
     assert header["b", "bob", "reviews"] == 0
     assert read_manifests(spark, str(tmp_path / "*")).count() == 2
@@ -327,7 +334,7 @@ def test_bad_rows_fail_or_are_set_aside(spark, tmp_path, name):
     assert kept.pull_requests.count() == 1
     aside = kept.quarantine.collect()
     assert len(aside) == 1
-    assert aside[0].record and aside[0].reason and aside[0].dump_id == "d"
+    assert aside[0].record and aside[0].reason and aside[0].dump_id == str(tmp_path / "d")
 
 
 # --- sinks ---
@@ -367,3 +374,54 @@ def test_canonical_tables_round_trip(spark, tmp_path):
     back = Tables.read(spark, str(tmp_path / "landed"))
     assert back.reviews.drop("line_ord").collect() == tables.reviews.drop("line_ord").collect()
     assert back.quarantine is None
+
+
+# --- nothing is lost without a word -------------------------------------------------------
+
+
+@pytest.mark.parametrize("bound", ["from", "to"])
+def test_an_unreadable_window_is_refused(spark, tmp_path, bound):
+    root = write(tmp_path / "d", manifest={**MANIFEST, bound: "not a date"}, prs=[pr(1)])
+    with pytest.raises(ManifestError):
+        load.read_dump(spark, root)
+    with pytest.raises(Exception, match="unusable manifest"):
+        load.read_dumps(spark, str(tmp_path / "*")).pull_requests.count()
+
+
+def test_an_empty_committer_falls_back_to_the_author(spark, tmp_path):
+    commits = [commit("a", 1), {**commit("b", 1), "committer": {}}, {**commit("c", 1), "committer": None}]
+    tables = load.read_dump(spark, write(tmp_path / "d", prs=[pr(1)], commits=commits))
+    assert {(r.sha, r.committer_id is not None) for r in tables.commits.collect()} == {("a", True), ("b", True), ("c", True)}
+
+
+@pytest.mark.parametrize("side", ["head", "base"])
+def test_a_branch_without_a_user_is_refused(spark, tmp_path, side):
+    bad = pr(1)
+    bad[side] = {**bad[side], "user": None}
+    with pytest.raises(Exception, match="no valid user of a branch"):
+        load.read_dump(spark, write(tmp_path / "d", prs=[bad])).pull_requests.count()
+
+
+def test_dumps_in_folders_of_the_same_name_stay_apart(spark, tmp_path):
+    for top in ("x", "y"):
+        write(tmp_path / top / "canonical" / "dump", prs=[pr(1)], commits=[commit("a", 1)])
+    tables = load.read_dumps(spark, str(tmp_path / "*" / "canonical" / "dump"))
+    assert tables.commits.count() == 2 and tables.pull_requests.count() == 2
+    assert tables.commits.select("dump_id").distinct().count() == 2
+
+
+def test_copies_of_children_keep_the_last_of_each_id_and_type(spark, tmp_path):
+    root = write(
+        tmp_path / "d", prs=[pr(1)], issue_comments=[issue_comment(7, 1), issue_comment(7, 1), issue_comment(8, 1)],
+        review_comments=[review_comment(7, 1)],
+    )
+    tables = load.read_dump(spark, root, dedup_children=True)
+    assert sorted((r.id, r.type) for r in tables.comments.collect()) == [(7, "issue"), (7, "review"), (8, "issue")]
+
+
+def test_sinks_refuse_plain_files(spark, tmp_path):
+    root = write(tmp_path / "d", prs=[pr(1)])
+    with pytest.raises(FileExistsError):
+        sinks.append_tables({"pull_requests": spark.createDataFrame([], schemas.RAW["pull_requests"])}, root)
+    with pytest.raises(FileExistsError):
+        sinks.write_manifest(spark, root, MANIFEST)
