@@ -32,7 +32,7 @@ from mergelens.operators.reviews import (
     with_change_request,
     with_followups,
 )
-from mergelens.operators.subjects import SUBJECT, of_subjects, user_merged_prs, user_prs, user_reviews
+from mergelens.operators.subjects import SUBJECT, of_subjects, user_merged_prs, user_prs, user_reviews, within
 from mergelens.operators.tables import PR_KEY, Tables
 
 _PERIOD = tuple(SUBJECT[1:])
@@ -59,6 +59,8 @@ class Metric:
     durations: Callable[[Tables, DataFrame], DataFrame] | None = None
     items: Callable[[Tables, DataFrame], DataFrame] | None = None
     has_details: str = "true"
+    # Whether it reads ``review_facts``, which a report then works out once.
+    uses_facts: bool = False
 
     @property
     def columns(self) -> tuple[str, ...]:
@@ -76,6 +78,7 @@ def measured(chosen: list[Metric], tables: Tables, subjects: DataFrame) -> DataF
     """
     keys = ["metric_slug", *SUBJECT]
     slugs = F.array(*[F.lit(metric.slug) for metric in chosen])
+    subjects = subjects.select(*SUBJECT).distinct()
     parts = [subjects.select(F.explode(slugs).alias("metric_slug"), *SUBJECT)]
     durations = []
     for metric in chosen:
@@ -112,10 +115,10 @@ def _ratio(part: str, whole: str) -> str:
 
 
 def _throughput(tables: Tables, subjects: DataFrame) -> list[DataFrame]:
-    return [
-        user_prs(tables.pull_requests, subjects).withColumn("opened_count", _one()),
-        user_merged_prs(tables.pull_requests, subjects).withColumn("merged_count", _one()),
-    ]
+    rows = of_subjects(tables.pull_requests, subjects, "user_login")
+    merged = F.col("merged") & F.col("merged_at").isNotNull() & within("merged_at")
+    flags = {"opened_count": within("created_at"), "merged_count": merged}
+    return [rows.select(*SUBJECT, *[F.coalesce(flag, F.lit(False)).cast("long").alias(n) for n, flag in flags.items()])]
 
 
 def _throughput_items(tables: Tables, subjects: DataFrame) -> DataFrame:
@@ -141,7 +144,8 @@ def _cycle_time_items(tables: Tables, subjects: DataFrame) -> DataFrame:
 
 def _merge_effectiveness(tables: Tables, subjects: DataFrame) -> list[DataFrame]:
     merged = _merged_durations(tables, subjects)
-    own = merged.select(*SUBJECT, _one().alias("merged_pr_count"), micros_to_hours(F.col("micros")).alias("hours"))
+    # Whole microseconds, so the sum does not depend on the order of rows.
+    own = merged.select(*SUBJECT, _one().alias("merged_pr_count"), F.col("micros").cast("decimal(28,0)").alias("merge_micros"))
     return [own, _merged_interactions(tables, merged).withColumn("interactions", _one())]
 
 
@@ -192,8 +196,9 @@ def _leverage(tables: Tables, subjects: DataFrame) -> list[DataFrame]:
 def _leverage_items(tables: Tables, subjects: DataFrame) -> DataFrame:
     facts = user_reviews(_facts(tables), subjects).filter("is_change_request")
     return facts.select(
-        *SUBJECT, "repo_key", "number", F.col("id").alias("review_id"), "effective", F.col("submitted_at").alias("at")
-    )
+        *SUBJECT, "repo_key", F.col("number").alias("pr_number"), F.col("id").alias("review_id"), "effective",
+        F.col("submitted_at").alias("at"),
+    )
 
 
 # --- review iterations -------------------------------------------------------
@@ -313,7 +318,7 @@ _ALL = (
         fixed.METRIC_NAMES["pr_merge_effectiveness"],
         {
             "merged_pr_count": "nullif(merged_pr_count, 0)",
-            "average_merge_time_hours": "try_divide(hours, merged_pr_count)",
+            "average_merge_time_hours": "try_divide(cast(merge_micros AS double) / 1e6D / 3600D, merged_pr_count)",
             "average_back_and_forth": "try_divide(interactions, merged_pr_count)",
         },
         _sentence(
@@ -322,7 +327,7 @@ _ALL = (
             places=1,
             otherwise=fixed.NO_MERGED_PRS,
         ),
-        ("merged_pr_count", "hours", "interactions"),
+        ("merged_pr_count", "merge_micros", "interactions"),
         _merge_effectiveness,
         items=_merge_effectiveness_items,
         has_details="merged_pr_count IS NOT NULL",
@@ -349,6 +354,7 @@ _ALL = (
         _leverage,
         items=_leverage_items,
         has_details="change_requests IS NOT NULL",
+        uses_facts=True,
     ),
     Metric(
         "pr_throughput",
@@ -379,6 +385,7 @@ _ALL = (
         ("merged_prs", "asks"),
         _iterations,
         items=_iterations_items,
+        uses_facts=True,
     ),
     Metric(
         "time_to_first_review",
@@ -395,6 +402,7 @@ _ALL = (
         _sentence("{samples} responses measured; median: {median_hours!r}h, p75: {p75_hours!r}h"),
         durations=_responses,
         items=_response_items,
+        uses_facts=True,
     ),
 )
 

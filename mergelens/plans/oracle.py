@@ -2,7 +2,25 @@
 
 from __future__ import annotations
 
-from mergelens.functions import fixed
+# Written out here and not imported, so that a change of the engine's values shows.
+_NAMES = {
+    "pr_merge_effectiveness": "PR Merge Effectiveness",
+    "review_leverage": "Review Leverage",
+    "pr_throughput": "PR Throughput",
+    "cycle_time": "Cycle Time",
+    "review_iterations": "Review Iterations",
+    "time_to_first_review": "Time to First Review",
+    "slow_review_response": "Slow Review Response",
+}
+_RATED = {
+    "pr_throughput": ("merge_ratio", ">= 0.9", ">= 0.7", ">= 0.5"),
+    "cycle_time": ("median_hours", "<= 1", "<= 3", "<= 7"),
+    "pr_merge_effectiveness": ("average_back_and_forth", "<= 1", "<= 2", "<= 4"),
+    "review_leverage": ("effectiveness_percentage", ">= 80", ">= 60", ">= 30"),
+    "review_iterations": ("average_iterations", "<= 1", "<= 2", "<= 4"),
+    "time_to_first_review": ("median_hours", "<= 1", "<= 6", "<= 24"),
+    "slow_review_response": ("median_hours", "<= 2", "<= 12", "<= 48"),
+}
 
 _BASE = """
 WITH bounds AS (
@@ -66,7 +84,10 @@ WITH bounds AS (
 ), files AS (
   SELECT * FROM all_files WHERE number IN (SELECT number FROM prs)
 ), subjects AS (
-  SELECT author AS user_login FROM prs UNION SELECT actor FROM reviews
+  SELECT user_login, CASE WHEN u % 4 <> 0 THEN ws + (u % 5) * 2000 END AS ps,
+         CASE WHEN u % 6 <> 1 THEN we - (u % 7) * 1500 END AS pe
+  FROM (SELECT user_login, CAST(substr(user_login, 6) AS BIGINT) AS u
+        FROM (SELECT author AS user_login FROM prs UNION SELECT actor FROM reviews)), bounds
 )"""
 
 _RAW = """, raw_prs AS (
@@ -177,12 +198,15 @@ _METRICS = (
     _FOLLOWED
     + _INTERACTIONS
     + """, opened AS (
-  SELECT author AS user_login, prs.* FROM prs, bounds WHERE created_h BETWEEN ws AND we
+  SELECT s.user_login, prs.* FROM prs JOIN subjects s ON author = s.user_login
+  WHERE created_h BETWEEN coalesce(ps, created_h) AND coalesce(pe, created_h)
 ), merged_in AS (
-  SELECT author AS user_login, prs.*, CAST(merged_h - created_h AS DOUBLE) AS hours
-  FROM prs, bounds WHERE merged AND merged_h BETWEEN ws AND we
+  SELECT s.user_login, prs.*, CAST(merged_h - created_h AS DOUBLE) AS hours
+  FROM prs JOIN subjects s ON author = s.user_login
+  WHERE merged AND merged_h BETWEEN coalesce(ps, merged_h) AND coalesce(pe, merged_h)
 ), own_reviews AS (
-  SELECT actor AS user_login, facts.* FROM facts, bounds WHERE ts_h BETWEEN ws AND we
+  SELECT s.user_login, facts.* FROM facts JOIN subjects s ON actor = s.user_login
+  WHERE ts_h BETWEEN coalesce(ps, ts_h) AND coalesce(pe, ts_h)
 ), iterations AS (
   SELECT user_login, number, created_h,
          (SELECT count(*) FROM facts f WHERE f.number = o.number AND f.is_change_request) AS iterations
@@ -240,12 +264,10 @@ _METRICS = (
 
 
 def _rated(slug: str, column: str) -> str:
-    limits = {limit[0]: limit for limit in fixed.RATING_LIMITS}[slug]
-    _, _, direction, excellent, good, neutral = limits
-    sign = ">=" if direction == "up" else "<="
+    _, excellent, good, neutral = _RATED[slug]
     return (
-        f"CASE WHEN {column} IS NULL THEN 'unknown' WHEN {column} {sign} {excellent} THEN 'excellent' "
-        f"WHEN {column} {sign} {good} THEN 'good' WHEN {column} {sign} {neutral} THEN 'neutral' ELSE 'bad' END"
+        f"CASE WHEN {column} IS NULL THEN 'unknown' WHEN {column} {excellent} THEN 'excellent' "
+        f"WHEN {column} {good} THEN 'good' WHEN {column} {neutral} THEN 'neutral' ELSE 'bad' END"
     )
 
 
@@ -265,9 +287,9 @@ _SUMMARIES = {
 
 def _report(columns: dict[str, str]) -> str:
     """UNION of all metrics; column templates use {slug}, {name}, {value}, {rating}, {summary}."""
-    values = {limit[0]: limit[1] for limit in fixed.RATING_LIMITS}
+    values = {slug: rated[0] for slug, rated in _RATED.items()}
     parts = []
-    for slug, name in fixed.METRIC_NAMES.items():
+    for slug, name in _NAMES.items():
         filled = {
             "slug": f"'{slug}'",
             "name": f"'{name}'",
@@ -439,13 +461,18 @@ UNION ALL SELECT 'reviews', count(*) FROM seen_reviews WHERE number IN (SELECT n
 UNION ALL SELECT 'comments', count(*) FROM seen_comments WHERE number IN (SELECT number FROM kept)"""
 
     # --- a user's rows ---
-    sql["user_prs"] = f"{base}\nSELECT author AS user_login, number FROM prs"
+    sql["user_prs"] = f"""{base}
+SELECT user_login, number FROM prs JOIN subjects ON author = user_login
+WHERE created_h BETWEEN coalesce(ps, created_h) AND coalesce(pe, created_h)"""
     sql["user_merged_prs"] = f"""{base}
-SELECT author AS user_login, number FROM all_prs, bounds
-WHERE merged AND merged_h BETWEEN ws AND we AND author IN (SELECT user_login FROM subjects)"""
-    sql["user_reviews"] = f"{base}\nSELECT actor AS user_login, id, number FROM reviews"
+SELECT user_login, number FROM all_prs JOIN subjects ON author = user_login
+WHERE merged AND merged_h BETWEEN coalesce(ps, merged_h) AND coalesce(pe, merged_h)"""
+    sql["user_reviews"] = f"""{base}
+SELECT user_login, id, number FROM reviews JOIN subjects ON actor = user_login
+WHERE ts_h BETWEEN coalesce(ps, ts_h) AND coalesce(pe, ts_h)"""
     sql["user_commits"] = f"""{base}
-SELECT login AS user_login, sha, number FROM commits WHERE login IN (SELECT user_login FROM subjects)"""
+SELECT user_login, sha, number FROM commits JOIN subjects ON login = user_login
+WHERE ts_h BETWEEN coalesce(ps, ts_h) AND coalesce(pe, ts_h)"""
     sql["subject_defaults"] = f"""{base}, filled AS (
   SELECT user_login, CASE WHEN u % 2 = 0 THEN ws ELSE we - 365 * 24 END AS start_h, we AS end_h
   FROM (SELECT user_login, CAST(substr(user_login, 6) AS BIGINT) AS u FROM subjects), bounds
@@ -488,7 +515,7 @@ GROUP BY r.number"""
     sql["pr_interactions"] = f"{inter}\nSELECT number, actor, kind, at_h FROM interactions"
     sql["interaction_breakdown"] = f"""{inter}
 SELECT number, count(*) AS back_and_forth, {
-        ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in fixed.INTERACTION_KINDS)
+        ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in ('review', 'comment_issue', 'comment_review', 'timeline'))
     } FROM interactions WHERE merged GROUP BY number"""
     sql["pr_activity_seq"] = f"""{base}
 SELECT number, kind, id AS row_id, row_number() OVER (PARTITION BY number ORDER BY ts_h, kind, id) AS seq FROM (
@@ -496,8 +523,9 @@ SELECT number, kind, id AS row_id, row_number() OVER (PARTITION BY number ORDER
   UNION ALL SELECT number, 'comment', id, ts_h FROM comments
   UNION ALL SELECT number, 'timeline', id, ts_h FROM timeline)"""
     sql["ordered_pr_numbers"] = f"""{base}
-SELECT author AS user_login, number, row_number() OVER (PARTITION BY author ORDER BY created_h, number) AS position
-FROM prs"""
+SELECT user_login, number, row_number() OVER (PARTITION BY author ORDER BY created_h, number) AS position
+FROM prs JOIN subjects ON author = user_login
+WHERE created_h BETWEEN coalesce(ps, created_h) AND coalesce(pe, created_h)"""
     sql["merge_time_hours"] = f"""{base}
 SELECT number, CAST(merged_h - created_h AS DOUBLE) AS merge_hours, CAST(closed_h - created_h AS DOUBLE) AS open_hours
 FROM all_prs"""
@@ -534,11 +562,15 @@ SELECT repo_id, count(*) AS n, {quantiles} FROM all_prs WHERE merged GROUP BY re
         }
     )
 
-    def items(slug: str, name: str, source: str, number: str = "number", hours: str = "0.0", effective: str = "false") -> str:
+    def items(
+        slug: str, name: str, source: str, number: str = "number", hours: str = "0.0", effective: str = "false",
+        iterations: str = "NULL::BIGINT",
+    ) -> str:
         return f"""SELECT user_login, '{slug}' AS metric_slug, '{name}' AS list, count(*) AS n,
        CAST(sum({number}) AS BIGINT) AS sum_of_numbers,
        round(coalesce(sum(CAST({hours} AS DOUBLE)), 0.0), 6) AS sum_of_hours,
-       count(*) FILTER ({effective}) AS effective
+       count(*) FILTER ({effective}) AS effective, CAST(sum({iterations}) AS BIGINT) AS iterations,
+       count(*) AS last_position
 FROM {source} WHERE user_login IN (SELECT user_login FROM subjects) GROUP BY user_login"""
 
     leverage = "(SELECT * FROM own_reviews WHERE is_change_request)"
@@ -548,7 +580,7 @@ FROM {source} WHERE user_login IN (SELECT user_login FROM subjects) GROUP BY use
             items("pr_throughput", "merged_pr_numbers", "merged_in"),
             items("cycle_time", "per_pr_hours", "merged_in", hours="hours"),
             items("pr_merge_effectiveness", "pr_details", "back_and_forth", hours="hours"),
-            items("review_iterations", "per_pr", "iterations"),
+            items("review_iterations", "per_pr", "iterations", iterations="iterations"),
             items("time_to_first_review", "per_pr", "firsts", hours="hours"),
             items("slow_review_response", "per_review", "responses", hours="hours"),
             items("review_leverage", "change_request_details", leverage, effective="effective"),

@@ -390,8 +390,8 @@ def subject_defaults(spark, sf_dir):
     user = F.substring_index("user_login", "_", -1).cast("long")
     gaps = subjects.withColumns(
         {
-            "start_date": F.when(user % 2 == 0, F.col("start_date")),
-            "end_date": F.when(user % 3 == 0, F.col("end_date")),
+            "start_date": F.when(user % 2 == 0, F.to_timestamp(F.lit(star.START))),
+            "end_date": F.when(user % 3 == 0, F.to_timestamp(F.lit(star.END))),
         }
     )
     filled = sj.with_default_period(gaps, star.NOW)
@@ -628,10 +628,12 @@ def metric_items(spark, sf_dir):
         return F.get_json_object("item", f"$.{name}")
 
     hours = F.coalesce(of_item("hours"), of_item("merge_time_hours")).cast("double")
-    numbers = F.coalesce(of_item("number"), of_item("pr")).cast("long")
+    numbers = F.coalesce(of_item("number"), of_item("pr"), of_item("pr_number")).cast("long")
     return rows.groupBy("user_login", "metric_slug", "list").agg(
         F.count("*").alias("n"),
         F.sum(numbers).alias("sum_of_numbers"),
         _round(F.coalesce(F.sum(hours), F.lit(0.0))).alias("sum_of_hours"),
         F.count_if(of_item("effective") == "true").alias("effective"),
+        F.sum(of_item("iterations").cast("long")).alias("iterations"),
+        F.max("position").alias("last_position"),
     )

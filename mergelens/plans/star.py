@@ -251,15 +251,18 @@ def _windowed(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def subjects(tables: Tables) -> DataFrame:
-    """All authors and reviewers, with the window as their period."""
+    """All authors and reviewers, each with an own period inside the window; some bounds are open."""
     logins = tables.pull_requests.select("dump_id", "user_login").unionByName(
         tables.reviews.select("dump_id", "user_login")
     )
+    user = F.substring_index("user_login", "_", -1).cast("long")
+    start = F.unix_seconds(F.to_timestamp(F.lit(START))) + user % 5 * 2000 * 3600
+    end = F.unix_seconds(F.to_timestamp(F.lit(END))) - user % 7 * 1500 * 3600
     return logins.distinct().select(
         "dump_id",
         "user_login",
-        F.to_timestamp(F.lit(START)).alias("start_date"),
-        F.to_timestamp(F.lit(END)).alias("end_date"),
+        F.when(user % 4 != 0, F.timestamp_seconds(start)).alias("start_date"),
+        F.when(user % 6 != 1, F.timestamp_seconds(end)).alias("end_date"),
     )
 
 

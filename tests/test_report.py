@@ -2,6 +2,7 @@
 
 import json
 import random
+from dataclasses import replace
 
 import pytest
 from conftest import make_subjects, make_tables
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mergelens.functions import fixed
 from mergelens.functions.text import decimals
-from mergelens.operators.subjects import user_prs
+from mergelens.operators.subjects import SUBJECT, user_prs
 from mergelens.plans.metrics import Metric, metrics
 from mergelens.plans.report import rating, report, report_items, write_report
 from mergelens.sources.listing import candidates, updated_between
@@ -152,3 +153,28 @@ def test_listing(spark):
     users = spark.createDataFrame([("alice",), ("alice",), ("bob",)], "user_login string")
     pairs = sorted((r.user_login, r.number) for r in candidates(df, users).collect())
     assert pairs == [("alice", 1), ("alice", 2), ("alice", 3), ("bob", 1), ("bob", 2)]
+
+
+def test_own_metric_without_items_is_written(spark, tmp_path):
+    tables = replace_with_header(spark, make_tables(spark, prs=[(1, "alice", 1, 5), (2, "alice", 3, None)]))
+    own = Metric("open_share", "Open share", {"share": "try_divide(n_open, n_all)"}, "cast(share AS string)", ("n_open", "n_all"),
+                 lambda t, s: [user_prs(t.pull_requests, s).selectExpr(*SUBJECT, "1L AS n_all", "cast(NOT merged AS long) AS n_open")])
+    available = {**metrics(), "open_share": own}
+    subjects = make_subjects(spark, "alice", "alice")
+    chosen = ["open_share", "pr_throughput", "pr_throughput", "nothing"]
+    assert write_report(tables, subjects, str(tmp_path / "r"), chosen, available) == ["nothing"]
+    rows = {r.metric_slug: json.loads(r.details) for r in spark.read.parquet(str(tmp_path / "r" / "metrics")).collect()}
+    assert rows["open_share"] == {"share": 0.5} and rows["pr_throughput"]["opened_count"] == 2
+    items = spark.read.parquet(str(tmp_path / "r" / "items")).collect()
+    assert sorted((r.list, r.position, json.loads(r.item)["number"]) for r in items) == [
+        ("merged_pr_numbers", 1, 1), ("opened_pr_numbers", 1, 1), ("opened_pr_numbers", 2, 2)
+    ]
+    header = spark.read.parquet(str(tmp_path / "r" / "header")).collect()
+    assert {(r.user_login, r.table): r.rows for r in header}["alice", "pull_requests"] == 2
+    assert report_items(tables, subjects, ["open_share"], available).count() == 0
+
+
+def replace_with_header(spark, tables):
+    users = spark.createDataFrame([("d", 1)], "dump_id string, id long")
+    manifests = make_subjects(spark, "alice")
+    return replace(tables, users=users, repositories=users, manifests=manifests)
