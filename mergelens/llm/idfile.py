@@ -52,7 +52,7 @@ def unpack_segment(data: memoryview) -> tuple[int, int, np.ndarray, np.ndarray,
 
 def write_ids(
     docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id: str = "doc_id", text: str = "text",
-    block_ids: int = 4096, segment_ids: int = 6_000_000,
+    block_ids: int = 2048, segment_ids: int = 6_000_000,
 ) -> None:
     """Write the token ids of all texts, each closed by ``end_id``, below ``path``."""
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -32,16 +32,16 @@ class _Model:
     """What the blocks have learned; the same when writing and when reading."""
 
     def __init__(self, lanes: int):
-        self.one = np.zeros(lanes * _SLOTS1, np.uint16)
-        self.sure1 = np.zeros(lanes * _SLOTS1, np.int8)
-        self.two = np.zeros(lanes * _SLOTS2, np.uint16)
-        self.sure2 = np.zeros(lanes * _SLOTS2, np.int8)
+        # A slot is a predicted id and, in the lowest three bits, its confidence.
+        self.one = np.zeros(lanes * _SLOTS1, np.int32)
+        self.two = np.zeros(lanes * _SLOTS2, np.int32)
         self.hit2 = np.full(lanes * 128, 16_384, np.int32)
-        self.hit1 = np.full(lanes * 64, 16_384, np.int32)
+        self.hit1 = np.full(lanes * 128, 16_384, np.int32)
         self.counts = np.ones((lanes, _BINS), np.int32)
         self.edges = np.zeros((lanes, _BINS + 1), np.int32)
         self.last, self.before = np.zeros(lanes, _I), np.zeros(lanes, _I)
         self.row = np.arange(lanes, dtype=_I)
+        self.base1, self.base2, self.base_hit = self.row * _SLOTS1, self.row * _SLOTS2, self.row * 128
         self.steps = 0
 
     def predict(self, n: int) -> None:
@@ -53,30 +53,31 @@ class _Model:
             np.cumsum(share, axis=1, out=self.edges[:n, 1:], dtype=np.int32)
             self.edges[:n, -1] = 65_536
         row, last = self.row[:n], self.last[:n]
-        self.at1 = row * _SLOTS1 + ((last * 40_503) >> 5 & (_SLOTS1 - 1))
-        self.at2 = row * _SLOTS2 + (((last * 40_503 + self.before[:n] * 60_493) * 48_271) >> 9 & (_SLOTS2 - 1))
-        self.id1, self.id2 = self.one[self.at1], self.two[self.at2]
-        self.c1, self.c2 = self.sure1[self.at1], self.sure2[self.at2]
-        joint = self.c2.astype(_I) * 8 + self.c1
+        mixed = last * 40_503
+        self.at1 = (mixed >> 5 & (_SLOTS1 - 1)) + self.base1[:n]
+        self.at2 = ((mixed + self.before[:n] * 60_493) * 48_271 >> 9 & (_SLOTS2 - 1)) + self.base2[:n]
+        self.e1, self.e2 = self.one.take(self.at1), self.two.take(self.at2)
+        self.id1, self.id2 = self.e1 >> 3, self.e2 >> 3
         self.same = self.id1 == self.id2
-        self.ctx2 = row * 128 + joint + self.same * 64
-        self.ctx1 = row * 64 + joint
-        self.p2, self.p1 = self.hit2[self.ctx2], self.hit1[self.ctx1]
-        self.f2 = np.clip(self.p2, 32, 65_536 - 128).astype(_I)
+        self.ctx1 = (self.e2 & 7) * 8 + (self.e1 & 7) + self.base_hit[:n]
+        self.ctx2 = self.ctx1 + self.same * 64
+        self.p2, self.p1 = self.hit2.take(self.ctx2), self.hit1.take(self.ctx1)
+        # No share is ever empty.
+        self.f2 = np.minimum(self.p2 + 16, 65_408).astype(_I)
         rest = 65_536 - self.f2
-        self.f1 = np.where(self.same, 0, np.clip(rest * self.p1 >> 16, 16, rest - 64))
+        self.f1 = (rest - 80) * self.p1 // 65_536 + 16
+        self.f1[self.same] = 0
 
     def learn(self, n: int, ids: np.ndarray) -> None:
         right2, right1 = self.id2 == ids, self.id1 == ids
         self.hit2[self.ctx2] = self.p2 + ((right2 * 65_535 - self.p2) >> 4)
-        tried = ~right2 & ~self.same
-        self.hit1[self.ctx1] = np.where(tried, self.p1 + ((right1 * 65_535 - self.p1) >> 4), self.p1)
-        for at, table, sure, old, c, right in (
-            (self.at1, self.one, self.sure1, self.id1, self.c1, right1),
-            (self.at2, self.two, self.sure2, self.id2, self.c2, right2),
-        ):
-            table[at] = np.where(c == 0, ids, old)
-            sure[at] = np.where(right, np.minimum(c + 1, 7), c >> 1) | (c == 0)
+        tried = ~(right2 | self.same)
+        self.hit1[self.ctx1] = self.p1 + ((right1 * 65_535 - self.p1) >> 4) * tried
+        fresh = (ids << 3) + 1
+        for at, table, old, right in ((self.at1, self.one, self.e1, right1), (self.at2, self.two, self.e2, right2)):
+            sure = old & 7
+            wrong = np.where(sure == 0, fresh, old - sure + (sure >> 1))
+            table[at] = np.where(right & (sure > 0), old + (sure < 7), wrong)
         self.counts[self.row[:n], ids >> 8] += 24
         self.before[:n], self.last[:n] = self.last[:n], ids
         self.steps += 1
