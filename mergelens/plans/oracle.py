@@ -360,7 +360,9 @@ FROM all_prs
 UNION ALL SELECT 'commits', sha, number, row_number() OVER (PARTITION BY number ORDER BY id) - 1
 FROM all_commits WHERE id % 23 <> 0
 UNION ALL SELECT 'files', filename, number, NULL FROM all_files
-UNION ALL SELECT 'reviews', CAST(id AS VARCHAR), NULL, NULL FROM all_reviews"""
+UNION ALL SELECT 'reviews', CAST(id AS VARCHAR), NULL, NULL FROM all_reviews
+UNION ALL SELECT type || '_comments', CAST(id AS VARCHAR), NULL, NULL FROM all_comments
+UNION ALL SELECT 'timeline', CAST(id AS VARCHAR), NULL, NULL FROM all_timeline WHERE line <> 7"""
     sql["listing_window"] = f"""{base}
 SELECT number, coalesce(merged_h, created_h + number % 240) AS updated_h FROM all_prs, bounds
 WHERE coalesce(merged_h, created_h + number % 240) BETWEEN ws AND we"""

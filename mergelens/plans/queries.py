@@ -119,7 +119,6 @@ def explode_bundle(spark, sf_dir):
     prs = sinks.explode_bundles(bundles, "pull_requests")
     commits = sinks.explode_bundles(bundles, "commits")
     files = sinks.explode_bundles(bundles, "files")
-    reviews = sinks.explode_bundles(bundles, "reviews")
     none = F.lit(None).cast("long")
 
     def rows(df: DataFrame, name: str, item: Column, number: Column, position: Column = none) -> DataFrame:
@@ -133,8 +132,9 @@ def explode_bundle(spark, sf_dir):
         rows(prs, "pull_requests", F.col("id"), F.col("number")),
         rows(commits, "commits", F.col("sha"), number, F.col("idx")),
         rows(files, "files", F.col("filename"), number),
-        rows(reviews, "reviews", F.col("id"), none),
     ]
+    for name in ("reviews", "review_comments", "issue_comments", "timeline"):
+        parts.append(rows(sinks.explode_bundles(bundles, name), name, F.col("id"), none))
     return reduce(DataFrame.unionByName, parts)
 
 

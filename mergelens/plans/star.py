@@ -15,6 +15,7 @@ from typing import TypeVar
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mergelens.functions.parsing import number_from_timeline_url
 from mergelens.operators.normalize import clip, of_known_prs, without_link
 from mergelens.operators.tables import CHILDREN, Tables
 from mergelens.session import configure
@@ -505,13 +506,17 @@ def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = raw_table(spark, sf_dir, "pull_requests").filter(F.col("line_ord") < SECOND_COPY)
     columns = schemas.RAW["pull_requests"].fieldNames()
     records = heads.select(F.col("number").alias("key"), F.struct(*columns).alias("pull_request"))
-    parts = [nested("commits", number), nested("files", number), nested("reviews", url_number)]
+    issue_number = F.substring_index("issue_url", "/", -1).cast("long")
+    parts = [
+        nested("commits", number),
+        nested("files", number),
+        nested("reviews", url_number),
+        nested("review_comments", url_number),
+        nested("issue_comments", issue_number),
+        nested("timeline", number_from_timeline_url(F.col("url"))),
+    ]
     joined = reduce(lambda left, right: left.join(right, "key", "left"), parts, records)
-    empty = {
-        name: F.lit(None).cast(schemas.BUNDLE[name].dataType).alias(name)
-        for name in ("timeline", "review_comments", "issue_comments")
-    }
-    return joined.select("pull_request", "commits", "files", "reviews", *empty.values())
+    return joined.select(*[field.name for field in schemas.BUNDLE.fields])
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
