@@ -462,6 +462,9 @@ UNION ALL SELECT 'commits', count(*) FROM usable_commits WHERE number IN (SELECT
 UNION ALL SELECT 'reviews', count(*) FROM seen_reviews WHERE number IN (SELECT number FROM kept)
 UNION ALL SELECT 'comments', count(*) FROM seen_comments WHERE number IN (SELECT number FROM kept)"""
 
+    sql["multi_dump_load"] = f"""
+SELECT dump, summary.* FROM ({sql["dump_summary"]}) summary, (VALUES ('a'), ('b')) dumps(dump)"""
+
     # --- a user's rows ---
     sql["user_prs"] = f"""{base}
 SELECT user_login, number FROM prs JOIN subjects ON author = user_login

@@ -349,6 +349,22 @@ def dump_summary(spark, sf_dir):
     return dataset_summary(_normal(spark, sf_dir, prune=True)).select("table", "rows")
 
 
+@_query
+def multi_dump_load(spark, sf_dir):
+    """Two dump folders of JSON lines, written by the sinks, to canonical tables in one plan."""
+
+    def land(staging: Staging) -> str:
+        raw = {name: rows.drop("dump_id", "line_ord") for name, rows in star.raw_tables(spark, sf_dir).items()}
+        for folder in ("a", "b"):
+            root = f"{staging.path}/dumps/{folder}"
+            sinks.append_tables(raw, root)
+            sinks.write_manifest(spark, root, star.MANIFEST.fields)
+        return f"{staging.path}/dumps"
+
+    tables = load.read_dumps(spark, star.landed_once(spark, "dumps", sf_dir, land) + "/*")
+    return dataset_summary(tables).select(F.substring_index("dump_id", "/", -1).alias("dump"), "table", "rows")
+
+
 # --- a user's rows -------------------------------------------------------------------
 
 
