@@ -12,6 +12,11 @@ _NAMES = {
     "time_to_first_review": "Time to First Review",
     "slow_review_response": "Slow Review Response",
 }
+_WITHOUT_WINDOW = (
+    "acted_prs", "subject_children", "pr_children", "review_comments_by_review", "review_with_pr", "is_change_request",
+    "event_after_review", "merged_after_review", "next_author_commit", "next_review", "effective_change_request",
+    "review_path_overlap", "first_external_review", "pr_interactions", "interaction_breakdown", "pr_activity_seq",
+)
 _RATED = {
     "pr_throughput": ("merge_ratio", ">= 0.9", ">= 0.7", ">= 0.5"),
     "cycle_time": ("median_hours", "<= 1", "<= 3", "<= 7"),
@@ -591,6 +596,10 @@ FROM {source} WHERE user_login IN (SELECT user_login FROM subjects) GROUP BY use
             items("review_leverage", "change_request_details", leverage, effective="effective"),
         ]
     )
+    # Lookups read whole tables, so their twins drop the window.
+    for name in _WITHOUT_WINDOW:
+        unclipped = sql[name].replace(", bounds WHERE ts_h BETWEEN ws AND we AND", " WHERE")
+        sql[name] = unclipped.replace("FROM all_prs p, bounds WHERE created_h BETWEEN ws AND we", "FROM all_prs p")
     return sql
 
 

@@ -315,7 +315,7 @@ def repositories_first_seen(spark, sf_dir):
 
 @_query
 def acted_prs(spark, sf_dir):
-    tables = star.canonical_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir)
     return sj.acted_prs(
         tables.pull_requests, tables.reviews, tables.commits, tables.comments, tables.timeline
     ).select("user_login", "number")
@@ -331,7 +331,7 @@ def subject_prs(spark, sf_dir):
 @_query
 def subject_children(spark, sf_dir):
     """Children of every subject's pull requests, once per subject."""
-    tables = star.canonical_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir)
     subjects = star.subjects(tables)
     acted = sj.acted_prs(tables.pull_requests, tables.reviews, tables.commits, tables.comments, tables.timeline)
     parts = []
@@ -421,7 +421,7 @@ def subject_defaults(spark, sf_dir):
 @_query
 def pr_children(spark, sf_dir):
     """Number of children of each kind for every pull request, zero included."""
-    tables = star.canonical_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir)
     result = tables.pull_requests.select(*PR_KEY)
     for name in ("reviews", "commits", "comments", "files", "timeline"):
         rows = getattr(tables, name)
@@ -434,7 +434,7 @@ def pr_children(spark, sf_dir):
 
 @_query
 def review_comments_by_review(spark, sf_dir):
-    tables = star.canonical_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir)
     linked = tables.comments.filter(parsing.linked(F.col("review_id")))
     comments = linked.select("dump_id", F.col("review_id").alias("id"), F.col("id").alias("comment_id"), "path")
     return tables.reviews.select("dump_id", "id").join(comments, ["dump_id", "id"], "left").select("id", "comment_id", "path")
@@ -442,20 +442,20 @@ def review_comments_by_review(spark, sf_dir):
 
 @_query
 def review_with_pr(spark, sf_dir):
-    tables = star.canonical_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir)
     rows = rv.with_pr(tables.reviews, tables.pull_requests, "merged", "merged_at")
     return rows.select("id", "number", "pr_author", "merged", _hour("merged_at").alias("merged_h"))
 
 
 @_query
 def is_change_request(spark, sf_dir):
-    tables = star.canonical_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir)
     return rv.with_change_request(tables.reviews, tables.comments).select("id", "is_change_request")
 
 
 @_query
 def event_after_review(spark, sf_dir):
-    tables = star.canonical_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir)
     rows = tables.reviews.join(rv.last_events(tables.timeline), PR_KEY, "left")
     labeled = rv.last_events(tables.timeline, "labeled").select(*PR_KEY, F.col("last_event_at").alias("last_label_at"))
     later_label = F.coalesce(F.col("last_label_at") > F.col("submitted_at"), F.lit(False))
@@ -466,7 +466,7 @@ def event_after_review(spark, sf_dir):
 
 @_query
 def merged_after_review(spark, sf_dir):
-    tables = star.canonical_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir)
     rows = rv.with_pr(tables.reviews, tables.pull_requests, "merged", "merged_at")
     rows = rows.join(rv.last_events(tables.timeline), PR_KEY, "left")
     return rows.select("id", rv.merged_after().alias("merged_after"))
@@ -474,7 +474,7 @@ def merged_after_review(spark, sf_dir):
 
 @_query
 def next_author_commit(spark, sf_dir):
-    tables = star.canonical_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir)
     rows = rv.with_followups(tables.reviews, tables, next_review=False)
     hours = micros_to_hours(F.col("next_commit") - F.col("at_micros"))
     return rows.select("id", "number", _round(hours).alias("hours"))
@@ -482,7 +482,7 @@ def next_author_commit(spark, sf_dir):
 
 @_query
 def next_review(spark, sf_dir):
-    tables = star.canonical_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir)
     rows = tables.reviews.select(*PR_KEY, "id", F.unix_micros("submitted_at").alias("at_micros"))
     followed = with_next(rows, PR_KEY, "at_micros", {"next_micros": F.lit(True)})
     return followed.select("id", "number", "next_micros")
@@ -490,13 +490,13 @@ def next_review(spark, sf_dir):
 
 @_query
 def effective_change_request(spark, sf_dir):
-    facts = rv.review_facts(star.canonical_tables(spark, sf_dir))
+    facts = rv.review_facts(star.whole_tables(spark, sf_dir))
     return facts.select("id", "user_login", "is_change_request", "effective")
 
 
 @_query
 def review_path_overlap(spark, sf_dir):
-    tables = star.canonical_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir)
     matches = rv.path_matches(tables.comments, tables.reviews, tables.files).withColumn("matched", F.lit(True))
     rows = rv.with_marks(rv.with_change_request(tables.reviews, tables.comments), matches)
     has_paths = F.coalesce("has_paths", F.lit(False))
@@ -505,7 +505,7 @@ def review_path_overlap(spark, sf_dir):
 
 @_query
 def first_external_review(spark, sf_dir):
-    tables = star.canonical_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir)
     rows = rv.first_external_reviews(tables.pull_requests, tables.reviews)
     return rows.select("number", _hour("first_review_at").alias("first_h"))
 
@@ -516,14 +516,14 @@ def first_external_review(spark, sf_dir):
 @_query
 def pr_interactions(spark, sf_dir):
     """Interactions before the merge, or at any time on unmerged pull requests."""
-    tables = star.canonical_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir)
     rows = interactions(tables, tables.pull_requests, "merged_at")
     return rows.select("number", "actor", "kind", _hour("at").alias("at_h"))
 
 
 @_query
 def interaction_breakdown(spark, sf_dir):
-    tables = star.canonical_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir)
     merged = tables.pull_requests.filter("merged")
     counts = kind_counts(interactions(tables, merged, "merged_at"), PR_KEY)
     return counts.drop("dump_id", "repo_key")
@@ -532,7 +532,7 @@ def interaction_breakdown(spark, sf_dir):
 @_query
 def pr_activity_seq(spark, sf_dir):
     """Position of every activity in its pull request, by time."""
-    tables = star.canonical_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir)
     sources = {"review": ("reviews", "submitted_at"), "commit": ("commits", "date"), "comment": ("comments", "created_at"), "timeline": ("timeline", "created_at")}
     parts = [
         getattr(tables, table).select(*PR_KEY, F.lit(kind).alias("kind"), "line_ord", F.unix_micros(at).alias("at_micros"))

@@ -232,12 +232,22 @@ def canonical_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return landed_once(spark, "canonical", sf_dir, land)
 
 
-def _windowed(spark: SparkSession, sf_dir: str) -> Tables:
+def whole_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """As ``canonical_tables``, but without any window: what lookups are registered on."""
+
+    def land(staging: Staging) -> Tables:
+        _windowed(spark, sf_dir, clipped=False).write(staging.path)
+        return Tables.read(spark, staging.path, ["pull_requests", *CHILDREN, "manifests"])
+
+    return landed_once(spark, "whole", sf_dir, land)
+
+
+def _windowed(spark: SparkSession, sf_dir: str, clipped: bool = True) -> Tables:
     every = all_tables(spark, sf_dir)
-    prs = clip(every.pull_requests, "created_at", MANIFEST)
+    prs = clip(every.pull_requests, "created_at", MANIFEST) if clipped else every.pull_requests
 
     def inside(rows: DataFrame, instant: str | None) -> DataFrame:
-        rows = clip(rows, instant, MANIFEST) if instant else rows
+        rows = clip(rows, instant, MANIFEST) if instant and clipped else rows
         return without_link(of_known_prs(rows, prs))
 
     return Tables(
