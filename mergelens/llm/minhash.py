@@ -132,7 +132,7 @@ def _still_mixed(members: DataFrame) -> DataFrame:
     return members.join(split.filter("x <> y").select("key"), "key", "left_semi")
 
 
-def _shingles(nodes: DataFrame, source: DataFrame, shingle: int) -> DataFrame:
+def _shingles(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """``fp``, ``shingle`` and ``n`` of the nodes' full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +150,10 @@ def _shingles(nodes: DataFrame, source: DataFrame, shingle: int) -> DataFrame:
                     columns = {"fp": np.concatenate(fps), "shingle": np.concatenate(sets), "n": n}
                     yield pa.RecordBatch.from_pydict(columns)
 
-    texts = nodes.join(source, "id").select("fp", "text")
-    return texts.mapInArrow(run, "fp long, shingle long, n long").distinct()
+    return nodes.join(texts, "id").select("fp", "text").mapInArrow(run, "fp long, shingle long, n long").distinct()
 
 
-def _second_round(mixed: DataFrame, source: DataFrame, stage: Staging, shingle: int, num: int, den: int) -> DataFrame:
+def _second_round(mixed: DataFrame, texts: DataFrame, stage: Staging, shingle: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b: nodes) of different components that may still link.
 
     With a set's shingles ordered by how many members have them, two sets that link
@@ -164,7 +163,7 @@ def _second_round(mixed: DataFrame, source: DataFrame, stage: Staging, shingle:
     and only pairs of a bucket that the bound allows are formed.
     """
     nodes = stage.table("nodes", mixed.select("a.fp", "a.id", "component").distinct())
-    shingles = stage.table("shingles", _shingles(nodes.select("fp", "id").distinct(), source, shingle))
+    shingles = stage.table("shingles", _shingles(nodes.select("fp", "id").distinct(), texts, shingle))
     known = shingles.groupBy("shingle").agg(F.count("*").alias("df"))
     rarity = Window.partitionBy("fp").orderBy("df", "shingle")
     placed = shingles.join(known, "shingle").withColumn("at", F.row_number().over(rarity))
@@ -234,9 +233,11 @@ def near_duplicates(
     first = members.withColumn("a", node).select("key", "a").join(centers.withColumnRenamed("c", "b"), "key")
     first = stage.table("pairs-1", first.filter(near).select(*pairs("a", "b")).distinct())
 
-    need = first.select(F.col("a_id").alias("id")).union(first.select(F.col("b_id").alias("id"))).distinct()
+    # The texts of all members, fetched once. Their ids grow with the input, so they are
+    # never broadcast and the plan is the same at every size.
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    texts = stage.table("texts-1", source.join(need, "id", "left_semi"))
+    wanted = members.select("id").distinct().hint("merge")
+    texts = stage.table("texts", source.join(wanted, "id", "left_semi"))
     links = stage.table("links-1", _verify(first, texts, shingle, num, den))
     found = components(links, stage, "components-1")
 
@@ -244,13 +245,11 @@ def near_duplicates(
     open_members = members.join(found.withColumnRenamed("id", "fp"), "fp", "left")
     open_members = open_members.select("key", F.coalesce("component", "fp").alias("component"), node.alias("a"))
     mixed = stage.table("mixed", _still_mixed(open_members))
-    second = _second_round(mixed, source, stage, shingle, num, den).select(*pairs("a", "b")).distinct()
+    second = _second_round(mixed, texts, stage, shingle, num, den).select(*pairs("a", "b")).distinct()
     second = stage.table("pairs-2", second.join(first, ["a", "b"], "left_anti"))
     if second.isEmpty():
         links_all = found
     else:
-        need = second.select(F.col("a_id").alias("id")).union(second.select(F.col("b_id").alias("id"))).distinct()
-        texts = stage.table("texts-2", source.join(need, "id", "left_semi"))
         more = stage.table("links-2", _verify(second, texts, shingle, num, den))
         links_all = found if more.isEmpty() else components(links.union(more), stage, "components-2")
 
