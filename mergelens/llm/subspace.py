@@ -36,7 +36,7 @@ from mergelens.sources.staging import Staging
 
 _BLUR = 1e-4
 _PAIRS = 100_000  # checked at once
-_ROWS = 512  # of a strip against the other strip at once
+_ROWS, _COLUMNS = 256, 2048  # of two strips at once: their distances fit a processor's cache
 
 
 def rotation(dim: int, seed: int = 1) -> np.ndarray:
@@ -86,27 +86,37 @@ def _tile_links(
     """Links per row, and a root per row, from pairs of ``left`` and ``right`` (None: pairs inside ``left``)."""
     turned = unit @ turn
     cut = turned[:, edges[block] : edges[block + 1]].astype(np.float32)
-    squares = (cut * cut).sum(axis=1)
+    squares, one = (cut * cut).sum(axis=1, keepdims=True), np.ones((len(cut), 1), np.float32)
+    # One product gives squared distances: |x|^2 - 2xy + |y|^2.
+    plus, minus = np.hstack([cut, one, squares]), np.hstack([-2 * cut, squares, one])
     most = np.float32(budgets[block] * 1.001 + 1e-6)
     counts, forest = np.zeros(len(unit), np.int64), _Forest(len(unit))
     other = left if right is None else right
-    for at in range(0, len(left), _ROWS):
-        rows = left[at : at + _ROWS]
-        near = squares[rows][:, None] + squares[other][None, :] - 2 * (cut[rows] @ cut[other].T) <= most
-        if right is None:
-            near &= np.arange(len(other))[None, :] > (at + np.arange(len(rows)))[:, None]
-        one, two = np.nonzero(near)
-        for part in range(0, len(one), _PAIRS):
-            p, q = rows[one[part : part + _PAIRS]], other[two[part : part + _PAIRS]]
-            apart = np.add.reduceat((turned[p] - turned[q]) ** 2, edges[:-1], axis=1)
-            within = apart <= budgets
-            good = (within.argmax(axis=1) == block) & within[:, block]
-            p, q = p[good], q[good]
-            good = (unit[p] * unit[q]).sum(axis=1) >= cosine
-            p, q = p[good], q[good]
-            counts += np.bincount(p, weight[q], len(unit)).astype(np.int64)
-            counts += np.bincount(q, weight[p], len(unit)).astype(np.int64)
-            forest.join(p, q)
+
+    def check(p: np.ndarray, q: np.ndarray) -> None:
+        apart = np.add.reduceat((turned[p] - turned[q]) ** 2, edges[:-1], axis=1)
+        within = apart <= budgets
+        good = (within.argmax(axis=1) == block) & within[:, block]
+        p, q = p[good], q[good]
+        good = (unit[p] * unit[q]).sum(axis=1) >= cosine
+        p, q = p[good], q[good]
+        np.add.at(counts, p, weight[q])
+        np.add.at(counts, q, weight[p])
+        forest.join(p, q)
+
+    for begin in range(0, len(other), _COLUMNS):
+        columns = other[begin : begin + _COLUMNS]
+        facing = plus[columns].T.copy()
+        # Inside one strip a pair is met once, with its later member as column.
+        last = len(left) if right is not None else min(len(left), begin + len(columns))
+        for at in range(0, last, _ROWS):
+            rows = left[at : min(at + _ROWS, last)]
+            one, two = np.nonzero(minus[rows] @ facing <= most)
+            if right is None:
+                later = begin + two > at + one
+                one, two = one[later], two[later]
+            for part in range(0, len(one), _PAIRS):
+                check(rows[one[part : part + _PAIRS]], columns[two[part : part + _PAIRS]])
     return counts, forest.root
 
 
