@@ -28,7 +28,7 @@ _PARAGRAPH = r"\\n|(?<=[.!?]) "
 _BASE = 4  # cells in a row of the fingerprint
 _WIDER = (4, 16, 64)
 _GROUP, _SPLIT = 8, 16
-_ROUNDS = 12
+_ROUNDS = 7
 _PLACES = (0, 9, 23)  # bits of a digest that place it in a row
 
 
@@ -39,30 +39,31 @@ def digests(text: str) -> Column:
     )
 
 
-def _hits(x: str, cell: str, width: int) -> str:
-    """Whether digest ``x`` falls into cell number ``cell``, counted over the three rows."""
-    shift = f"case {cell} div {width} " + " ".join(f"when {row} then {bits}" for row, bits in enumerate(_PLACES)) + " end"
-    return f"(shiftrightunsigned({x}, {shift}) & {width - 1}) = {cell} % {width}"
+def _in_row(signed: str, row: int, width: int, cell: str) -> str:
+    """The members of an array of (x, s) that fall into a cell of a row."""
+    return f"filter({signed}, e -> (shiftrightunsigned(e.x, {_PLACES[row]}) & {width - 1}L) = {cell})"
 
 
-def _cells(signed: str, width: int) -> str:
-    """Cells of an array of (x, s), s being 1 or -1 for the side a digest is on."""
+def _row(signed: str, row: int, width: int) -> str:
+    """A row of cells over an array of (x, s), s being 1 or -1 for the side a digest is on."""
     zero = "struct(0L as n, 0L as k, 0L as h)"
     add = "(a, e) -> struct(a.n + e.s as n, a.k ^ e.x as k, a.h ^ xxhash64(e.x) as h)"
-    inside = f"filter({signed}, e -> {_hits('e.x', 'c', width)})"
-    return f"transform(sequence(0, {3 * width - 1}), c -> aggregate({inside}, {zero}, {add}))"
+    return f"transform(sequence(0L, {width - 1}L), c -> aggregate({_in_row(signed, row, width, 'c')}, {zero}, {add}))"
 
 
 def _peeled(signed: str, width: int) -> str:
     """The digests (x, s) recovered from the cells of ``signed``, or null if some are left."""
-    pure = "array_distinct(transform(filter(t.c, q -> abs(q.n) = 1 and xxhash64(q.k) = q.h), q -> struct(q.k as x, q.n as s)))"
+    cells = "concat(t.c0, t.c1, t.c2)"
+    pure = f"array_distinct(transform(filter({cells}, q -> abs(q.n) = 1 and xxhash64(q.k) = q.h), q -> struct(q.k as x, q.n as s)))"
     take = "(a, e) -> struct(a.n - e.s as n, a.k ^ e.x as k, a.h ^ xxhash64(e.x) as h)"
-    rest = f"transform(t.c, (q, i) -> aggregate(filter(u, e -> {_hits('e.x', 'i', width)}), q, {take}))"
-    step = f"if(size(u) = 0, t, struct({rest} as c, concat(t.r, u) as r))"
+    rest = ", ".join(
+        f"transform(t.c{row}, (q, i) -> aggregate({_in_row('u', row, width, 'i')}, q, {take})) as c{row}" for row in range(3)
+    )
+    step = f"if(size(u) = 0, t, struct({rest}, concat(t.r, u) as r))"
     none = "cast(array() as array<struct<x:bigint,s:bigint>>)"
-    state = f"struct({_cells(signed, width)} as c, {none} as r)"
+    state = "struct(" + ", ".join(f"{_row(signed, row, width)} as c{row}" for row in range(3)) + f", {none} as r)"
     run = f"aggregate(sequence(1, {_ROUNDS}), {state}, (t, z) -> element_at(transform(array({pure}), u -> {step}), 1))"
-    empty = "forall(o.c, q -> q.n = 0 and q.k = 0 and q.h = 0)"
+    empty = "forall(concat(o.c0, o.c1, o.c2), q -> q.n = 0 and q.k = 0 and q.h = 0)"
     return f"element_at(transform(array({run}), o -> if({empty}, o.r, null)), 1)"
 
 
@@ -86,7 +87,10 @@ def fingerprint(digest_array: str) -> Column:
     """The smallest sketch as text: count, digests and hashes of each cell in hexadecimal."""
     signed = f"transform({digest_array}, d -> struct(d as x, 1L as s))"
     part = "concat(lpad(hex(q.n), 4, '0'), lpad(hex(q.k), 16, '0'), lpad(right(hex(q.h), 8), 8, '0'))"
-    return F.expr(f"lower(array_join(transform({_cells(signed, _BASE)}, q -> {part}), ''))")
+    cells = "concat(" + ", ".join(_row("v", row, _BASE) for row in range(3)) + ")"
+    return F.expr(
+        f"element_at(transform(array({signed}), v -> lower(array_join(transform({cells}, q -> {part}), ''))), 1)"
+    )
 
 
 def likeness(left: str, right: str, differing: str) -> Column:
@@ -125,24 +129,23 @@ def fingerprint_edits(docs: DataFrame, stage: Staging, id: str = "doc_id", text:
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lowest = F.lit(-(2**63)).cast("long")
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), body.alias("text"))
-    rows = rows.withColumns({"k": F.coalesce("doc_id", lowest), "h": F.xxhash64("text")})
+    rows = docs.select(F.coalesce(F.col(id).cast("long"), lowest).alias("k"), body.alias("text"))
+    rows = rows.select("k", F.xxhash64("text").alias("h"), "text")
     keys = rows.select("k", "h", F.length("text").alias("n")).distinct()
     order = stage.table("successors", _successors(keys, stage))
-    # One exchange of the texts serves both joins.
-    unique = rows.groupBy("k", "h").agg(
-        F.first("text").alias("text"), F.first("doc_id").alias("doc_id"), F.count("*").alias("copies")
-    )
+    # Both joins read the texts by (k, h), so one exchange of the texts serves both.
     half = F.floor(F.col("n") / 2).cast("int")
-    following = order.join(unique.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), "text"), ["next_k", "next_h"])
+    after = rows.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), "text")
+    following = order.join(after, ["next_k", "next_h"])
     following = following.select("k", "h", F.substring("text", F.lit(1), half).alias("insert"), digests("text").alias("c"))
-    both = unique.join(following, ["k", "h"])
+    both = rows.join(following.dropDuplicates(["k", "h"]), ["k", "h"])
     length = F.length("text")
     kept = length - F.floor(length / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), kept), F.col("insert")).alias("edited")
-    both = both.select("doc_id", "copies", length.cast("long").alias("n_chars"), "text", edited, "c")
+    doc_id = F.nullif(F.col("k"), lowest).alias("doc_id")
+    both = both.select(doc_id, length.cast("long").alias("n_chars"), "text", edited, "c")
     both = both.select(
-        "doc_id", "copies", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         digests("text").alias("a"), digests("edited").alias("b"), "c",
     )
     both = both.select(
@@ -153,5 +156,4 @@ def fingerprint_edits(docs: DataFrame, stage: Staging, id: str = "doc_id", text:
     return both.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness("a", "b", "edit_size").alias("near_edited"), likeness("a", "c", "gap_size").alias("near_next"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-    ).drop("copy")
+    )
