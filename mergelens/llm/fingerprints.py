@@ -135,9 +135,14 @@ def fingerprint_edits(docs: DataFrame, stage: Staging, id: str = "doc_id", text:
     order = stage.table("successors", _successors(keys, stage))
     # Both joins read the texts by (k, h), so one exchange of the texts serves both.
     half = F.floor(F.col("n") / 2).cast("int")
-    after = rows.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), "text")
-    following = order.join(after, ["next_k", "next_h"])
-    following = following.select("k", "h", F.substring("text", F.lit(1), half).alias("insert"), digests("text").alias("c"))
+    # (They must be the same columns by the same expressions, so the order is renamed.)
+    wanted = order.select(
+        F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("own_k"), F.col("h").alias("own_h"), "n"
+    )
+    following = wanted.join(rows, ["k", "h"]).select(
+        F.col("own_k").alias("k"), F.col("own_h").alias("h"),
+        F.substring("text", F.lit(1), half).alias("insert"), digests("text").alias("c"),
+    )
     both = rows.join(following.dropDuplicates(["k", "h"]), ["k", "h"])
     length = F.length("text")
     kept = length - F.floor(length / 2).cast("int")
