@@ -103,6 +103,29 @@ def test_score_odd_documents(spark, stage, odd_docs, no_docs):  # noqa: F811
     assert {(r["base_score"], r["score"], r["n_known"]) for r in nothing} == {(0.0, 0.0, 0)}
 
 
+def test_every_seen_bigram_is_an_arc(spark, stage, documents):  # noqa: F811
+    docs = spark.createDataFrame([(d[0], d[1]) for d in documents], "doc_id long, text string").repartition(5)
+    found = {r["doc_id"]: r for r in rows_of(lm.score(docs, F.col("doc_id") % 3 != 0, stage, ["doc_id"], block_bytes=20_000))}
+    tokens = {d[0]: ["<s>", *words_of(d[1]), "</s>"] for d in documents}
+    learned = [t for doc_id, t in tokens.items() if doc_id % 3 != 0]
+    c, pairs = Counter(w for t in learned for w in t), Counter(p for t in learned for p in zip(t, t[1:], strict=False))
+    n, v = sum(x for w, x in c.items() if w != "<s>"), len(c) - 1
+    once, twice = (sum(1 for w, x in c.items() if x == k and w != "<s>") for k in (1, 2))
+    d, m = min(0.9, max(0.1, once / max(1, once + 2 * twice))), 100.0
+    for doc_id, t in tokens.items():
+        root = [(c[w] - d) / n if c[w] else d * v / n for w in t]
+        want = sum(np.log10((pairs[t[i - 1], t[i]] + m * root[i]) / (c[t[i - 1]] + m)) for i in range(1, len(t)))
+        assert found[doc_id]["score"] == pytest.approx(want)
+
+
+def test_rare_words_have_arcs_at_any_size(spark, stage):  # noqa: F811
+    common = spark.range(200).select("id", F.lit(" ".join(f"w{i}" for i in range(1000))).alias("text"))
+    seen = [(1000, "alpha beta"), (1001, "alpha beta"), (2000, "alpha beta"), (2001, "beta alpha")]
+    docs = common.unionByName(spark.createDataFrame(seen, "id long, text string"))
+    got = {r["id"]: r["score"] for r in rows_of(lm.score(docs, F.col("id") < 2000, stage, ["id"]))}
+    assert got[2000] > got[2001] + 2
+
+
 # --- chats ----------------------------------------------------------------------------
 
 
