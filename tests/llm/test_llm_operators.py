@@ -309,6 +309,34 @@ def test_mix_odd_documents(spark, stage, odd_docs, no_docs):  # noqa: F811
     assert {r["taken"] for r in rows_of(mixing.mix(silent, stage.__class__(spark)))} == {0}
 
 
+def test_small_sources_reach_their_targets(spark, stage):  # noqa: F811
+    sizes = {"a": 4_000_000, "b": 1, "c": 5, "d": 40, None: 7} | {f"e{i:02}": i + 1 for i in range(30)}
+    rows = [(f"{s}", n // 2000, 2000) if n > 2000 else (s, 1, n) for s, n in sizes.items()]
+    frame = spark.createDataFrame(rows, "source string, copies int, n int")
+    frame = frame.select("source", F.explode(F.sequence(F.lit(1), "copies")).alias("doc_id"), F.expr("repeat('w ', n)").alias("text"))
+    taken = Counter()
+    out = mixing.mix(frame.withColumn("doc_id", F.xxhash64("source", "doc_id")), stage)
+    got = out.groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in got) == frame.count()
+    by_hand_targets = targets_by_hand(sizes)
+    by_pair = Counter((sizes[s], round(by_hand_targets[s], 3)) for s in sizes)
+    for r in got:
+        taken[r["source_size"], round(r["target"], 3)] += r["taken"]
+    assert taken == {(size, target): n * int(target + 0.5) for (size, target), n in by_pair.items()}
+
+
+def test_schedule_is_settled_block_by_block(spark):
+    sizes = {"a": 50_000, "b": 3, "c": 700, None: 1}
+    targets = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long"), 3).cache()
+    slots = -(-sum(sizes.values()) // 64)
+    got = rows_of(mixing.settle(mixing.schedule(targets, slots), targets, slots, 64))
+    assert len({r["slot"] for r in got}) == len(got)
+    for t in targets.collect():
+        own = sorted((r["block"], r["slot"], r["words"]) for r in got if r["rank"] == t["rank"])
+        assert [b for b, _, _ in own] == list(range(len(own))) and [s for _, s, _ in own] == sorted(s for _, s, _ in own)
+        assert sum(w for _, _, w in own) == int(t["target"] + 0.5) and {w for _, _, w in own[:-1]} <= {64}
+
+
 def test_targets_when_many_sources_are_capped(spark):
     sizes = {"a": 1, "b": 1000, "c": 1, "d": 1, "e": 5, None: 2}
     frame = spark.createDataFrame(list(sizes.items()), "source string, size long")
