@@ -23,8 +23,13 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without any letter go. Labels of the input teach the model."""
+    """Documents with a letter, whatever their language; labels of the input teach the model.
+
+    Without a usable label no language can be told, and all documents with a letter stay.
+    """
     model = langid.train(docs)
+    if not model["langs"]:
+        return docs.filter(langid.has_letter("text"))
     told = langid.predict(docs, model, [F.struct(*docs.columns).alias("_row")])
     return told.filter(F.col("lang_pred") != langid.UNKNOWN).select("_row.*")
 

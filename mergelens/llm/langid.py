@@ -28,6 +28,10 @@ UNKNOWN = "und"
 _FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
 
 
+def has_letter(text: str) -> Column:
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
 def ngram_buckets(text: str, order: int, buckets: int) -> np.ndarray:
     """Bucket of every n-gram of 1 to ``order`` code points."""
     points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
@@ -82,8 +86,7 @@ def train(
 def predict(docs: DataFrame, model: dict, keep: list[Column], text: str = "text") -> DataFrame:
     """The ``keep`` columns of every row with ``lang_pred`` and ``score``, its posterior probability."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*keep, F.when(has_letter, F.col(text)).alias("_text"))
+    rows = docs.select(*keep, F.when(has_letter(text), F.col(text)).alias("_text"))
     schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

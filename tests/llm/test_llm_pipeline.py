@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from conftest import SMALL
 from llm_cases import no_docs, odd_docs, stage  # noqa: F401
+from pyspark.sql import functions as F
 from test_llm_operators import check_mix, check_packed, components_by_hand, shingles, words_of
 
 import corpus_pipeline as cp
@@ -37,6 +38,13 @@ def test_language_stage_drops_texts_without_letters(steps):
     assert Counter(as_tuples(steps[0])) - Counter(as_tuples(steps[1])) == Counter(silent)
 
 
+def test_language_stage_without_labels_keeps_texts_with_letters(spark, odd_docs):  # noqa: F811
+    docs = odd_docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = cp.identify_language(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 3, 8, 9, 10, 11]
+
+
 def test_duplicate_stage_keeps_one_of_each_group(steps):
     rows = as_tuples(steps[1])
     sets = [shingles(r[1], 5) for r in rows]
