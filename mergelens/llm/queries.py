@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from mergelens.llm import chat, langid, lm, warc
+from mergelens.llm import chat, langid, lm, pii, warc
 from mergelens.llm.common import crc_remainder, staging, table
 from mergelens.llm.fingerprints import fingerprint_edits
 from mergelens.llm.idfile import read_documents, with_starts, write_ids
 from mergelens.llm.minhash import near_duplicates
 from mergelens.llm.mixing import mix
 from mergelens.llm.packing import pack_documents
+from mergelens.llm.phrases import collocations
+from mergelens.llm.spelling import group_variants
 from mergelens.llm.subspace import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +110,44 @@ def op10_language_id(spark, sf_dir):
     held_out = (crc_remainder("doc_id", 4) == 2).alias("held_out")
     model = langid.train(docs.filter(~held_out))
     return langid.predict(docs, model, ["doc_id", held_out])
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def counted_words(docs: DataFrame, min_length: int = 7, min_count: int = 2) -> DataFrame:
+    """``word`` and ``n``: runs of letters, lower-cased, some with one letter left out as their hash with the id says."""
+    runs = F.regexp_extract_all(F.translate("text", _UPPER, _LOWER), F.lit("[a-z\u00C0-\u00FF]+"), F.lit(0))
+    found = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(runs).alias("run"))
+    length, h = F.length("run"), F.crc32(F.concat("id", F.lit(":"), "run").cast("binary"))
+    found = found.filter(length >= min_length).select("run", h.alias("h"), (h % length).cast("int").alias("at"))
+    cut = F.concat(F.substring(F.col("run"), F.lit(1), F.col("at")), F.substring(F.col("run"), F.col("at") + 2, length))
+    words = found.select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word"))
+    return words.filter(F.length("word") >= min_length).groupBy("word").agg(F.count("*").alias("n")).filter(
+        F.col("n") >= min_count
+    )
+
+
+@_query
+def op11_bloom_variants(spark, sf_dir):
+    return group_variants(counted_words(table(spark, sf_dir, "documents")), staging(spark))
+
+
+@_query
+def op12_personal_data(spark, sf_dir):
+    found = pii.find_spans(table(spark, sf_dir, "documents"), ["doc_id"])
+
+    def of(*kinds):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    digest = F.sha2(joined(of(*pii.BASE_KINDS)).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, joined(F.col("spans")).alias("spans"))
+
+
+@_query
+def op13_phrase_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"), staging(spark))

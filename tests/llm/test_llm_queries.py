@@ -18,7 +18,7 @@ def duck():
 
 
 def test_one_query_per_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry_module.queries())
     assert set(ORACLE) <= set(QUERIES) and set(ORACLE) <= set(entry_module.oracle_sql())
     assert entry_module.queries()["pipeline"] is corpus_pipeline.run
