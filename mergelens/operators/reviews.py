@@ -9,6 +9,7 @@ from mergelens.functions import fixed
 from mergelens.functions.parsing import linked, nonempty
 from mergelens.operators.skew import with_next
 from mergelens.operators.tables import PR_KEY, Tables
+from mergelens.sources.staging import Staging
 
 _RESPONSE_MICROS = fixed.RESPONSE_HOURS * 3600 * 1_000_000
 REVIEW_COLUMNS = [*PR_KEY, "id", "user_login", "state", "submitted_at"]
@@ -76,12 +77,14 @@ def with_pr(rows: DataFrame, prs: DataFrame, *columns: str) -> DataFrame:
     return rows.join(prs.select(*PR_KEY, F.col("user_login").alias("pr_author"), *columns), PR_KEY, "left")
 
 
-def with_followups(reviews: DataFrame, tables: Tables, next_review: bool = True) -> DataFrame:
+def with_followups(
+    reviews: DataFrame, tables: Tables, next_review: bool = True, staging: Staging | None = None
+) -> DataFrame:
     """Add to reviews when the author's next commit and the next review came.
 
-    ``next_commit_at`` and ``next_review_at`` are strictly later than the review.
+    ``next_commit`` and ``next_review`` are strictly later than the review.
     Reviews and commits meet their pull request in one join, and each other in
-    slices of it.
+    one scan of both. Commits of others than the author are left out before it.
     """
     none = F.lit(None)
     asks = reviews.select(
@@ -98,10 +101,11 @@ def with_followups(reviews: DataFrame, tables: Tables, next_review: bool = True)
     )
     events = asks.unionByName(commits)
     joined = with_pr(events, tables.pull_requests, "merged", "created_at", "merged_at", "closed_at")
-    wanted = {"next_commit": ~F.col("is_review") & (F.col("user_login") == F.col("pr_author"))}
+    joined = joined.filter(F.col("is_review") | (F.col("user_login") == F.col("pr_author")))
+    wanted = {"next_commit": ~F.col("is_review")}
     if next_review:
         wanted["next_review"] = F.col("is_review")
-    followed = with_next(joined, PR_KEY, "at_micros", wanted)
+    followed = with_next(joined, PR_KEY, "at_micros", wanted, staging)
     return followed.filter("is_review").drop("is_review")
 
 
@@ -116,7 +120,7 @@ def answered_in_time() -> Column:
     return F.coalesce(F.col("merged") & (F.col("next_commit") <= limit) & alone, F.lit(False))
 
 
-def review_facts(tables: Tables) -> DataFrame:
+def review_facts(tables: Tables, staging: Staging | None = None) -> DataFrame:
     """Every review with what followed it.
 
     Columns: key, id, user_login, state, submitted_at, is_change_request,
@@ -124,7 +128,7 @@ def review_facts(tables: Tables) -> DataFrame:
     pr_author, merged, created_at of the pull request, at_micros, next_commit.
     """
     answer = ("pr_author", "merged", "created_at", "at_micros", "next_commit")
-    followed = with_followups(tables.reviews, tables)
+    followed = with_followups(tables.reviews, tables, staging=staging)
     events = followed.join(last_events(tables.timeline), PR_KEY, "left")
     flagged = events.select(
         *REVIEW_COLUMNS,
