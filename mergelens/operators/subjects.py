@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mergelens.functions import fixed
 from mergelens.functions.times import in_period
-from mergelens.operators.tables import CHILDREN, PR_KEY
+from mergelens.operators.tables import MONTH, PR_KEY, month_of
 
 SUBJECT = ["dump_id", "user_login", "start_date", "end_date"]
 
@@ -39,24 +39,48 @@ def within(instant: str):
     return in_period(F.col(instant), F.col("start_date"), F.col("end_date"))
 
 
+def in_months(rows: DataFrame, subjects: DataFrame, from_start: bool = True) -> DataFrame:
+    """Of a landed table only the months that the subjects' periods touch, as literals, so other folders are not listed.
+
+    ``from_start`` is false where rows of earlier months can matter. Tables
+    without months are left as they are, and an open bound of any subject does not limit.
+    """
+    if MONTH not in rows.columns:
+        return rows
+    bounds = subjects.agg(
+        F.min(month_of(F.col("start_date"))).alias("low"),
+        F.max(month_of(F.col("end_date"))).alias("high"),
+        F.count_if(F.col("start_date").isNull()).alias("no_start"),
+        F.count_if(F.col("end_date").isNull()).alias("no_end"),
+    ).first()
+    if from_start and bounds["low"] is not None and not bounds["no_start"]:
+        rows = rows.filter(F.col(MONTH) >= bounds["low"])
+    if bounds["high"] is not None and not bounds["no_end"]:
+        rows = rows.filter(F.col(MONTH) <= bounds["high"])
+    return rows
+
+
 def user_prs(prs: DataFrame, subjects: DataFrame) -> DataFrame:
     """Pull requests a subject opened in the period."""
+    prs = in_months(prs, subjects)
     return of_subjects(prs, subjects, "user_login").filter(within("created_at"))
 
 
 def user_merged_prs(prs: DataFrame, subjects: DataFrame) -> DataFrame:
     """A subject's pull requests merged in the period, whenever they were opened."""
+    prs = in_months(prs, subjects, from_start=False)
     merged = prs.filter(F.col("merged") & F.col("merged_at").isNotNull())
     return of_subjects(merged, subjects, "user_login").filter(within("merged_at"))
 
 
 def user_reviews(reviews: DataFrame, subjects: DataFrame) -> DataFrame:
-    return of_subjects(reviews, subjects, "user_login").filter(within("submitted_at"))
+    """Reviews a subject submitted in the period."""
+    return of_subjects(in_months(reviews, subjects), subjects, "user_login").filter(within("submitted_at"))
 
 
 def user_commits(commits: DataFrame, subjects: DataFrame) -> DataFrame:
     """Commits a subject authored in the period."""
-    return of_subjects(commits, subjects, "author_login").filter(within("date"))
+    return of_subjects(in_months(commits, subjects), subjects, "author_login").filter(within("date"))
 
 
 def acted_prs(
@@ -94,19 +118,3 @@ def per_subject(rows: DataFrame, acted: DataFrame, subjects: DataFrame) -> DataF
     who = subjects.select("dump_id", F.col("user_login").alias("subject_login")).distinct()
     pairs = acted.withColumnRenamed("user_login", "subject_login").join(who, ["dump_id", "subject_login"], "left_semi")
     return rows.join(pairs, PR_KEY)
-
-
-__all__ = [
-    "CHILDREN",
-    "SUBJECT",
-    "acted_prs",
-    "keep",
-    "kept_keys",
-    "of_subjects",
-    "per_subject",
-    "user_commits",
-    "user_merged_prs",
-    "user_prs",
-    "user_reviews",
-    "with_default_period",
-]

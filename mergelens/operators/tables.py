@@ -6,12 +6,21 @@ from collections.abc import Collection
 from dataclasses import dataclass, fields
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # A pull request is identified within a dump by its number, as its children
 # know no more; ``repo_key`` is empty unless repositories are kept apart.
 PR_KEY = ["dump_id", "repo_key", "number"]
 
+# Folder column of landed tables: year and month of a row's own time as one number, 0 without one.
+MONTH = "month"
+
+
+def month_of(instant: Column) -> Column:
+    return F.year(instant) * 100 + F.month(instant)
+
+
 CHILDREN = ("reviews", "commits", "comments", "files", "timeline")
 
 

@@ -16,6 +16,7 @@ _WITHOUT_WINDOW = (
     "acted_prs", "subject_children", "pr_children", "review_comments_by_review", "review_with_pr", "is_change_request",
     "event_after_review", "merged_after_review", "next_author_commit", "next_review", "effective_change_request",
     "review_path_overlap", "first_external_review", "pr_interactions", "interaction_breakdown", "pr_activity_seq",
+    "ordered_pr_numbers_open_period",
 )
 _RATED = {
     "pr_throughput": ("merge_ratio", ">= 0.9", ">= 0.7", ">= 0.5"),
@@ -470,6 +471,33 @@ UNION ALL SELECT 'comments', count(*) FROM seen_comments WHERE number IN (SELECT
     sql["multi_dump_load"] = f"""
 SELECT dump, summary.* FROM ({sql["dump_summary"]}) summary, (VALUES ('a'), ('b')) dumps(dump)"""
 
+    sql["reload_changed_prs"] = f"""{raw}
+SELECT 'pull_requests' AS "table", title || ' ' || u.login AS item, number FROM raw_kept JOIN people u ON u.id = author_id
+UNION ALL SELECT 'reviews', r.id || ' ' || u.login, number FROM seen_reviews r JOIN people u ON u.id = actor_id
+UNION ALL SELECT 'commits', sha || ' ' || u.login, number FROM usable_commits c JOIN people u ON u.id = user_id
+UNION ALL SELECT 'comments', r.id || ' ' || u.login, number FROM seen_comments r JOIN people u ON u.id = actor_id
+UNION ALL SELECT 'timeline', t.id || ' ' || u.login, number FROM seen_timeline t JOIN people u ON u.id = actor_id
+UNION ALL SELECT 'files', 'blob' || number || filename, number FROM files
+UNION ALL SELECT 'users', login || ' ' || type, id FROM people
+UNION ALL SELECT DISTINCT 'repositories', 'org/repo' || repo_id, repo_id + 900 FROM prs"""
+    sql["landed_period_reviews"] = f"""{raw}
+SELECT u.login AS user_login, r.id, number FROM seen_reviews r JOIN people u ON u.id = actor_id
+WHERE ts_h BETWEEN epoch(TIMESTAMP '1997-03-01') // 3600 AND epoch(TIMESTAMP '1997-08-31 23:00:00') // 3600"""
+    header = sql["dump_summary"]
+    sql["report_header_counts"] = f"""
+SELECT 'user_7' AS user_login, CAST(epoch(TIMESTAMP '1996-01-01') // 3600 AS BIGINT) AS start_h,
+       CAST(epoch(TIMESTAMP '2000-12-31') // 3600 AS BIGINT) AS end_h, summary.* FROM ({header}) summary"""
+    sql["dump_to_report"] = f"""{raw}, own AS (
+  SELECT p.*, u.login AS name FROM raw_kept p JOIN people u ON u.id = author_id WHERE u.login = 'user_7'
+), counted AS (
+  SELECT count(*) FILTER (created_h BETWEEN ws AND we) AS opened,
+         count(*) FILTER (merged AND merged_h BETWEEN ws AND we) AS merged
+  FROM own, bounds WHERE number IN (SELECT number FROM kept)
+)
+SELECT 'user_7' AS user_login, 'pr_throughput' AS metric_slug, opened, merged FROM counted
+UNION ALL SELECT 'user_7', 'cycle_time', NULL, merged FROM counted
+UNION ALL SELECT 'user_7', 'pr_merge_effectiveness', NULL, nullif(merged, 0) FROM counted"""
+
     # --- a user's rows ---
     sql["user_prs"] = f"""{base}
 SELECT user_login, number FROM prs JOIN subjects ON author = user_login
@@ -536,6 +564,9 @@ SELECT number, kind, id AS row_id, row_number() OVER (PARTITION BY number ORDER
 SELECT user_login, number, row_number() OVER (PARTITION BY author ORDER BY created_h, number) AS position
 FROM prs JOIN subjects ON author = user_login
 WHERE created_h BETWEEN coalesce(ps, created_h) AND coalesce(pe, created_h)"""
+    sql["ordered_pr_numbers_open_period"] = f"""{base}
+SELECT author AS user_login, number, row_number() OVER (PARTITION BY author ORDER BY created_h, number) AS position
+FROM prs"""
     sql["merge_time_hours"] = f"""{base}
 SELECT number, CAST(merged_h - created_h AS DOUBLE) AS merge_hours, CAST(closed_h - created_h AS DOUBLE) AS open_hours
 FROM all_prs"""

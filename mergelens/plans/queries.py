@@ -22,8 +22,9 @@ from mergelens.operators.skew import with_next, with_position
 from mergelens.operators.tables import PR_KEY, Tables
 from mergelens.plans import star
 from mergelens.plans.metrics import metrics
-from mergelens.plans.report import dataset_summary, report, report_items
+from mergelens.plans.report import dataset_summary, report, report_header, report_items
 from mergelens.sources import dump, listing, load, sinks
+from mergelens.sources.landing import Landing
 from mergelens.sources.staging import Staging
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -365,6 +366,84 @@ def multi_dump_load(spark, sf_dir):
     return dataset_summary(tables).select(F.substring_index("dump_id", "/", -1).alias("dump"), "table", "rows")
 
 
+def _reloaded(spark: SparkSession, sf_dir: str) -> Landing:
+    """Tables landed by two batches, of which the second brings changed pull requests."""
+
+    def land(staging: Staging) -> Landing:
+        landing = Landing(spark, f"{staging.path}/landed", slots=4)
+        for raw in star.raw_batches(spark, sf_dir):
+            landing.append(raw, star.MANIFEST, star.MANIFEST.frame(spark))
+        return landing
+
+    return star.landed_once(spark, "reloaded", sf_dir, land)
+
+
+@_query
+def reload_changed_prs(spark, sf_dir):
+    """Two batches give the tables of one load of both: rows of each table, with present names."""
+    tables = _reloaded(spark, sf_dir).tables()
+    named = {
+        "pull_requests": (F.concat_ws(" ", "title", "user_login"), F.col("number")),
+        "reviews": (F.concat_ws(" ", "id", "user_login"), F.col("number")),
+        "commits": (F.concat_ws(" ", "sha", "author_login"), F.col("number")),
+        "comments": (F.concat_ws(" ", "id", "user_login"), F.col("number")),
+        "timeline": (F.concat_ws(" ", "id", "actor_login"), F.col("number")),
+        "files": (F.col("sha"), F.col("number")),
+        "users": (F.concat_ws(" ", "login", "type"), F.col("id")),
+        "repositories": (F.col("full_name"), F.col("owner_id")),
+    }
+    parts = [
+        getattr(tables, name).select(F.lit(name).alias("table"), item.alias("item"), number.alias("number"))
+        for name, (item, number) in named.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@_query
+def landed_period_reviews(spark, sf_dir):
+    """Reviews of one user in one half-year, read from the months it touches."""
+    tables = _reloaded(spark, sf_dir).tables()
+    start, end = parse_time("1997-03-01T00:00:00Z"), parse_time("1997-08-31T23:00:00Z")
+    period = [F.lit(t).cast("timestamp").alias(n) for t, n in ((start, "start_date"), (end, "end_date"))]
+    subjects = tables.users.select("dump_id", F.col("login").alias("user_login"), *period)
+    return sj.user_reviews(tables.reviews, subjects).select("user_login", "id", "number")
+
+
+def _dump_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """Canonical tables of one dump of JSON lines, pruned to its user, read once per session."""
+
+    def land(staging: Staging) -> Tables:
+        root = f"{staging.path}/{star.DUMP}"
+        sinks.append_tables(
+            {name: rows.drop("dump_id", "line_ord") for name, rows in star.raw_tables(spark, sf_dir).items()}, root
+        )
+        sinks.write_manifest(spark, root, star.MANIFEST.fields)
+        return load.read_dump(spark, root, staging=Staging(spark))
+
+    return star.landed_once(spark, "dump tables", sf_dir, land)
+
+
+@_query
+def report_header_counts(spark, sf_dir):
+    """User, period and row counts of a dump of JSON lines."""
+    return report_header(_dump_tables(spark, sf_dir)).select(
+        "user_login", _hour("start_date").alias("start_h"), _hour("end_date").alias("end_h"), "table", "rows"
+    )
+
+
+@_query
+def dump_to_report(spark, sf_dir):
+    """From JSON lines to the report of the dump's own user, over its period."""
+    tables = _dump_tables(spark, sf_dir)
+    subjects = tables.manifests.select(*sj.SUBJECT)
+    rows = report(tables, subjects, staging=Staging(spark))[0]
+    opened = F.get_json_object("details", "$.opened_count").cast("long")
+    merged = F.coalesce(F.get_json_object("details", "$.merged_count"), F.get_json_object("details", "$.merged_pr_count"))
+    return rows.filter(F.col("metric_slug").isin("pr_throughput", "cycle_time", "pr_merge_effectiveness")).select(
+        "user_login", "metric_slug", opened.alias("opened"), merged.cast("long").alias("merged")
+    )
+
+
 # --- a user's rows -------------------------------------------------------------------
 
 
@@ -551,6 +630,16 @@ def ordered_pr_numbers(spark, sf_dir):
     return with_position(rows, sj.SUBJECT, "at_micros", ["line_ord"]).select("user_login", "number", "position")
 
 
+@_query
+def ordered_pr_numbers_open_period(spark, sf_dir):
+    """All pull requests of each author, in order of creation: periods without bounds, tables without a window."""
+    prs = star.whole_tables(spark, sf_dir).pull_requests
+    none = F.lit(None).cast("timestamp")
+    subjects = prs.select("dump_id", "user_login", none.alias("start_date"), none.alias("end_date")).distinct()
+    rows = sj.user_prs(prs, subjects).select(*sj.SUBJECT, "number", "line_ord", F.unix_micros("created_at").alias("at_micros"))
+    return with_position(rows, sj.SUBJECT, "at_micros", ["line_ord"]).select("user_login", "number", "position")
+
+
 @_query
 def merge_time_hours(spark, sf_dir):
     prs = star.all_tables(spark, sf_dir).pull_requests

@@ -499,6 +499,25 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {name: raw_table(spark, sf_dir, name) for name in _RAW}
 
 
+def raw_batches(spark: SparkSession, sf_dir: str) -> list[dict[str, DataFrame]]:
+    """The raw tables as two fetches: later copies, some pull requests and some children come with the second.
+
+    A pull request whose number divides by 3 is first seen in the second fetch, with all
+    its children; of others divided by 4, children with an odd line number are.
+    """
+
+    def second(name: str, rows: DataFrame) -> Column:
+        if name == "pull_requests":
+            number = F.col("number")
+            return (number % 3 == 0) | (F.col("line_ord") >= SECOND_COPY)
+        number = F.col("line_ord") if name == "files" else F.floor(F.col("line_ord") / 100)
+        late = F.lit(False) if name == "files" else (number % 4 == 0) & (F.col("line_ord") % 2 == 1)
+        return (number % 3 == 0) | late
+
+    raw = raw_tables(spark, sf_dir)
+    return [{name: rows.filter(second(name, rows) == late) for name, rows in raw.items()} for late in (False, True)]
+
+
 def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested record per pull request, as a fetch job hands it over.
 
