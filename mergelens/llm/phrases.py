@@ -303,7 +303,10 @@ def _phrase_counts(docs: DataFrame, stage: Staging, scratch: Staging, least: int
     totals = stage.table("totals", words.groupBy("lang").agg(F.sum("n").alias("total")))
     shard = F.lit(0).alias("shard")
     sent = spark.sparkContext.broadcast(bloom.build(frequent.select(shard, "h"), max_bytes).shards)
-    pairs = scratch.table("pairs", _count_pairs(docs, seed, sent).filter(F.col("n") >= least))
+    # Suffixes go on over pairs of a quarter of the count: how many are routed then
+    # grows with the texts, not with the share of pairs that have just become frequent.
+    bar = max(1, least // 4)
+    pairs = scratch.table("pairs", _count_pairs(docs, seed, sent).filter(F.col("n") >= bar))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,7 +319,7 @@ def _phrase_counts(docs: DataFrame, stage: Staging, scratch: Staging, least: int
     suffixes = scratch.table("suffixes", _suffixes(docs, seed, sent))
     counts = (
         _sorted_counts(suffixes, least)
-        .unionByName(pairs.select(F.array("w1", "w2").alias("p"), F.col("n").alias("f")))
+        .unionByName(pairs.filter(F.col("n") >= least).select(F.array("w1", "w2").alias("p"), F.col("n").alias("f")))
         .unionByName(frequent.select(F.array("h").alias("p"), F.col("n").alias("f")))
     )
     return frequent, totals, stage.table("counts", counts)
