@@ -11,7 +11,7 @@ import statistics
 import time
 
 from mergelens.plans import star
-from mergelens.plans.queries import QUERIES
+from mergelens.plans.queries import QUERIES, dump_tables
 from mergelens.session import local_session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -50,6 +50,7 @@ def main() -> None:
         query(name)  # warm up: code generation and file caches
         times[name] = statistics.median(timed(lambda: query(name)) for _ in range(RUNS))
     times = {name: round(seconds, 3) for name, seconds in times.items()}
+    load = timed(lambda: dump_tables(spark, SF_DIR))  # writes a dump of JSON lines and loads it
     print(
         json.dumps(
             {
@@ -57,6 +58,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "json_dump_written_and_loaded": round(load, 3),
                 "sf": SF_DIR.rstrip("/").rsplit("sf", 1)[-1],
                 "cpus": CPUS,
                 "runs": RUNS,

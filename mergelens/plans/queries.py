@@ -409,7 +409,7 @@ def landed_period_reviews(spark, sf_dir):
     return sj.user_reviews(tables.reviews, subjects).select("user_login", "id", "number")
 
 
-def _dump_tables(spark: SparkSession, sf_dir: str) -> Tables:
+def dump_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Canonical tables of one dump of JSON lines, pruned to its user, read once per session."""
 
     def land(staging: Staging) -> Tables:
@@ -426,7 +426,7 @@ def _dump_tables(spark: SparkSession, sf_dir: str) -> Tables:
 @_query
 def report_header_counts(spark, sf_dir):
     """User, period and row counts of a dump of JSON lines."""
-    return report_header(_dump_tables(spark, sf_dir)).select(
+    return report_header(dump_tables(spark, sf_dir)).select(
         "user_login", _hour("start_date").alias("start_h"), _hour("end_date").alias("end_h"), "table", "rows"
     )
 
@@ -434,7 +434,7 @@ def report_header_counts(spark, sf_dir):
 @_query
 def dump_to_report(spark, sf_dir):
     """From JSON lines to the report of the dump's own user, over its period."""
-    tables = _dump_tables(spark, sf_dir)
+    tables = dump_tables(spark, sf_dir)
     subjects = tables.manifests.select(*sj.SUBJECT)
     rows = report(tables, subjects, staging=Staging(spark))[0]
     opened = F.get_json_object("details", "$.opened_count").cast("long")
