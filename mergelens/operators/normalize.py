@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergelens.functions import fixed, parsing
-from mergelens.functions.times import parse_iso
+from mergelens.functions.times import offset_seconds, parse_iso
 from mergelens.operators.checks import Checks
 from mergelens.operators.tables import PR_KEY
 from mergelens.sources.dump import CORRUPT
@@ -84,7 +84,7 @@ class Normalizer:
 
         ``first_ord`` is the position of the first line of that key.
         """
-        lines = self._lines(raw, "pull_requests").withColumns(
+        lines = self._lines(raw, "pull_requests").withColumn("utc_offset", offset_seconds(F.col("created_at"))).withColumns(
             {name: parse_iso(F.col(name)) for name in ("created_at", "updated_at", "closed_at", "merged_at")}
         )
         lines = self._complete(lines, "pull_requests", "number", "created_at")
@@ -95,7 +95,7 @@ class Normalizer:
         sides = sides & parsing.valid_user("base.repo.owner", "Organization")
         lines = self.checks.require(lines, "pull_requests", "no valid user of a branch, or owner", sides)
         return last_line_per_pr(
-            lines.select("dump_id", self._repo(F.col("base.repo.full_name")), "number", "line_ord", *_pr_fields())
+            lines.select("dump_id", self._repo(F.col("base.repo.full_name")), "number", "line_ord", "utc_offset", *_pr_fields())
         )
 
     def reviews(self, raw: DataFrame, prs: DataFrame) -> DataFrame:
@@ -110,6 +110,7 @@ class Normalizer:
             "body",
             F.col("state").alias("raw_state"),
             parse_iso(F.col("submitted_at")).alias("submitted_at"),
+            offset_seconds(F.col("submitted_at")).alias("utc_offset"),
         )
         rows = self._complete(rows, "reviews", "submitted_at", "number", "raw_state", "id")
         rows = clip(rows, "submitted_at", self.windows)
@@ -134,6 +135,7 @@ class Normalizer:
             F.coalesce(_named("committer"), F.col("author")).alias("committer"),
             F.col("commit.message").alias("message"),
             parse_iso(date).alias("date"),
+            offset_seconds(date).alias("utc_offset"),
             "idx",
         )
         rows = self._complete(rows, "commits", "date")

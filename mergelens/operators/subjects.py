@@ -39,6 +39,33 @@ def within(instant: str):
     return in_period(F.col(instant), F.col("start_date"), F.col("end_date"))
 
 
+def naive_bounds(subjects: DataFrame) -> list[str]:
+    """Bounds given without a time zone."""
+    return [name for name, kind in subjects.dtypes if name in ("start_date", "end_date") and kind == "timestamp_ntz"]
+
+
+def resolved(subjects: DataFrame, rows: DataFrame | None = None, login: str = "", instant: str = "") -> DataFrame:
+    """Bounds without a time zone as instants, by the clock of the subject's first row.
+
+    The first row is the earliest, then the first in input order. Without rows, or where
+    they do not know their offset from UTC, bounds are taken as UTC.
+    """
+    naive = naive_bounds(subjects)
+    if not naive:
+        return subjects
+    offset = F.lit(0)
+    if rows is not None and "utc_offset" in rows.columns:
+        first = F.min_by("utc_offset", F.struct(instant, "line_ord")).alias("_offset")
+        known = rows.groupBy(F.col("dump_id").alias("_dump"), F.col(login).alias("_login")).agg(first)
+        same = (F.col("dump_id") == F.col("_dump")) & (F.col("user_login") == F.col("_login"))
+        subjects = subjects.join(known, same, "left")
+        offset = F.coalesce("_offset", F.lit(0))
+    ahead = F.make_dt_interval(secs=offset.cast("decimal(18, 6)"))
+    return subjects.withColumns({name: F.col(name).cast("timestamp") - ahead for name in naive}).drop(
+        "_dump", "_login", "_offset"
+    )
+
+
 def in_months(rows: DataFrame, subjects: DataFrame, from_start: bool = True) -> DataFrame:
     """Of a landed table only the months that the subjects' periods touch, as literals, so other folders are not listed.
 
@@ -62,12 +89,14 @@ def in_months(rows: DataFrame, subjects: DataFrame, from_start: bool = True) ->
 
 def user_prs(prs: DataFrame, subjects: DataFrame) -> DataFrame:
     """Pull requests a subject opened in the period."""
+    subjects = resolved(subjects, prs, "user_login", "created_at")
     prs = in_months(prs, subjects)
     return of_subjects(prs, subjects, "user_login").filter(within("created_at"))
 
 
 def user_merged_prs(prs: DataFrame, subjects: DataFrame) -> DataFrame:
     """A subject's pull requests merged in the period, whenever they were opened."""
+    subjects = resolved(subjects, prs, "user_login", "created_at")
     prs = in_months(prs, subjects, from_start=False)
     merged = prs.filter(F.col("merged") & F.col("merged_at").isNotNull())
     return of_subjects(merged, subjects, "user_login").filter(within("merged_at"))
@@ -75,11 +104,13 @@ def user_merged_prs(prs: DataFrame, subjects: DataFrame) -> DataFrame:
 
 def user_reviews(reviews: DataFrame, subjects: DataFrame) -> DataFrame:
     """Reviews a subject submitted in the period."""
+    subjects = resolved(subjects, reviews, "user_login", "submitted_at")
     return of_subjects(in_months(reviews, subjects), subjects, "user_login").filter(within("submitted_at"))
 
 
 def user_commits(commits: DataFrame, subjects: DataFrame) -> DataFrame:
     """Commits a subject authored in the period."""
+    subjects = resolved(subjects, commits, "author_login", "date")
     return of_subjects(in_months(commits, subjects), subjects, "author_login").filter(within("date"))
 
 

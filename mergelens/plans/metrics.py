@@ -32,7 +32,7 @@ from mergelens.operators.reviews import (
     with_change_request,
     with_followups,
 )
-from mergelens.operators.subjects import SUBJECT, of_subjects, user_merged_prs, user_prs, user_reviews, within
+from mergelens.operators.subjects import SUBJECT, of_subjects, resolved, user_merged_prs, user_prs, user_reviews, within
 from mergelens.operators.tables import PR_KEY, Tables
 
 _PERIOD = tuple(SUBJECT[1:])
@@ -78,7 +78,8 @@ def measured(chosen: list[Metric], tables: Tables, subjects: DataFrame) -> DataF
     """
     keys = ["metric_slug", *SUBJECT]
     slugs = F.array(*[F.lit(metric.slug) for metric in chosen])
-    subjects = subjects.select(*SUBJECT).distinct()
+    # A report has one period per subject, so bounds without a time zone are UTC here.
+    subjects = resolved(subjects.select(*SUBJECT).distinct())
     parts = [subjects.select(F.explode(slugs).alias("metric_slug"), *SUBJECT)]
     durations = []
     for metric in chosen:

@@ -511,6 +511,17 @@ WHERE ts_h BETWEEN coalesce(ps, ts_h) AND coalesce(pe, ts_h)"""
     sql["user_commits"] = f"""{base}
 SELECT user_login, sha, number FROM commits JOIN subjects ON login = user_login
 WHERE ts_h BETWEEN coalesce(ps, ts_h) AND coalesce(pe, ts_h)"""
+    naive = "epoch(TIMESTAMP '{}') // 3600 - ahead"
+    within = f"BETWEEN {naive.format('1997-01-01')} AND {naive.format('1998-07-01')}"
+    sql["user_prs_naive_bound"] = f"""{raw}
+SELECT u.login AS user_login, number FROM raw_kept JOIN people u ON u.id = author_id, (SELECT 0 AS ahead)
+WHERE created_h {within}"""
+    sql["user_reviews_naive_bound"] = f"""{raw}, named AS (
+  SELECT u.login AS user_login, r.id, ts_h, CASE WHEN r.id % 2 = 0 THEN 0 ELSE 2 END AS own
+  FROM seen_reviews r JOIN people u ON u.id = actor_id
+), clocks AS (SELECT user_login, arg_min(own, (ts_h, id)) AS ahead FROM named GROUP BY user_login)
+SELECT user_login, id, CAST({naive.format('1997-01-01')} AS BIGINT) AS start_h
+FROM named JOIN clocks USING (user_login) WHERE ts_h {within}"""
     sql["subject_defaults"] = f"""{base}, filled AS (
   SELECT user_login, CASE WHEN u % 2 = 0 THEN ws ELSE we - 365 * 24 END AS start_h, we AS end_h
   FROM (SELECT user_login, CAST(substr(user_login, 6) AS BIGINT) AS u FROM subjects), bounds

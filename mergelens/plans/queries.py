@@ -478,6 +478,26 @@ def user_commits(spark, sf_dir):
     return sj.user_commits(tables.commits, subjects).select("user_login", "sha", "number")
 
 
+def _naive_subjects(tables: Tables) -> DataFrame:
+    """Every user, with the same period on the clock, whatever the zone."""
+    bounds = [F.lit(text).cast("timestamp_ntz").alias(name) for name, text in (("start_date", "1997-01-01"), ("end_date", "1998-07-01"))]
+    return tables.users.select("dump_id", F.col("login").alias("user_login"), *bounds)
+
+
+@_query
+def user_prs_naive_bound(spark, sf_dir):
+    tables = _normal(spark, sf_dir)
+    return sj.user_prs(tables.pull_requests, _naive_subjects(tables)).select("user_login", "number")
+
+
+@_query
+def user_reviews_naive_bound(spark, sf_dir):
+    """Half of the reviews are written two hours ahead of UTC."""
+    tables = _normal(spark, sf_dir)
+    rows = sj.user_reviews(tables.reviews, _naive_subjects(tables))
+    return rows.select("user_login", "id", _hour("start_date").alias("start_h"))
+
+
 @_query
 def subject_defaults(spark, sf_dir):
     """Every second subject lacks a start, every third an end."""
