@@ -10,11 +10,11 @@ them against brute force.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergelens.llm import langid
-from mergelens.llm.common import staging, table
+from mergelens.llm.common import numbered, row_struct, staging, table
 from mergelens.llm.minhash import near_duplicates
 from mergelens.llm.mixing import WORD, mix
 from mergelens.llm.packing import pack_documents
@@ -30,48 +30,48 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = langid.train(docs)
     if not model["langs"]:
         return docs.filter(langid.has_letter("text"))
-    told = langid.predict(docs, model, [F.struct(*docs.columns).alias("_row")])
-    return told.filter(F.col("lang_pred") != langid.UNKNOWN).select("_row.*")
+    told = langid.predict(docs, model, [row_struct(docs)])
+    return told.filter(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
-    found = near_duplicates(docs, staging(spark))
-    kept = found.filter("kept and id is not null").select("id").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"))
-    # Of rows with the same id and text one stays, chosen by content.
-    ranked = Window.partitionBy("id", F.xxhash64("_row.text")).orderBy(F.xxhash64("_row"))
-    chosen = rows.join(kept, F.col("_row.doc_id") == F.col("id")).withColumn("at", F.row_number().over(ranked))
-    nameless = rows.filter("_row.doc_id is null").distinct()
-    return chosen.filter("at = 1").select("_row").unionByName(nameless).select("_row.*")
+    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more.
 
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """Rows as one column, with a key of their content and what mixing reads."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"))
-    return rows.withColumns({"key": F.xxhash64("_row"), "body": F.col("_row.text"), "origin": F.col("_row.source")})
+    Of a group the row with the smallest doc_id stays, null last; of rows with the same
+    doc_id, one chosen by content. Every row is judged by its own text, whatever its
+    doc_id; rows without a word link with nothing, and all of them stay.
+    """
+    stage = staging(spark)
+    rows = numbered(docs, stage)
+    texts = rows.select("key", F.col("row.text").alias("text"))
+    found = near_duplicates(texts, stage, id="key")
+    names = rows.select(F.col("key").alias("id"), F.col("row.doc_id").alias("doc_id"), "content")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "content", "id")
+    kept = found.join(names, "id").groupBy("component_id").agg(F.min(first)["id"].alias("key"))
+    return rows.join(kept.select("key").hint("shuffle_hash"), "key").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document taken n times over is n rows; of the copy at a stream's end only the words taken."""
-    rows = keyed(docs)
-    taken = mix(rows, staging(spark), id="key", text="body", source="origin")
-    # Equal rows are told apart by number.
-    by_key = Window.partitionBy("key").orderBy("key")
-    taken = taken.withColumnRenamed("doc_id", "key").select(
-        "key", "size", "taken", F.row_number().over(by_key).alias("at")
-    )
-    rows = rows.select("key", "_row", F.row_number().over(by_key).alias("at"))
-    rows = rows.join(taken.filter("taken > 0"), ["key", "at"])
+    """The mix: a document taken n times over is n rows; of the copy at a stream's end only the words taken.
+
+    What is taken is worked out on keys and sizes; whole rows meet it in one join.
+    """
+    stage = staging(spark)
+    rows = numbered(docs, stage)
+    sizes = rows.select("key", "content", F.col("row.text").alias("text"), F.col("row.source").alias("source"))
+    taken = mix(sizes, stage, id="key", order="content").filter("taken > 0")
+    taken = taken.select(F.col("doc_id").alias("key"), "size", "taken")
+    rows = rows.join(taken.hint("shuffle_hash"), "key")
     copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
-    rows = rows.withColumn("copy", F.explode(copies))
+    rows = rows.select("row", "size", "taken", F.explode(copies).alias("copy"))
     part = F.col("taken") - (F.col("copy") - 1) * F.col("size")
-    words = F.regexp_extract_all("_row.text", F.lit(f"({WORD})"), F.lit(1))
+    words = F.regexp_extract_all("row.text", F.lit(f"({WORD})"), F.lit(1))
     cut = F.array_join(F.slice(words, F.lit(1), part.cast("int")), " ")
-    text = F.when(part >= F.col("size"), F.col("_row.text")).otherwise(cut).alias("text")
-    rows = rows.select("_row", text)
+    text = F.when(part >= F.col("size"), F.col("row.text")).otherwise(cut).alias("text")
+    rows = rows.select("row", text)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return rows.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    quoted = {c: f"row.`{c.replace('`', '``')}`" for c in docs.columns}
+    return rows.select(*[new.get(c, F.col(quoted[c])).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +36,27 @@ def groups_for(total: int, per_group: int) -> int:
 def crc_remainder(id_column: str, modulus: int) -> Column:
     """crc32 of an id's decimal text modulo ``modulus``; of a null id, of the empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def row_struct(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct ``row``, whatever their names."""
+    return F.struct(*[F.col(f"`{name.replace('`', '``')}`") for name in docs.columns]).alias("row")
+
+
+def numbered(docs: DataFrame, stage: Staging) -> DataFrame:
+    """Every row as one struct ``row``, with a number ``key`` of its own and a hash ``content`` of all it holds.
+
+    The table is written, so the numbers stay what they are when executors are lost.
+    """
+    rows = docs.select(row_struct(docs)).withColumns({
+        "key": F.monotonically_increasing_id(), "content": F.xxhash64("row")
+    })
+    return stage.table("numbered", rows)
+
+
+def release() -> None:
+    """Hand this Python worker's freed memory back: workers live on, idle, while later stages need the room."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

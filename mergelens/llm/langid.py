@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mergelens.llm.common import release
+
 UNKNOWN = "und"
 _FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
 
@@ -106,5 +108,6 @@ def predict(docs: DataFrame, model: dict, keep: list[Column], text: str = "text"
                 scores.append(float(1 / np.exp(total - total[best]).sum()))
             columns = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            release()
 
     return rows.mapInArrow(run, schema)

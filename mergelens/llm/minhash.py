@@ -33,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mergelens.llm.common import release
 from mergelens.llm.components import components
-from mergelens.llm.words import hashed_texts, mix, shingle_hashes
+from mergelens.llm.words import hashed_texts, mix, shingle_hashes, text_buffers, text_runs
 from mergelens.sources.staging import Staging
 
 _U = np.uint64
@@ -93,6 +94,7 @@ def signatures(docs: DataFrame, id: str, text: str, shingle: int, bands: int, ro
                     [ids.slice(first, stop - first), pa.array(sizes), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists],
                     ["id", "n_shingles", "fp", "fp2", "bands"],
                 )
+            release()
 
     rows_in = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     return rows_in.mapInArrow(run, _SIGNATURE)
@@ -103,22 +105,26 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            want = [batch.column(at).to_pylist() for at in (0, 1)]
-            sides: list[list[np.ndarray]] = [[], []]
-            for at in (0, 1):
-                for _, _, hashes, bounds in hashed_texts(batch.column(2 + at)):
-                    cuts = zip(bounds[:-1], bounds[1:], strict=True)
-                    sides[at] += [shingle_hashes(hashes[a:b], shingle) for a, b in cuts]
-            good = []
-            for one, two, left, right in zip(*sides, *want, strict=True):
-                if fingerprint(one)[0] != left or fingerprint(two)[0] != right:
-                    continue  # another text with the same id
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                if den * common >= num * (len(one) + len(two) - common):
-                    good.append((left, right))
-            yield pa.RecordBatch.from_pydict(
-                {"a": pa.array([g[0] for g in good], pa.int64()), "b": pa.array([g[1] for g in good], pa.int64())}
-            )
+            # The sets of a run of pairs are held at once, whatever the batch.
+            for first, stop in text_runs(text_buffers(batch.column(2))[0] + text_buffers(batch.column(3))[0]):
+                part = batch.slice(first, stop - first)
+                want = [part.column(at).to_pylist() for at in (0, 1)]
+                sides: list[list[np.ndarray]] = [[], []]
+                for at in (0, 1):
+                    for _, _, hashes, bounds in hashed_texts(part.column(2 + at)):
+                        cuts = zip(bounds[:-1], bounds[1:], strict=True)
+                        sides[at] += [shingle_hashes(hashes[a:b], shingle) for a, b in cuts]
+                good = []
+                for one, two, left, right in zip(*sides, *want, strict=True):
+                    if fingerprint(one)[0] != left or fingerprint(two)[0] != right:
+                        continue  # another text with the same id
+                    common = len(np.intersect1d(one, two, assume_unique=True))
+                    if den * common >= num * (len(one) + len(two) - common):
+                        good.append((left, right))
+                yield pa.RecordBatch.from_pydict(
+                    {"a": pa.array([g[0] for g in good], pa.int64()), "b": pa.array([g[1] for g in good], pa.int64())}
+                )
+            release()
 
     left = texts.select(F.col("id").alias("a_id"), F.col("text").alias("a_text"))
     right = texts.select(F.col("id").alias("b_id"), F.col("text").alias("b_text"))
@@ -149,6 +155,7 @@ def _shingles(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
                     n = np.repeat([len(f) for f in fps], [len(f) for f in fps])
                     columns = {"fp": np.concatenate(fps), "shingle": np.concatenate(sets), "n": n}
                     yield pa.RecordBatch.from_pydict(columns)
+            release()
 
     return nodes.join(texts, "id").select("fp", "text").mapInArrow(run, "fp long, shingle long, n long").distinct()
 

@@ -107,15 +107,19 @@ def settle(placed: DataFrame, targets: DataFrame, slots: int, block_words: int)
 
 def mix(
     docs: DataFrame, stage: Staging, id: str = "doc_id", text: str = "text", source: str = "source",
-    most: int = 3, block_words: int = 64, seed: int = 1,
+    most: int = 3, block_words: int = 64, seed: int = 1, order: str | None = None,
 ) -> DataFrame:
     """``doc_id``, ``size``, ``source_size``, ``target`` and ``taken`` of every row of ``docs``.
 
-    A source's ``taken`` add up to its target, rounded to a word.
+    A source's ``taken`` add up to its target, rounded to a word. Documents are shuffled
+    by a hash of the column ``order``, or of the id.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
-    sized = stage.table("sized", sized.withColumn("order", F.xxhash64("doc_id", "size", F.lit(seed))))
+    shuffled = F.xxhash64(F.col(order or id).cast("long"), size, F.lit(seed)).alias("order")
+    sized = docs.select(
+        F.col(id).cast("long").alias("doc_id"), F.col(source).alias("source"), size.alias("size"), shuffled
+    )
+    sized = stage.table("sized", sized)
     targets = stage.table("targets", source_targets(sized, most))
     total = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"]
     slots = -(-total // block_words)

@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mergelens.llm.common import release
 from mergelens.llm.tokens import encoder
 
 Piece = tuple[int, int, int, int, int]
@@ -127,6 +128,7 @@ def pack_documents(
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
                 )
                 sequence += int(number[-1]) + 1 if len(number) else 0
+            release()
 
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, schema)

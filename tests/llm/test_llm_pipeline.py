@@ -62,9 +62,10 @@ def test_duplicate_stage_keeps_one_of_each_group(steps):
 
 def test_mix_stage_takes_what_the_operator_says(spark, steps, stage):  # noqa: F811
     before = {r[0]: r for r in as_tuples(steps[2])}
-    rows = cp.keyed(steps[2])
-    of_key = {r["key"]: r["_row"]["doc_id"] for r in rows.collect()}
-    found = cp.mix(rows, stage, id="key", text="body", source="origin").collect()
+    rows = cp.numbered(steps[2], stage)
+    of_key = {r["key"]: r["row"]["doc_id"] for r in rows.collect()}
+    sizes = rows.select("key", "content", "row.text", "row.source")
+    found = cp.mix(sizes, stage, id="key", order="content").collect()
     taken = {of_key[r["doc_id"]]: r.asDict() | {"doc_id": of_key[r["doc_id"]]} for r in found}
     check_mix(list(taken.values()), [(r[0], r[1], r[3]) for r in before.values()])
     words = {}
@@ -90,3 +91,41 @@ def test_stages_on_odd_documents(spark, odd_docs, no_docs, stage):  # noqa: F811
             assert sorted(r["doc_id"] or 0 for r in docs.collect()) == [0, 1, 8, 10, 11]
     for _, apply in cp.STAGES:
         assert apply(spark, no_docs, SMALL).count() == 0
+
+
+def _rows(spark, rows):
+    """Documents with a clashing and a dotted column."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, `a.b` long"
+    full = [(i, t, "en", s, len(t or ""), "k", n) for n, (i, t, s) in enumerate(rows)]
+    return spark.createDataFrame(full, schema)
+
+
+ONE = " ".join(f"one{i}" for i in range(40))
+TWO = " ".join(f"two{i}" for i in range(40))
+
+
+def test_duplicates_are_judged_by_row(spark):
+    # Null ids link by their text, and rows that share an id are apart.
+    docs = _rows(spark, [
+        (None, ONE, "a"), (7, ONE + " end", "a"), (7, TWO, "a"), (3, TWO + " end", "a"), (None, "alone", "a"),
+        (None, "alone", "a"), (5, None, "a"), (5, None, "a"), (6, "", "a"),
+    ])
+    kept = cp.drop_near_duplicates(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    found = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert found == {(7, ONE + " end"): 1, (3, TWO + " end"): 1, (None, "alone"): 1, (5, None): 2, (6, ""): 1}
+
+
+def test_mix_of_equal_rows_and_hot_source(spark):
+    docs = _rows(spark, [(1, ONE, "hot")] * 300 + [(None, TWO, "b"), (1, TWO, None), (2, None, "b"), (3, " ", "hot")])
+    once, again = (
+        Counter((r["doc_id"], r["text"], r["source"]) for r in cp.mix_sources(spark, d, SMALL).collect())
+        for d in (docs, docs.repartition(7))
+    )
+    assert once == again
+    words = Counter()
+    for (_, text, source), n in once.items():
+        words[source] += n * len(text.split())
+    # Weights 1 (b), 2 (hot), 3 (null); b and null stop at three times their 40 words.
+    assert words == {"b": 120, None: 120, "hot": 302 * 40 - 240}
+    assert cp.mix_sources(spark, docs, SMALL).columns == docs.columns
