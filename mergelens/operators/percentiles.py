@@ -14,12 +14,12 @@ _BUCKET_MICROS = 60_000_000
 
 
 def percentile_hours(
-    rows: DataFrame, keys: Sequence[str], micros: str, fractions: dict[str, float], count: str = "n"
+    rows: DataFrame, keys: Sequence[str], micros: str, fractions: dict[str, float], count: str = "n", weight: str = "1L"
 ) -> DataFrame:
     """Percentiles in hours of the whole-microsecond durations in ``micros``.
 
     One row per group that has a duration: ``keys``, ``count`` and a column per
-    entry of ``fractions``. The built-in ``percentile`` keeps all distinct
+    entry of ``fractions``. A row stands for ``weight`` durations, an expression. The built-in ``percentile`` keeps all distinct
     values of a group in one buffer; here equal values are counted before the
     exchange, the minutes holding the wanted ranks are found, and only their
     values are ordered.
@@ -28,10 +28,10 @@ def percentile_hours(
     # The join below filters null buckets; doing so here as well keeps both uses of
     # the counts equal, so that they share one exchange.
     counts = (
-        rows.selectExpr(*[f"`{key}`" for key in keys], f"`{micros}` div {_BUCKET_MICROS} AS _bucket", f"`{micros}` AS _value")
+        rows.selectExpr(*[f"`{key}`" for key in keys], f"`{micros}` div {_BUCKET_MICROS} AS _bucket", f"`{micros}` AS _value", f"{weight} AS _weight")
         .filter("_value IS NOT NULL AND _bucket IS NOT NULL")
         .groupBy(*keys, "_bucket", "_value")
-        .agg(F.count("*").alias("_n"))
+        .agg(F.sum("_weight").alias("_n"))
     )
     # 0-based ranks on both sides of the position (n - 1) * p of each fraction.
     names = list(fractions)

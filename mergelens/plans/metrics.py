@@ -33,6 +33,7 @@ from mergelens.operators.reviews import (
     with_followups,
 )
 from mergelens.operators.subjects import SUBJECT, of_subjects, resolved, user_merged_prs, user_prs, user_reviews, within
+from mergelens.operators.summaries import MERGED, OPENED, Summaries, in_periods
 from mergelens.operators.tables import PR_KEY, Tables
 
 _PERIOD = tuple(SUBJECT[1:])
@@ -140,6 +141,21 @@ def _cycle_time_items(tables: Tables, subjects: DataFrame) -> DataFrame:
     return rows.select(*SUBJECT, "repo_key", "number", "hours", "created_at", "line_ord")
 
 
+def measured_from(summaries: Summaries, subjects: DataFrame) -> DataFrame:
+    """Throughput and cycle time of every subject from daily counts: equal to what the facts give."""
+    found = in_periods(summaries, subjects)
+    idle = resolved(subjects.select(*SUBJECT).distinct())
+    counts = {"opened_count": OPENED, "merged_count": MERGED}
+    parts = [idle, found.select(*SUBJECT, *[F.when(F.col("kind") == k, F.col("n")).alias(c) for c, k in counts.items()])]
+    parts.append(percentile_hours(found.filter(F.col("kind") == MERGED), SUBJECT, "micros", _HALVES, "n", weight="n"))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    sums = [*counts, "n", *_HALVES]
+    totals = rows.groupBy(*SUBJECT).agg(*[F.expr(f"coalesce(sum({name}), 0)").alias(name) for name in sums])
+    values = {"opened_count": "opened_count", "merged_count": "merged_count", "timed_count": "n", **_HOURS}
+    values["merge_ratio"] = _ratio("merged_count", "opened_count")
+    return totals.selectExpr(*SUBJECT, *[f"{value} AS {name}" for name, value in values.items()])
+
+
 # --- merge effectiveness -----------------------------------------------------
 
 

@@ -603,6 +603,8 @@ SELECT repo_id, count(*) AS n, {quantiles} FROM all_prs WHERE merged GROUP BY re
     }
     for slug, columns in rounded.items():
         sql[slug] = f"{all_metrics}\nSELECT user_login, {columns} FROM {slug}"
+    for slug in ("cycle_time", "pr_throughput"):
+        sql[f"{slug}_from_summaries"] = sql[slug]
     sql["metric_ratings"] = _report({"metric_slug": "{slug}", "rating": "{rating}"})
     sql["metric_summaries"] = _report({"metric_slug": "{slug}", "summary": "{summary}"})
     sql["metric_results"] = _report(

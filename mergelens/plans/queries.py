@@ -19,9 +19,10 @@ from mergelens.operators.interactions import interactions, kind_counts
 from mergelens.operators.normalize import clip, last_line_per_pr
 from mergelens.operators.percentiles import percentile_hours as exact_percentile_hours
 from mergelens.operators.skew import with_next, with_position
+from mergelens.operators.summaries import Summaries, summarise
 from mergelens.operators.tables import PR_KEY, Tables
 from mergelens.plans import star
-from mergelens.plans.metrics import metrics
+from mergelens.plans.metrics import measured_from, metrics
 from mergelens.plans.report import dataset_summary, report, report_header, report_items
 from mergelens.sources import dump, listing, load, sinks
 from mergelens.sources.landing import Landing
@@ -707,6 +708,35 @@ for _slug in metrics():
     _metric(_slug)
 
 
+def _from_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts of two batches, added and landed; then only these are read."""
+    tables, subjects = _of_users(spark, sf_dir)
+    prs = tables.pull_requests
+
+    def land(staging: Staging) -> str:
+        root = f"{staging.path}/summaries"
+        odd = F.pmod(F.xxhash64("number"), F.lit(2)) == 1
+        summarise(prs.filter(~odd)).plus(summarise(prs.filter(odd))).write(root)
+        return root
+
+    held = Summaries.read(spark, star.landed_once(spark, "daily summaries", sf_dir, land))
+    return measured_from(held, subjects)
+
+
+@_query
+def cycle_time_from_summaries(spark, sf_dir):
+    return _from_summaries(spark, sf_dir).select(
+        "user_login", F.col("timed_count").alias("merged_count"), *[_round(F.col(c)).alias(c) for c in ("median_hours", "p75_hours")]
+    )
+
+
+@_query
+def pr_throughput_from_summaries(spark, sf_dir):
+    return _from_summaries(spark, sf_dir).select(
+        "user_login", "opened_count", "merged_count", _round(F.col("merge_ratio")).alias("merge_ratio")
+    )
+
+
 @_query
 def metric_ratings(spark, sf_dir):
     return _report(spark, sf_dir).select("user_login", "metric_slug", "rating")
