@@ -15,10 +15,11 @@ Equal vectors are one class from the start; a class counts as often as it has ro
 Strips are cut on the length plus a tiny hashed amount, so vectors that share a
 block's length still spread over strips.
 
-Null vectors, zero vectors, vectors with a null or non-finite component and vectors
-whose length is not the most common one (the longest of those, on a tie) link with
-nothing. Every row is a vector of its own, also when it repeats another or its id;
-rows without id take part, but give no component its id. Other columns are not read.
+Vectors of different lengths have no cosine; each length that has more than one
+distinct vector is a join of its own, one after another. Null vectors, zero vectors and
+vectors with a null or non-finite component link with nothing. Every row is a vector of
+its own, also when it repeats another or its id; rows without id take part, but give no
+component its id. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -130,16 +131,32 @@ def near_vectors(
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     sound = F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("v", F.when(sound, v))
-    common = rows.filter("v is not null").groupBy(F.size("v").alias("dim")).count()
-    first = common.orderBy(F.desc("count"), F.desc("dim")).first()
-    dim = first["dim"] if first else 1
-    rows = rows.withColumn("v", F.when(F.size("v") == dim, v)).withColumn("key", F.when(v.isNotNull(), F.xxhash64("v")))
-    rows = stage.table("rows", rows)
+    rows = stage.table("rows", rows.withColumn("key", F.when(v.isNotNull(), F.xxhash64("v"))))
     classes = rows.filter("key is not null").groupBy("key", "v").agg(
         F.count("*").alias("weight"), F.min("vec_id").alias("low")
     )
-    classes = stage.table("classes", classes)
+    classes = stage.table("classes", classes.withColumn("dim", F.size("v")))
+    # One row per length; the longest vector bounds their number.
+    lengths = classes.groupBy("dim").agg(F.count("*").alias("n")).filter("n > 1").orderBy("dim").collect()
+    linked = classes.filter("false").select(F.col("key").alias("a"), F.col("key").alias("b"), F.col("weight").alias("n"))
+    for dim, n in lengths:
+        own = _links(classes.filter(F.col("dim") == dim), dim, n, cosine, blocks, strip, seed)
+        linked = linked.unionByName(stage.table(f"linked-{dim}", own))
+    counts = linked.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
+    found = components(linked.select("a", "b"), stage, "components").withColumnRenamed("id", "key")
+    known = classes.select("key", "weight", "low").join(counts, "key", "left").join(found, "key", "left")
+    known = known.withColumn("component", F.coalesce("component", "key"))
+    lowest = known.groupBy("component").agg(F.min("low").alias("component_id"))
+    links = (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")
+    known = stage.table("labels", known.join(lowest, "component").select("key", links, "component_id"))
+    out = rows.select("vec_id", "key").join(known, "key", "left")
+    own = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("vec_id").isNull()))
+
 
+def _links(classes: DataFrame, dim: int, n: int, cosine: float, blocks: int, strip: int, seed: int) -> DataFrame:
+    """Per task and class with links: key ``a``, a forest's link to ``b``, ``n`` rows linked; ``n`` classes of length ``dim``."""
     turn, edges = rotation(dim, seed), block_edges(dim, blocks)
     budgets = (2 - 2 * cosine) * np.diff(edges) / dim * (1 + 1e-9)
     radius = np.sqrt(budgets) + _BLUR + 1e-6
@@ -150,7 +167,7 @@ def near_vectors(
             found = _lengths(_matrix(batch.column(1), dim), keys, turn, edges)
             yield pa.RecordBatch.from_pydict({"lengths": pa.array(list(found), pa.list_(pa.float64()))})
 
-    strips = max(1, math.ceil(classes.count() / strip))
+    strips = max(1, math.ceil(n / strip))
     inner: list[np.ndarray] = [np.zeros(0)] * len(radius)
     if strips > 1:
         shares = F.array(*[F.lit(k / strips) for k in range(1, strips)])
@@ -200,15 +217,4 @@ def near_vectors(
         hit = counts > 0
         return pa.table({"a": keys[hit], "b": keys[root[hit]], "n": counts[hit]})
 
-    linked = stage.table("linked", dealt.groupBy("b", "i", "j").applyInArrow(meet, "a long, b long, n long"))
-    counts = linked.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
-    found = components(linked.select("a", "b"), stage, "components").withColumnRenamed("id", "key")
-    known = classes.select("key", "weight", "low").join(counts, "key", "left").join(found, "key", "left")
-    known = known.withColumn("component", F.coalesce("component", "key"))
-    lowest = known.groupBy("component").agg(F.min("low").alias("component_id"))
-    links = (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")
-    known = stage.table("labels", known.join(lowest, "component").select("key", links, "component_id"))
-    out = rows.select("vec_id", "key").join(known, "key", "left")
-    own = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("vec_id").isNull()))
+    return dealt.groupBy("b", "i", "j").applyInArrow(meet, "a long, b long, n long")

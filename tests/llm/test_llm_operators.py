@@ -448,6 +448,24 @@ def test_near_odd_vectors(spark, stage):  # noqa: F811
     assert subspace.near_vectors(frame.limit(0), stage.__class__(spark)).count() == 0
 
 
+def test_near_vectors_of_several_lengths(spark, stage):  # noqa: F811
+    rng = np.random.default_rng(5)
+    rows = []
+    for dim, n in ((3, 60), (8, 90), (9, 1), (1, 12)):
+        centers = rng.standard_normal((6, dim))
+        near = [(centers[i % 6] + rng.standard_normal(dim) * 0.05).tolist() for i in range(n)]
+        rows += [(len(rows) + i, v) for i, v in enumerate(near)]
+    rows += [(len(rows) + i, rows[150][1]) for i in range(3)]  # copies of the only one of its length
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = rows_of(subspace.near_vectors(frame, stage, strip=20))
+    assert len(got) == len(rows)
+    for dim in (1, 3, 8, 9):
+        own = [r for r in rows if len(r[1]) == dim]
+        ids = {i for i, _ in own}
+        check_vectors([r for r in got if r["vec_id"] in ids], own, dim)
+    assert sum(r["n_links"] for r in got if r["vec_id"] < 60) > 0
+
+
 # --- fingerprints -----------------------------------------------------------------------
 
 
