@@ -12,8 +12,11 @@ from mergelens.sources import schemas
 
 CORRUPT = "_corrupt_record"
 
+LINE = "_line"  # number of a line in its table, which the sink writes into part files
+
 _ORDER_TYPE = T.StructType(
     [
+        T.StructField("line", T.LongType()),
         T.StructField("written", T.TimestampType()),
         T.StructField("file", T.StringType()),
         T.StructField("block", T.LongType()),
@@ -22,14 +25,23 @@ _ORDER_TYPE = T.StructType(
 )
 
 
-def line_order() -> Column:
-    """Position of a line: later appends are newer files, and within a file split
-    the row number of the scan task grows with the line number."""
+def line_order(file: str) -> Column:
+    """Position of a line of the table ``file``.
+
+    In part files it is the number in the line. In a plain file it is the place of the
+    line: within a file split the row number of the scan task grows with the line
+    number. Neither depends on names or times of files, so a copy of a dump has the
+    same order. Part files of other writers, without numbers, come first, by time.
+    """
+    plain = F.col("_metadata.file_path").endswith(f"/{file}")
+    line = F.when(~plain, F.col(LINE))
+    parts = ~plain & line.isNull()
     return F.struct(
-        F.col("_metadata.file_modification_time").alias("written"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
+        line.alias("line"),
+        F.when(parts, F.col("_metadata.file_modification_time")).alias("written"),
+        F.when(parts, F.col("_metadata.file_name")).alias("file"),
+        F.when(line.isNull(), F.col("_metadata.file_block_start")).alias("block"),
+        F.when(line.isNull(), F.monotonically_increasing_id()).alias("row"),
     )
 
 
@@ -48,7 +60,8 @@ def scan(spark: SparkSession, root: str, table: str, on_error: str = "fail") ->
     schema = T.StructType(schemas.RAW[table].fields + [T.StructField(CORRUPT, T.StringType())])
     mode = "PERMISSIVE" if on_error == "quarantine" else "FAILFAST"
     path = f"{root.rstrip('/')}/{fixed.CANONICAL_DIR}/{fixed.TABLE_FILES[table]}"
-    reader = spark.read.schema(schema).option("mode", mode).option("columnNameOfCorruptRecord", CORRUPT)
+    numbered = T.StructType([*schema.fields, T.StructField(LINE, T.LongType())])
+    reader = spark.read.schema(numbered).option("mode", mode).option("columnNameOfCorruptRecord", CORRUPT)
     folder = dump_root(f"{fixed.CANONICAL_DIR}/{fixed.TABLE_FILES[table]}")
     try:
         lines = reader.json(path)
@@ -60,7 +73,7 @@ def scan(spark: SparkSession, root: str, table: str, on_error: str = "fail") ->
             + [T.StructField("dump_id", T.StringType()), T.StructField("line_ord", _ORDER_TYPE)]
         )
         return spark.createDataFrame([], empty)
-    return lines.select(*schema.fieldNames(), folder.alias("dump_id"), line_order().alias("line_ord"))
+    return lines.select(*schema.fieldNames(), folder.alias("dump_id"), line_order(fixed.TABLE_FILES[table]).alias("line_ord"))
 
 
 def scan_all(spark: SparkSession, root: str, on_error: str = "fail") -> dict[str, DataFrame]:

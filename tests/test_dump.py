@@ -6,6 +6,7 @@ import os
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from mergelens.functions.times import iso_text
 from mergelens.operators.tables import Tables
@@ -100,7 +101,7 @@ def ids(rows, column="id"):
 
 def test_manifest_fields(spark, tmp_path):
     manifest = read_manifest(spark, write(tmp_path / "one"))
-    row = manifest.frame(spark).select("*", iso_text(__import__("pyspark").sql.functions.col("start_date")).alias("start")).first()
+    row = manifest.frame(spark).select("*", iso_text(F.col("start_date")).alias("start")).first()
     assert (row.dump_id, row.provider, row.user_login, row.repositories) == (
         str(tmp_path / "one"), "github", "alice", ["org/repo"]
     )
@@ -350,8 +351,6 @@ def test_bundles_round_trip(spark, tmp_path):
         bundle(2, commits=None, files=[]),
     ]
     text = spark.createDataFrame([(json.dumps(r),) for r in rows], "value string")
-    from pyspark.sql import functions as F
-
     bundles = text.select(F.from_json("value", schemas.BUNDLE).alias("b")).select("b.*")
     root = str(tmp_path / "d")
     sinks.write_manifest(spark, root, MANIFEST)
@@ -419,9 +418,87 @@ def test_copies_of_children_keep_the_last_of_each_id_and_type(spark, tmp_path):
     assert sorted((r.id, r.type) for r in tables.comments.collect()) == [(7, "issue"), (7, "review"), (8, "issue")]
 
 
-def test_sinks_refuse_plain_files(spark, tmp_path):
+# --- layouts and input order --------------------------------------------------------------
+
+
+def raw_prs(spark, *titles, number=1):
+    text = spark.createDataFrame([(i, json.dumps(pr(number, title=t))) for i, t in enumerate(titles)], "i int, value string")
+    rows = text.repartitionByRange(min(4, len(titles)), "i").sortWithinPartitions("i")
+    return rows.select(F.from_json("value", schemas.RAW["pull_requests"]).alias("p")).select("p.*")
+
+
+def titles(spark, root):
+    rows = dump.scan(spark, root, "pull_requests").select("title", "line_ord").collect()
+    return [r.title for r in sorted(rows, key=lambda r: tuple(-1 if v is None else v for v in r.line_ord))]
+
+
+def test_appends_to_a_plain_file_keep_it_one_file(spark, tmp_path):
+    root = write(tmp_path / "d", prs=[pr(1, title="old"), pr(2, title="two\r\nlines")])
+    path = tmp_path / "d" / "canonical" / "pull_requests.jsonl"
+    path.write_text(path.read_text().rstrip("\n"))  # a last line without an end
+    more = [f"t{i}" for i in range(20)]
+    sinks.append_tables({"pull_requests": raw_prs(spark, *more)}, root)
+    sinks.append_tables({"pull_requests": raw_prs(spark, "last")}, root)
+    lines = [json.loads(line) for line in path.read_text().splitlines()]
+    assert [line["title"] for line in lines] == ["old", "two\r\nlines", *more, "last"]
+    assert lines[0]["unknown_field"] == [1, 2] and "_line" not in lines[-1]
+    assert sorted(os.listdir(path.parent)) == [".pull_requests.jsonl.crc", "pull_requests.jsonl"]
+    assert titles(spark, root) == [line["title"] for line in lines]
+    assert {r.number: r.title for r in load.read_dump(spark, root, prune=False).pull_requests.collect()}[1] == "last"
+
+
+def test_a_dump_can_be_written_as_plain_files(spark, tmp_path):
+    root = str(tmp_path / "d")
+    sinks.write_manifest(spark, root, MANIFEST)
+    sinks.append_tables({"pull_requests": raw_prs(spark, "a", "b", "c"), "reviews": spark.createDataFrame([], schemas.RAW["reviews"])}, root, "file")
+    assert json.loads((tmp_path / "d" / "dump_manifest.json").read_text()) == MANIFEST
+    assert len((tmp_path / "d" / "canonical" / "pull_requests.jsonl").read_text().splitlines()) == 3
+    sinks.write_manifest(spark, root, {**MANIFEST, "notes": "again"})
+    assert read_manifest(spark, root).fields["notes"] == "again"
+    tables = load.read_dumps(spark, str(tmp_path / "*"), prune=False)
+    assert [r.title for r in tables.pull_requests.collect()] == ["c"] and tables.reviews.count() == 0
+
+
+def test_layouts_do_not_mix(spark, tmp_path):
     root = write(tmp_path / "d", prs=[pr(1)])
     with pytest.raises(FileExistsError):
-        sinks.append_tables({"pull_requests": spark.createDataFrame([], schemas.RAW["pull_requests"])}, root)
+        sinks.append_tables({"pull_requests": raw_prs(spark, "x")}, root, "folder")
+    other = str(tmp_path / "e")
+    sinks.append_tables({"pull_requests": raw_prs(spark, "x")}, other)
     with pytest.raises(FileExistsError):
-        sinks.write_manifest(spark, root, MANIFEST)
+        sinks.append_tables({"pull_requests": raw_prs(spark, "x")}, other, "file")
+    with pytest.raises(ValueError):
+        sinks.append_tables({}, other, "tape")
+
+
+def test_order_survives_copying_a_dump_of_many_parts(spark, tmp_path):
+    root = str(tmp_path / "d")
+    sinks.write_manifest(spark, root, MANIFEST)
+    first, second = [f"a{i:02}" for i in range(30)], [f"b{i:02}" for i in range(30)]
+    sinks.append_tables({"pull_requests": raw_prs(spark, *first)}, root)
+    sinks.append_tables({"pull_requests": raw_prs(spark, *second).limit(0)}, root)
+    sinks.append_tables({"pull_requests": raw_prs(spark, *second)}, root)
+    assert titles(spark, root) == first + second
+    # A copy with other names and times, newest first, and without what is hidden.
+    source, target = tmp_path / "d" / "canonical" / "pull_requests.jsonl", tmp_path / "c" / "canonical" / "pull_requests.jsonl"
+    os.makedirs(target)
+    parts = sorted(p for p in source.iterdir() if p.name.startswith("part-"))
+    assert len(parts) >= 8
+    for i, part in enumerate(sorted(parts, key=lambda p: -p.stat().st_mtime)):
+        copy = target / f"part-{i}.json"
+        copy.write_text(part.read_text())
+        os.utime(copy, (1000 - i, 1000 - i))
+    (tmp_path / "c" / "dump_manifest.json").write_text(json.dumps(MANIFEST))
+    copied = str(tmp_path / "c")
+    assert titles(spark, copied) == first + second
+    assert [r.title for r in load.read_dump(spark, copied, prune=False).pull_requests.collect()] == ["b29"]
+    sinks.append_tables({"pull_requests": raw_prs(spark, "z")}, copied)
+    assert titles(spark, copied)[-1] == "z"
+
+
+def test_parts_of_another_writer_come_before_numbered_ones(spark, tmp_path):
+    folder = tmp_path / "d" / "canonical" / "pull_requests.jsonl"
+    os.makedirs(folder)
+    (folder / "part-z.json").write_text(json.dumps(pr(1, title="foreign")) + "\n")
+    sinks.append_tables({"pull_requests": raw_prs(spark, "own")}, str(tmp_path / "d"))
+    assert titles(spark, str(tmp_path / "d")) == ["foreign", "own"]
