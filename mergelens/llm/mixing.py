@@ -13,8 +13,10 @@
 3. A source's stream is its documents in a hashed order, repeated ``most`` times and
    cut into blocks of equal word counts. Positions in the stream come from prefix
    sums over buckets of that order, so a source with a third of all rows is many
-   small windows, not one. A source's slots hold its blocks from the first on, so of
-   each copy of a document is taken what lies before the end of the last.
+   small windows, not one.
+4. Slots meet the pieces of documents that their blocks hold, by source and block: the
+   mix is those pieces in the order of slots, and what is taken of a document is
+   the sum of its pieces.
 
 A null text has size 0, a null source is a source of its own (the last). Documents
 without a word are never taken. Equal rows are documents of their own; which of
@@ -24,10 +26,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
-import functools
-import operator
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergelens.sources.staging import Staging
@@ -72,11 +71,20 @@ def source_targets(sized: DataFrame, most: int) -> DataFrame:
     )
 
 
+def golden_point(slot: str) -> Column:
+    """The slot times the golden ratio modulo 1, to 32 bits; products of halves stay within a long for every slot.
+
+    After 2^32 slots, which have visited each point once, the points come round again.
+    """
+    low = F.col(slot).bitwiseAND(F.lit(0xFFFF)) * _GOLDEN
+    high = F.shiftright(slot, 16).bitwiseAND(F.lit(0xFFFF)) * (_GOLDEN & 0xFFFF) % 0x10000 * 0x10000
+    return F.pmod(low + high, F.lit(_UNIT)) / F.lit(float(_UNIT))
+
+
 def schedule(targets: DataFrame, slots: int) -> DataFrame:
     """Slots ``slot`` with the source ``rank`` and the ``block`` (from 0) of its stream."""
     spark = targets.sparkSession
-    point = F.pmod(F.col("id") * _GOLDEN, F.lit(_UNIT)) / F.lit(float(_UNIT))
-    points = spark.range(slots).select(F.col("id").alias("slot"), point.alias("u"))
+    points = spark.range(slots).select(F.col("id").alias("slot"), golden_point("id").alias("u"))
     points = points.withColumn("cell", F.floor(F.col("u") * _SHARE_BUCKETS))
     last = F.least(F.floor(F.col("high") * _SHARE_BUCKETS), F.lit(_SHARE_BUCKETS - 1))
     first = F.least(F.floor(F.col("low") * _SHARE_BUCKETS), F.lit(_SHARE_BUCKETS - 1))
@@ -105,47 +113,70 @@ def settle(placed: DataFrame, targets: DataFrame, slots: int, block_words: int)
     return settled.select("slot", "rank", "block", words.cast("long").alias("words"))
 
 
+def stream_positions(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """Every row with its source's ``rank`` and the word of the source's stream it starts at, ``start``."""
+    named = targets.withColumnRenamed("source", "name")
+    rows = sized.join(named, sized["source"].eqNullSafe(named["name"]))
+    rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("order", 40), F.lit(_ORDER_BUCKETS)))
+    buckets = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("n"))
+    earlier = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.select("rank", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("rank", "bucket").orderBy("order", "doc_id", "size", "key")
+    until = within.rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(until), F.lit(0)))
+    placed = placed.join(buckets, ["rank", "bucket"])
+    return placed.select(
+        "key", "doc_id", "size", "source_size", "target", "rank", (F.col("base") + F.col("inside")).alias("start")
+    )
+
+
+def mixed_pieces(placed: DataFrame, slots: DataFrame, most: int, block_words: int) -> DataFrame:
+    """The mix: per ``slot`` the words ``from`` to ``to`` (exclusive) of documents, at ``offset`` of the slot.
+
+    ``key`` names the row and ``copy`` (from 0) says which repetition of the stream it is.
+    """
+    copies = placed.filter("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    copies = copies.withColumn("begin", F.col("start") + F.col("copy") * F.col("source_size"))
+    # Copies that begin behind the last block of their source are in no slot.
+    copies = copies.filter(F.col("begin") < F.col("target") + 1)
+    first = F.floor(F.col("begin") / block_words)
+    last = F.floor((F.col("begin") + F.col("size") - 1) / block_words)
+    cut = copies.withColumn("block", F.explode(F.sequence(first, last)))
+    held = cut.select("rank", "block", "key", "doc_id", "copy", "begin", "size").join(slots, ["rank", "block"])
+    edge = F.col("block") * block_words - F.col("begin")
+    start = F.greatest(edge, F.lit(0))
+    end = F.least(edge + F.col("words"), F.col("size"))
+    held = held.select("slot", (start - edge).alias("offset"), "key", "doc_id", "copy", start.alias("from"), end.alias("to"))
+    return held.filter(F.col("from") < F.col("to"))
+
+
 def mix(
     docs: DataFrame, stage: Staging, id: str = "doc_id", text: str = "text", source: str = "source",
-    most: int = 3, block_words: int = 64, seed: int = 1, order: str | None = None,
+    most: int = 3, block_words: int = 256, seed: int = 1, order: str | None = None,
 ) -> DataFrame:
-    """``doc_id``, ``size``, ``source_size``, ``target`` and ``taken`` of every row of ``docs``.
+    """``doc_id``, ``size``, ``source_size``, ``target``, ``taken`` and ``first_slot`` of every row of ``docs``.
 
-    A source's ``taken`` add up to its target, rounded to a word. Documents are shuffled
+    A source's ``taken`` add up to its target, rounded to a word; ``first_slot`` is where
+    in the mix a row comes first, null if it is not taken. Documents are shuffled
     by a hash of the column ``order``, or of the id.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     shuffled = F.xxhash64(F.col(order or id).cast("long"), size, F.lit(seed)).alias("order")
     sized = docs.select(
-        F.col(id).cast("long").alias("doc_id"), F.col(source).alias("source"), size.alias("size"), shuffled
-    )
+        F.col(id).cast("long").alias("doc_id"), F.col(source).alias("source"), size.alias("size"), shuffled,
+        F.monotonically_increasing_id().alias("key"),
+    )
     sized = stage.table("sized", sized)
     targets = stage.table("targets", source_targets(sized, most))
     total = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"]
     slots = -(-total // block_words)
     placed_slots = stage.table("placed_slots", schedule(targets, slots))
-    slot_table = stage.table("slots", settle(placed_slots, targets, slots, block_words))
-
-    named = targets.withColumnRenamed("source", "name")
-    rows = sized.join(named, sized["source"].eqNullSafe(named["name"]))
-    rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("order", 40), F.lit(_ORDER_BUCKETS)))
-    buckets = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("n"))
-    earlier = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select("rank", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    within = Window.partitionBy("rank", "bucket").orderBy("order", "doc_id", "size")
-    until = within.rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(until), F.lit(0)))
-    placed = placed.join(buckets, ["rank", "bucket"])
-    placed = placed.select(
-        "doc_id", "size", "source_size", "target", "rank", (F.col("base") + F.col("inside")).alias("start")
+    slot_table = settle(placed_slots, targets, slots, block_words)
+    placed = stage.table("placed", stream_positions(sized, targets))
+    pieces = mixed_pieces(placed, slot_table, most, block_words)
+    words = pieces.groupBy("key").agg(
+        F.sum(F.col("to") - F.col("from")).alias("taken"), F.min("slot").alias("first_slot")
     )
-
-    # Words of all copies of a document before the end of its source's last block.
-    words = slot_table.groupBy("rank").agg(F.sum("words").alias("words"))
-    copies = [
-        F.greatest(F.least(F.col("words") - copy * F.col("source_size") - F.col("start"), F.col("size")), F.lit(0))
-        for copy in range(most)
-    ]
-    out = placed.join(words, "rank", "left")
-    taken = F.coalesce(functools.reduce(operator.add, copies), F.lit(0)).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    out = placed.join(words, "key", "left")
+    taken = F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+    return out.select("doc_id", "size", "source_size", "target", taken, "first_slot")

@@ -337,6 +337,61 @@ def test_schedule_is_settled_block_by_block(spark):
         assert sum(w for _, _, w in own) == int(t["target"] + 0.5) and {w for _, _, w in own[:-1]} <= {64}
 
 
+def test_golden_points_of_late_slots(spark):
+    slots = [0, 1, 2, 65_535, 65_536, 3_474_701_534, 3_600_000_000, 1 << 32, (1 << 32) + 5, 1 << 50, (1 << 62) + 77]
+    frame = spark.createDataFrame([(s,) for s in slots], "slot long")
+    got = [r["u"] for r in frame.select(mixing.golden_point("slot").alias("u")).collect()]
+    assert got == [s * 2_654_435_769 % (1 << 32) / (1 << 32) for s in slots]
+
+
+def test_the_mix_is_its_schedule(spark, stage, monkeypatch):  # noqa: F811
+    docs = [(i, "w " * (i % 40 + 1), "abc"[min(i % 5, 2)]) for i in range(600)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    held = {}
+    pieces_of = mixing.mixed_pieces
+
+    def kept(placed, slots, most, block_words):
+        held["slots"], held["pieces"] = rows_of(slots), rows_of(pieces_of(placed, slots, most, block_words))
+        return pieces_of(placed, slots, most, block_words)
+
+    monkeypatch.setattr(mixing, "mixed_pieces", kept)
+    rows = rows_of(mixing.mix(frame, stage, block_words=16))
+    source, size = {d[0]: d[2] for d in docs}, {r["doc_id"]: r["size"] for r in rows}
+    by_slot = {r["slot"]: [] for r in held["slots"]}
+    for p in held["pieces"]:
+        by_slot[p["slot"]].append(p)
+    words_in = {r["slot"]: r["words"] for r in held["slots"]}
+    spans = {}
+    for slot, pieces in by_slot.items():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p["offset"]):  # gapless from 0
+            assert p["offset"] == at
+            at += p["to"] - p["from"]
+            spans.setdefault((p["doc_id"], p["copy"]), []).append((p["from"], p["to"]))
+        assert at == words_in[slot] and len({source[p["doc_id"]] for p in pieces}) == 1
+    for (doc, _), parts in spans.items():  # each word of a copy lies in one slot
+        parts.sort()
+        assert parts[0][0] == 0 and all(a[1] == b[0] for a, b in zip(parts, parts[1:])) and parts[-1][1] <= size[doc]
+    for r in rows:
+        own = [p for p in held["pieces"] if p["doc_id"] == r["doc_id"]]
+        assert r["taken"] == sum(p["to"] - p["from"] for p in own)
+        assert r["first_slot"] == min((p["slot"] for p in own), default=None)
+    # The first slots already have the shares of the whole.
+    goal, order = Counter(), sorted(by_slot)
+    for r in rows:
+        goal[source[r["doc_id"]]] += r["taken"]
+    total = sum(goal.values())
+    for n in (50, 150, 400):
+        seen = Counter()
+        for slot in order[:n]:
+            seen[source[by_slot[slot][0]["doc_id"]]] += 1
+        assert all(abs(seen[s] / n - goal[s] / total) < 4 / n for s in goal)
+    # Other points are another mix.
+    monkeypatch.setattr(mixing, "golden_point", lambda slot: F.pmod(F.col(slot) * 7, F.lit(101)) / F.lit(101.0))
+    other = rows_of(mixing.mix(frame, stage.__class__(spark), block_words=16))
+    assert {r["doc_id"]: r["first_slot"] for r in other} != {r["doc_id"]: r["first_slot"] for r in rows}
+
+
 def test_targets_when_many_sources_are_capped(spark):
     sizes = {"a": 1, "b": 1000, "c": 1, "d": 1, "e": 5, None: 2}
     frame = spark.createDataFrame(list(sizes.items()), "source string, size long")
@@ -578,3 +633,27 @@ def test_language_id_of_odd_documents(spark, odd_docs, no_docs):  # noqa: F811
 def test_byte_mixing_is_a_permutation_sample():
     x = np.arange(100_000, dtype=np.uint64)
     assert len(np.unique(mix_bits(x))) == len(x)
+
+
+def test_language_predictions_against_plain_computation(spark, documents):  # noqa: F811
+    docs = [(d[0], d[1], ["en", "de", None, "fr"][d[0] % 4]) for d in documents] + [(10**6, None, "en"), (10**6 + 1, "12 !", "de")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(5)
+    got = {r["doc_id"]: r for r in rows_of(langid.predict(frame, langid.train(frame, order=2, buckets=97, alpha=0.5), ["doc_id"]))}
+    grams, rows = {}, Counter()
+    for _, text, lang in docs:
+        if lang is not None and text is not None:
+            rows[lang] += 1
+            held = grams.setdefault(lang, [0.5] * 97)
+            for at in langid.ngram_buckets(text, 2, 97):
+                held[at] += 1
+    for ident, text, _ in docs:
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[ident]["lang_pred"], got[ident]["score"]) == ("und", 0.0)
+            continue
+        logs = {}
+        for lang, held in grams.items():
+            total = sum(held)
+            logs[lang] = np.log(rows[lang] / sum(rows.values())) + sum(np.log(held[at] / total) for at in langid.ngram_buckets(text, 2, 97))
+        best = max(sorted(logs), key=logs.get)
+        assert got[ident]["score"] == pytest.approx(1 / sum(np.exp(v - logs[best]) for v in logs.values()), abs=1e-3)
+        assert got[ident]["lang_pred"] == best or logs[best] - logs[got[ident]["lang_pred"]] < 1e-3
