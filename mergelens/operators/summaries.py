@@ -83,11 +83,13 @@ def in_periods(summaries: Summaries, subjects: DataFrame) -> DataFrame:
         after = start.isNull() | (day * _DAY >= start)
         return after & (end.isNull() | ((day + 1) * _DAY - 1 <= end))
 
-    inside = summaries.days.join(who, ["dump_id", "user_login"]).filter(whole(F.col("day")))
+    # Counts are many rows in small files, which planning by size would send to the driver and broadcast.
+    # Hashed are always the subjects, a part in each task.
+    inside = summaries.days.join(who.hint("shuffle_hash"), ["dump_id", "user_login"]).filter(whole(F.col("day")))
     # Days that lie partly inside are at most the first and the last, so this is an equi-join on the day.
     ends = F.array_distinct(F.array(day_of(F.col("start_date")), day_of(F.col("end_date"))))
     edges = who.withColumn("day", F.explode(F.filter(ends, lambda day: day.isNotNull() & ~whole(day))))
-    partly = summaries.instants.join(edges, ["dump_id", "user_login", "day"])
+    partly = summaries.instants.join(edges.hint("shuffle_hash"), ["dump_id", "user_login", "day"])
     partly = partly.filter(in_period(F.col("at"), F.col("start_date"), F.col("end_date")))
     columns = [*SUBJECT, "kind", "micros", "n"]
     return inside.select(*columns).unionByName(partly.select(*columns))

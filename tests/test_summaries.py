@@ -6,7 +6,7 @@ import pytest
 from conftest import BASE, hour, make_subjects, make_tables
 from pyspark.sql import functions as F
 
-from mergelens.operators.summaries import Summaries, summarise
+from mergelens.operators.summaries import Summaries, in_periods, summarise
 from mergelens.plans.metrics import measured_from, metrics
 from mergelens.sources.staging import Staging
 
@@ -116,3 +116,19 @@ def test_bounds_without_a_zone_are_utc(spark, bound):
     assert [v for _, v in sorted(from_summaries(summarise(tables.pull_requests), naive).items())] == [
         v for _, v in sorted(from_facts(tables, naive).items())
     ]
+
+
+def test_summaries_are_not_broadcast_for_their_small_files(spark):
+    """Sorted counts of few values take few bytes in files and many in memory."""
+    many = spark.range(300_000).selectExpr(
+        "'merged' AS kind", "'d' AS dump_id", "concat('user_', id div 10000) AS user_login", "id div 100 % 100 AS day",
+        "id % 100 AS micros", "1L AS n",
+    )
+    staging = Staging(spark)
+    Summaries(many, many.withColumn("at", F.timestamp_seconds(F.col("day") * 86400))).write(staging.path)
+    logins = spark.range(100_000_000).selectExpr("'d' AS dump_id", "concat('user_', id % 30) AS user_login").distinct()
+    none = F.lit(None).cast("timestamp")
+    found = in_periods(Summaries.read(spark, staging.path), logins.withColumns({"start_date": none, "end_date": none}))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    staging.close()
+    assert "Join" in plan and "Broadcast" not in plan
