@@ -502,3 +502,21 @@ def test_parts_of_another_writer_come_before_numbered_ones(spark, tmp_path):
     (folder / "part-z.json").write_text(json.dumps(pr(1, title="foreign")) + "\n")
     sinks.append_tables({"pull_requests": raw_prs(spark, "own")}, str(tmp_path / "d"))
     assert titles(spark, str(tmp_path / "d")) == ["foreign", "own"]
+
+
+def test_compressed_dump_loads_alike_and_takes_less(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "_COMPRESSED_LINES", 20)
+    sizes, names = {}, [f"a{i:03}" for i in range(300)]
+    for kind, options in (("plain", {}), ("short", {"compression": "gzip"})):
+        root = str(tmp_path / kind)
+        sinks.append_tables({"pull_requests": raw_prs(spark, *names)}, root, **options)
+        sinks.append_tables({"pull_requests": raw_prs(spark, "last")}, root, **options)
+        assert titles(spark, root) == [*names, "last"]
+        parts = [p for p in (tmp_path / kind / "canonical" / "pull_requests.jsonl").iterdir() if p.name.startswith("part-")]
+        sizes[kind] = sum(p.stat().st_size for p in parts)
+        if options:
+            assert len(parts) >= 15 and all(p.name.endswith(".json.gz") for p in parts)
+    assert sizes["short"] * 5 < sizes["plain"]
+    root = str(tmp_path / "file")
+    with pytest.raises(ValueError):
+        sinks.append_tables({"pull_requests": raw_prs(spark, "x")}, root, "file", "gzip")
