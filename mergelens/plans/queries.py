@@ -448,34 +448,35 @@ def dump_to_report(spark, sf_dir):
 # --- a user's rows -------------------------------------------------------------------
 
 
-def _of_users(spark: SparkSession, sf_dir: str) -> tuple[Tables, DataFrame]:
-    tables = star.canonical_tables(spark, sf_dir)
+def _of_users(spark: SparkSession, sf_dir: str, *names: str) -> tuple[Tables, DataFrame]:
+    """Tables, all or those that subjects and the named ones take, and subjects."""
+    tables = star.canonical_tables(spark, sf_dir, *(("pull_requests", "reviews", *names) if names else ()))
     return tables, star.subjects(tables)
 
 
 @_query
 def user_prs(spark, sf_dir):
-    tables, subjects = _of_users(spark, sf_dir)
+    tables, subjects = _of_users(spark, sf_dir, "pull_requests")
     return sj.user_prs(tables.pull_requests, subjects).select("user_login", "number")
 
 
 @_query
 def user_merged_prs(spark, sf_dir):
     """On unwindowed tables: opened before the period, merged inside it, counts."""
-    tables, subjects = _of_users(spark, sf_dir)
+    tables, subjects = _of_users(spark, sf_dir, "pull_requests")
     every = star.all_tables(spark, sf_dir)
     return sj.user_merged_prs(every.pull_requests, subjects).select("user_login", "number")
 
 
 @_query
 def user_reviews(spark, sf_dir):
-    tables, subjects = _of_users(spark, sf_dir)
+    tables, subjects = _of_users(spark, sf_dir, "reviews")
     return sj.user_reviews(tables.reviews, subjects).select("user_login", "id", "number")
 
 
 @_query
 def user_commits(spark, sf_dir):
-    tables, subjects = _of_users(spark, sf_dir)
+    tables, subjects = _of_users(spark, sf_dir, "commits")
     return sj.user_commits(tables.commits, subjects).select("user_login", "sha", "number")
 
 
@@ -502,7 +503,7 @@ def user_reviews_naive_bound(spark, sf_dir):
 @_query
 def subject_defaults(spark, sf_dir):
     """Every second subject lacks a start, every third an end."""
-    tables, subjects = _of_users(spark, sf_dir)
+    tables, subjects = _of_users(spark, sf_dir, "pull_requests")
     user = F.substring_index("user_login", "_", -1).cast("long")
     gaps = subjects.withColumns(
         {
@@ -534,7 +535,7 @@ def pr_children(spark, sf_dir):
 
 @_query
 def review_comments_by_review(spark, sf_dir):
-    tables = star.whole_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir, "reviews", "comments")
     linked = tables.comments.filter(parsing.linked(F.col("review_id")))
     comments = linked.select("dump_id", F.col("review_id").alias("id"), F.col("id").alias("comment_id"), "path")
     return tables.reviews.select("dump_id", "id").join(comments, ["dump_id", "id"], "left").select("id", "comment_id", "path")
@@ -542,20 +543,20 @@ def review_comments_by_review(spark, sf_dir):
 
 @_query
 def review_with_pr(spark, sf_dir):
-    tables = star.whole_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir, "pull_requests", "reviews")
     rows = rv.with_pr(tables.reviews, tables.pull_requests, "merged", "merged_at")
     return rows.select("id", "number", "pr_author", "merged", _hour("merged_at").alias("merged_h"))
 
 
 @_query
 def is_change_request(spark, sf_dir):
-    tables = star.whole_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir, "reviews", "comments")
     return rv.with_change_request(tables.reviews, tables.comments).select("id", "is_change_request")
 
 
 @_query
 def event_after_review(spark, sf_dir):
-    tables = star.whole_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir, "reviews", "timeline")
     rows = tables.reviews.join(rv.last_events(tables.timeline), PR_KEY, "left")
     labeled = rv.last_events(tables.timeline, "labeled").select(*PR_KEY, F.col("last_event_at").alias("last_label_at"))
     later_label = F.coalesce(F.col("last_label_at") > F.col("submitted_at"), F.lit(False))
@@ -566,7 +567,7 @@ def event_after_review(spark, sf_dir):
 
 @_query
 def merged_after_review(spark, sf_dir):
-    tables = star.whole_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir, "pull_requests", "reviews", "timeline")
     rows = rv.with_pr(tables.reviews, tables.pull_requests, "merged", "merged_at")
     rows = rows.join(rv.last_events(tables.timeline), PR_KEY, "left")
     return rows.select("id", rv.merged_after().alias("merged_after"))
@@ -574,7 +575,7 @@ def merged_after_review(spark, sf_dir):
 
 @_query
 def next_author_commit(spark, sf_dir):
-    tables = star.whole_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir, "pull_requests", "reviews", "commits")
     rows = rv.with_followups(tables.reviews, tables, next_review=False)
     hours = micros_to_hours(F.col("next_commit") - F.col("at_micros"))
     return rows.select("id", "number", _round(hours).alias("hours"))
@@ -582,7 +583,7 @@ def next_author_commit(spark, sf_dir):
 
 @_query
 def next_review(spark, sf_dir):
-    tables = star.whole_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir, "reviews")
     rows = tables.reviews.select(*PR_KEY, "id", F.unix_micros("submitted_at").alias("at_micros"))
     followed = with_next(rows, PR_KEY, "at_micros", {"next_micros": F.lit(True)})
     return followed.select("id", "number", "next_micros")
@@ -596,7 +597,7 @@ def effective_change_request(spark, sf_dir):
 
 @_query
 def review_path_overlap(spark, sf_dir):
-    tables = star.whole_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir, "reviews", "comments", "files")
     matches = rv.path_matches(tables.comments, tables.reviews, tables.files).withColumn("matched", F.lit(True))
     rows = rv.with_marks(rv.with_change_request(tables.reviews, tables.comments), matches)
     has_paths = F.coalesce("has_paths", F.lit(False))
@@ -605,7 +606,7 @@ def review_path_overlap(spark, sf_dir):
 
 @_query
 def first_external_review(spark, sf_dir):
-    tables = star.whole_tables(spark, sf_dir)
+    tables = star.whole_tables(spark, sf_dir, "pull_requests", "reviews")
     rows = rv.first_external_reviews(tables.pull_requests, tables.reviews)
     return rows.select("number", _hour("first_review_at").alias("first_h"))
 
@@ -645,7 +646,7 @@ def pr_activity_seq(spark, sf_dir):
 @_query
 def ordered_pr_numbers(spark, sf_dir):
     """Opened pull requests of each subject, in order of creation."""
-    tables, subjects = _of_users(spark, sf_dir)
+    tables, subjects = _of_users(spark, sf_dir, "pull_requests")
     opened = sj.user_prs(tables.pull_requests, subjects)
     rows = opened.select(*sj.SUBJECT, "number", "line_ord", F.unix_micros("created_at").alias("at_micros"))
     return with_position(rows, sj.SUBJECT, "at_micros", ["line_ord"]).select("user_login", "number", "position")
@@ -654,7 +655,7 @@ def ordered_pr_numbers(spark, sf_dir):
 @_query
 def ordered_pr_numbers_open_period(spark, sf_dir):
     """All pull requests of each author, in order of creation: periods without bounds, tables without a window."""
-    prs = star.whole_tables(spark, sf_dir).pull_requests
+    prs = star.whole_tables(spark, sf_dir, "pull_requests").pull_requests
     none = F.lit(None).cast("timestamp")
     subjects = prs.select("dump_id", "user_login", none.alias("start_date"), none.alias("end_date")).distinct()
     rows = sj.user_prs(prs, subjects).select(*sj.SUBJECT, "number", "line_ord", F.unix_micros("created_at").alias("at_micros"))
@@ -710,7 +711,7 @@ for _slug in metrics():
 
 def _from_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts of two batches, added and landed; then only these are read."""
-    tables, subjects = _of_users(spark, sf_dir)
+    tables, subjects = _of_users(spark, sf_dir, "pull_requests")
     prs = tables.pull_requests
 
     def land(staging: Staging) -> str:
