@@ -28,6 +28,8 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _MOST_PIECES = 2_000_000  # then the memory starts afresh
 _RUN_BYTES = 4_000_000
+_PART_BYTES = 2_000_000  # of a run encoded at a time, as arrays take many times the text
+_BATCH = 5_000  # pieces tokenized at a time, as the tokenizer returns much more than ids
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -60,9 +62,13 @@ class Encoder:
         self._ids = np.zeros(0, np.uint32)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum())), lengths
+        parts, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for first in range(0, len(texts), _BATCH):
+            found = self._tokenizer.encode_batch_fast(texts[first : first + _BATCH], add_special_tokens=False)
+            found = [x.ids for x in found]
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+            parts.append(np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths[-1].sum())))
+        return np.concatenate(parts), np.concatenate(lengths)
 
     def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self._hashes, hashes)
@@ -113,8 +119,13 @@ class Encoder:
         """Per run of rows ``first`` to ``stop`` their ids, one text after another, and each text's number; null is empty."""
         offsets, data = text_buffers(column)
         for first, stop in text_runs(offsets, _RUN_BYTES):
-            cut = offsets[first : stop + 1]
-            yield first, stop, *self.encode(data[cut[0] : cut[-1]], cut - cut[0])
+            ids, counts = [], []
+            for a, b in text_runs(offsets[first : stop + 1], _PART_BYTES):
+                cut = offsets[first + a : first + b + 1]
+                part = self.encode(data[cut[0] : cut[-1]], cut - cut[0])
+                ids.append(part[0])
+                counts.append(part[1])
+            yield first, stop, np.concatenate(ids), np.concatenate(counts)
 
 
 def encoder(path: str) -> Encoder:
