@@ -19,7 +19,9 @@ def linked(key: Column) -> Column:
 
 
 def _whole_number(segment: Column) -> Column:
-    return F.trim(segment).try_cast("long")
+    # A failing cast costs an exception per row, so words do not reach it.
+    trimmed = F.trim(segment)
+    return F.when(trimmed.rlike("^[^A-Za-z]"), trimmed.try_cast("long"))
 
 
 def number_from_url(url: Column) -> Column:

@@ -16,7 +16,8 @@ def parse_iso(text: Column) -> Column:
 def offset_seconds(text: Column) -> Column:
     """Seconds by which an ISO-8601 text's clock is ahead of UTC; 0 for ``Z`` or no offset, null for null."""
     pattern = r"T.*([+-]\d{2})(?::?(\d{2}))?$"
-    hours, minutes = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
+    # A failing cast costs an exception per row, so what did not match is null before it.
+    hours, minutes = (F.nullif(F.regexp_extract(text, pattern, i), F.lit("")) for i in (1, 2))
     size = F.abs(hours.try_cast("int")) * 3600 + F.coalesce(minutes.try_cast("int"), F.lit(0)) * 60
     signed = F.when(F.startswith(hours, F.lit("-")), -size).otherwise(size)
     return F.when(text.isNotNull(), F.coalesce(signed, F.lit(0)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mergelens.functions.times import iso_text
 from mergelens.operators.tables import Tables
 from mergelens.plans.report import dataset_summary, report_header
+from mergelens.session import configure
 from mergelens.sources import dump, load, schemas, sinks
 from mergelens.sources.manifest import ManifestError, read_manifest, read_manifests
 
@@ -205,6 +206,23 @@ def test_commit_rules(spark, tmp_path):
     assert {"ghost", "seen"} <= {r.login for r in tables.users.collect()}
 
 
+def test_checks_pass_over_rows_left_out_when_stages_are_not_generated(spark, tmp_path):
+    """Wide stages run as separate operators; a check must not see rows that an earlier condition drops."""
+    root = write(
+        tmp_path / "d", prs=[pr(1)], commits=[commit("a", 1), commit("b", 1, when=None), commit("c", 1, when="")],
+        timeline=[event(1, "https://x/1/timeline"), event(2, "https://x/1/timeline", when=None), event(3, "https://x/a/b")],
+    )
+    configure(spark)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "1")
+    spark.conf.set("spark.sql.subexpressionElimination.skipForShortcutExpr", "false")
+    try:
+        tables = load.read_dump(spark, root)
+        assert (ids(tables.commits, "sha"), ids(tables.timeline)) == (["a"], [1])
+    finally:
+        configure(spark)
+
+
 def test_timeline_rules(spark, tmp_path):
     base = "https://api.example.org/repos/org/repo/issues"
     root = write(
