@@ -53,7 +53,7 @@ class Tables:
                 continue
             if "number" in rows.columns:
                 rows = rows.sortWithinPartitions(*PR_KEY)
-            rows.write.mode(mode).parquet(f"{path.rstrip('/')}/{table.name}")
+            rows.write.mode(mode).option("compression", "zstd").parquet(f"{path.rstrip('/')}/{table.name}")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, names: Collection[str] | None = None) -> Tables:

@@ -62,6 +62,8 @@ class Metric:
     has_details: str = "true"
     # Whether it reads ``review_facts``, which a report then works out once.
     uses_facts: bool = False
+    # Tables it reads; of none named, all.
+    reads: tuple[str, ...] = ()
 
     @property
     def columns(self) -> tuple[str, ...]:
@@ -348,6 +350,7 @@ _ALL = (
         _merge_effectiveness,
         items=_merge_effectiveness_items,
         has_details="merged_pr_count IS NOT NULL",
+        reads=("pull_requests", "reviews", "comments", "timeline"),
     ),
     Metric(
         "review_leverage",
@@ -385,6 +388,7 @@ _ALL = (
         ("opened_count", "merged_count"),
         _throughput,
         items=_throughput_items,
+        reads=("pull_requests",),
     ),
     Metric(
         "cycle_time",
@@ -393,6 +397,7 @@ _ALL = (
         _sentence("{merged_count} merged PRs. Median: {median_hours!r}h, p75: {p75_hours!r}h."),
         durations=_merged_durations,
         items=_cycle_time_items,
+        reads=("pull_requests",),
     ),
     Metric(
         "review_iterations",
@@ -403,6 +408,7 @@ _ALL = (
         _iterations,
         items=_iterations_items,
         uses_facts=True,
+        reads=("pull_requests", "reviews", "comments"),
     ),
     Metric(
         "time_to_first_review",
@@ -411,6 +417,7 @@ _ALL = (
         _sentence("{reviewed_prs} PRs reviewed; median: {median_hours!r}h, p75: {p75_hours!r}h"),
         durations=_first_review_times,
         items=_first_review_items,
+        reads=("pull_requests", "reviews"),
     ),
     Metric(
         "slow_review_response",
@@ -420,6 +427,7 @@ _ALL = (
         durations=_responses,
         items=_response_items,
         uses_facts=True,
+        reads=("pull_requests", "reviews", "commits"),
     ),
 )
 

@@ -683,8 +683,9 @@ def percentile_hours(spark, sf_dir):
 
 @_query
 def review_iterations_per_pr(spark, sf_dir):
-    tables, subjects = _of_users(spark, sf_dir)
-    rows = metrics()["review_iterations"].items(tables, subjects)
+    metric = metrics()["review_iterations"]
+    tables, subjects = _of_users(spark, sf_dir, *metric.reads)
+    rows = metric.items(tables, subjects)
     return rows.select("user_login", "number", "iterations")
 
 
@@ -693,8 +694,8 @@ def review_iterations_per_pr(spark, sf_dir):
 
 def _metric(slug: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tables, subjects = _of_users(spark, sf_dir)
         metric = metrics()[slug]
+        tables, subjects = _of_users(spark, sf_dir, *metric.reads)
         measured = metric.measure(tables, subjects)
         kinds = dict(measured.dtypes)
         return measured.select(

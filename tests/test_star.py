@@ -25,3 +25,19 @@ def test_facts_are_not_broadcast_by_their_size_in_files(spark):
     plans = [facts[0].join(other, "number")._jdf.queryExecution().executedPlan().toString() for other in (facts[1], few)]
     staging.close()
     assert "Broadcast" not in plans[0] and "BroadcastHashJoin" in plans[1]
+
+
+def test_metrics_land_only_tables_they_read(spark):
+    folder = f"{SMALL}/./."
+    rows = QUERIES["review_iterations"](spark, folder)
+    landed = {what for _, what, sf_dir in star._LANDED if sf_dir == folder}
+    assert landed == {"activity", *(f"canonical {name}" for name in ("pull_requests", "reviews", "comments", "manifests"))}
+    assert sorted(rows.collect()) == sorted(QUERIES["review_iterations"](spark, SMALL).collect())
+
+
+def test_landed_children_need_no_join_with_their_pull_requests(spark):
+    tables = star._windowed(spark, SMALL)
+    for name in ("reviews", "commits", "timeline"):
+        rows = getattr(tables, name)
+        assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() == rows.join(tables.pull_requests.select("number"), "number", "left_semi").count() > 0
