@@ -182,10 +182,11 @@ def _scanned(
             before = batch.slice(n - 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, *values, *state, *marks], schema.names)
 
-    # Equal rows in keys and order may still be dealt to several tasks.
-    dealt = rows.withColumn("_tie", F.xxhash64(*[_quoted(name) for name in rows.columns]))
-    by = [*keys, *order, "_tie"]
-    dealt = dealt.repartitionByRange(partitions, *by).sortWithinPartitions(*by).drop("_tie")
+    # Equal rows in keys and order may still be dealt to several tasks. The tie is an expression,
+    # not a column, as its bytes would go through the exchange and do not compress. The last
+    # key comes first, as it is the one that tells most rows apart, so sorting compares less.
+    by = [*reversed(keys), *order, F.xxhash64(*[_quoted(name) for name in rows.columns])]
+    dealt = rows.repartitionByRange(partitions, *by).sortWithinPartitions(*by)
     scanned = dealt.mapInArrow(run, schema).withColumn("_part", F.spark_partition_id())
     return staging.table(f"scan-{_next_name()}", scanned)
 

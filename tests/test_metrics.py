@@ -7,6 +7,7 @@ from conftest import make_subjects, make_tables
 
 from mergelens.operators.reviews import review_facts
 from mergelens.plans.metrics import metrics
+from mergelens.sources.staging import Staging
 
 
 def run(spark, slug, tables, login="alice", **period):
@@ -259,3 +260,22 @@ def test_results_do_not_depend_on_partitioning(spark):
             )
 
         assert json.dumps(rounded(tables)) == json.dumps(rounded(shuffled)), slug
+
+
+def test_facts_are_read_from_their_one_scan(spark, tmp_path):
+    """Flags are worked out before the scan, which deals rows without a column for ties; a commit brings no columns."""
+    reviews = [(1, 1, "bob", 2, "changes_requested"), (2, 1, "bob", 6, "changes_requested")]
+    tables = make_tables(
+        spark, prs=[(1, "alice", 1, 9)], reviews=reviews, commits=[(1, "alice", 3)], timeline=[(1, 1, "bob", 5, "commented")]
+    )
+    staging = Staging(spark, str(tmp_path / "s"))
+    facts = review_facts(tables, staging)
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("BroadcastExchange", "")
+    (scan,) = (tmp_path / "s").iterdir()
+    written = spark.read.parquet(str(scan))
+    assert not {"_tie", "merged_at", "closed_at", "last_event_at", "submitted_at"} & set(written.columns)
+    commit = written.filter("NOT is_review").first()
+    assert commit.at_micros is not None and commit.pr_author is None and commit.user_login is None
+    found = {r.id: (r.effective, r.updated_after_review, r.merged_after_review) for r in facts.collect()}
+    assert found == {1: (True, True, True), 2: (False, False, True)}
