@@ -13,6 +13,7 @@ from mergelens.functions.text import decimals
 from mergelens.operators.subjects import SUBJECT, user_prs
 from mergelens.plans.metrics import Metric, metrics
 from mergelens.plans.report import rating, report, report_items, write_report
+from mergelens.sources.staging import Staging
 from mergelens.sources.listing import candidates, updated_between
 
 PRS = [(1, "alice", 0, 10), (2, "alice", 1, 20), (3, "alice", 2, None)]
@@ -178,3 +179,10 @@ def replace_with_header(spark, tables):
     users = spark.createDataFrame([("d", 1)], "dump_id string, id long")
     manifests = make_subjects(spark, "alice")
     return replace(tables, users=users, repositories=users, manifests=manifests)
+
+
+def test_report_writes_facts_once(spark, tmp_path):
+    tables = make_tables(spark, prs=PRS, reviews=[(1, 1, "bob", 2, "changes_requested")], commits=[(1, "alice", 3)])
+    report(tables, make_subjects(spark, "alice"), staging=Staging(spark, str(tmp_path / "s")))
+    names = sorted(path.name.split("-")[0] for path in (tmp_path / "s").iterdir())
+    assert names == ["scan", "subjects"]
