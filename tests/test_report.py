@@ -181,6 +181,22 @@ def replace_with_header(spark, tables):
     return replace(tables, users=users, repositories=users, manifests=manifests)
 
 
+def test_items_are_placed_in_one_scan(spark, tmp_path):
+    """With staging: one scan for the facts and one for the lists of all metrics; equal to those without."""
+    reviews = [(1, 1, "bob", 2, "changes_requested"), (2, 1, "bob", 2, "changes_requested")]
+    tables = make_tables(spark, prs=PRS, reviews=reviews, commits=[(1, "alice", 3)])
+    subjects = make_subjects(spark, "alice", "bob")
+    rows = report_items(tables, subjects, staging=Staging(spark, str(tmp_path / "s")))
+    assert len(list((tmp_path / "s").iterdir())) == 2
+    items = sorted(tuple(map(str, r)) for r in rows.collect())
+    assert items == sorted(tuple(map(str, r)) for r in report_items(tables, subjects).collect())
+    places = {}
+    for r in rows.collect():
+        places.setdefault((r.user_login, r.metric_slug, r.list), []).append(r.position)
+    assert all(sorted(found) == list(range(1, len(found) + 1)) for found in places.values())
+    assert len(places["bob", "review_leverage", "change_request_details"]) == 2
+
+
 def test_report_writes_facts_once(spark, tmp_path):
     tables = make_tables(spark, prs=PRS, reviews=[(1, 1, "bob", 2, "changes_requested")], commits=[(1, "alice", 3)])
     report(tables, make_subjects(spark, "alice"), staging=Staging(spark, str(tmp_path / "s")))
