@@ -51,46 +51,66 @@ def _row(signed: str, row: int, width: int) -> str:
     return f"transform(sequence(0L, {width - 1}L), c -> aggregate({_in_row(signed, row, width, 'c')}, {zero}, {add}))"
 
 
-def _peeled(signed: str, width: int) -> str:
-    """The digests (x, s) recovered from the cells of ``signed``, or null if some are left."""
+def _cells(signed: str, width: int) -> str:
+    """A sketch over an array of (x, s): its three rows of cells."""
+    return "struct(" + ", ".join(f"{_row(signed, row, width)} as c{row}" for row in range(3)) + ")"
+
+
+def sketch(digest_array: str) -> Column:
+    """The smallest sketch of a digest array, of which fingerprints and differences are made."""
+    signed = f"transform({digest_array}, d -> struct(d as x, 1L as s))"
+    return F.expr(f"element_at(transform(array({signed}), v -> {_cells('v', _BASE)}), 1)")
+
+
+def _subtracted(left: str, right: str) -> str:
+    """Cells of the difference of two sketches of one width."""
+    less = "(p, q) -> struct(p.n - q.n as n, p.k ^ q.k as k, p.h ^ q.h as h)"
+    return "struct(" + ", ".join(f"zip_with({left}.c{row}, {right}.c{row}, {less}) as c{row}" for row in range(3)) + ")"
+
+
+def _peeled(start: str, width: int) -> str:
+    """The digests (x, s) recovered from the cells of a sketch, or null if some are left."""
     cells = "concat(t.c0, t.c1, t.c2)"
     pure = f"array_distinct(transform(filter({cells}, q -> abs(q.n) = 1 and xxhash64(q.k) = q.h), q -> struct(q.k as x, q.n as s)))"
     take = "(a, e) -> struct(a.n - e.s as n, a.k ^ e.x as k, a.h ^ xxhash64(e.x) as h)"
     rest = ", ".join(
         f"transform(t.c{row}, (q, i) -> aggregate({_in_row('u', row, width, 'i')}, q, {take})) as c{row}" for row in range(3)
     )
-    step = f"if(size(u) = 0, t, struct({rest}, concat(t.r, u) as r))"
+    # A round that finds nothing is the last; those after it cost nothing.
+    stuck = "struct(t.c0 as c0, t.c1 as c1, t.c2 as c2, t.r as r, false as more)"
+    step = f"if(size(u) = 0, {stuck}, struct({rest}, concat(t.r, u) as r, true as more))"
     none = "cast(array() as array<struct<x:bigint,s:bigint>>)"
-    state = "struct(" + ", ".join(f"{_row(signed, row, width)} as c{row}" for row in range(3)) + f", {none} as r)"
-    run = f"aggregate(sequence(1, {_ROUNDS}), {state}, (t, z) -> element_at(transform(array({pure}), u -> {step}), 1))"
+    state = f"element_at(transform(array({start}), c -> struct(c.c0 as c0, c.c1 as c1, c.c2 as c2, {none} as r, true as more)), 1)"
+    round_ = f"element_at(transform(array({pure}), u -> {step}), 1)"
+    run = f"aggregate(sequence(1, {_ROUNDS}), {state}, (t, z) -> if(t.more, {round_}, t))"
     empty = "forall(concat(o.c0, o.c1, o.c2), q -> q.n = 0 and q.k = 0 and q.h = 0)"
     return f"element_at(transform(array({run}), o -> if({empty}, o.r, null)), 1)"
 
 
-def difference(left: str, right: str) -> Column:
-    """Digests in only one of two digest arrays, as (x, s): s is 1 for ``left``, -1 for ``right``."""
+def difference(left: str, right: str, sketches: tuple[str, str] | None = None) -> Column:
+    """Digests in only one of two digest arrays, as (x, s): s is 1 for ``left``, -1 for ``right``.
+
+    Their sketches, columns of ``sketch`` or made here, are tried first; the arrays are dealt
+    to wider ones only if that is stuck.
+    """
     signed = f"concat(transform({left}, d -> struct(d as x, 1L as s)), transform({right}, d -> struct(d as x, -1L as s)))"
     exact = "filter({g}, e -> size(filter({g}, f -> f.x = e.x)) = 1)"
-    tries = ", ".join([*[_peeled("g", width) for width in _WIDER], exact.format(g="g")])
+    tries = ", ".join([*[_peeled(_cells("g", width), width) for width in _WIDER], exact.format(g="g")])
     parts = f"greatest(1, cast(ceil(size(b) / {_GROUP}.0) as int))"
     # Two steps of dealing, so that the work for a long text stays near its length.
     small = f"transform(sequence(0, {parts} - 1), w -> filter(b, e -> pmod(shiftrightunsigned(e.x, 40), {parts}) = w))"
     outer = f"greatest(1, cast(ceil(size(v) / {_GROUP * _SPLIT}.0) as int))"
     large = f"transform(sequence(0, {outer} - 1), w -> filter(v, e -> pmod(e.x, {outer}) = w))"
     grouped = f"flatten(transform(flatten(transform({large}, b -> {small})), g -> coalesce({tries})))"
-    return F.expr(
-        f"element_at(transform(array({signed}), v -> coalesce({_peeled('v', _BASE)}, {grouped})), 1)"
-    )
+    start = _subtracted(*sketches) if sketches else _cells("v", _BASE)
+    return F.expr(f"element_at(transform(array({signed}), v -> coalesce({_peeled(start, _BASE)}, {grouped})), 1)")
 
 
-def fingerprint(digest_array: str) -> Column:
+def fingerprint(sketch_column: str) -> Column:
     """The smallest sketch as text: count, digests and hashes of each cell in hexadecimal."""
-    signed = f"transform({digest_array}, d -> struct(d as x, 1L as s))"
     part = "concat(lpad(hex(q.n), 4, '0'), lpad(hex(q.k), 16, '0'), lpad(right(hex(q.h), 8), 8, '0'))"
-    cells = "concat(" + ", ".join(_row("v", row, _BASE) for row in range(3)) + ")"
-    return F.expr(
-        f"element_at(transform(array({signed}), v -> lower(array_join(transform({cells}, q -> {part}), ''))), 1)"
-    )
+    cells = f"concat({sketch_column}.c0, {sketch_column}.c1, {sketch_column}.c2)"
+    return F.expr(f"lower(array_join(transform({cells}, q -> {part}), ''))")
 
 
 def likeness(left: str, right: str, differing: str) -> Column:
@@ -153,9 +173,11 @@ def fingerprint_edits(docs: DataFrame, stage: Staging, id: str = "doc_id", text:
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         digests("text").alias("a"), digests("edited").alias("b"), "c",
     )
+    both = both.withColumns({f"sketch_{name}": sketch(name) for name in "abc"})
     both = both.select(
-        "*", fingerprint("a").alias("fingerprint"), fingerprint("b").alias("edited_fingerprint"),
-        difference("a", "b").alias("edit"), difference("a", "c").alias("gap"),
+        "*", fingerprint("sketch_a").alias("fingerprint"), fingerprint("sketch_b").alias("edited_fingerprint"),
+        difference("a", "b", ("sketch_a", "sketch_b")).alias("edit"),
+        difference("a", "c", ("sketch_a", "sketch_c")).alias("gap"),
     )
     both = both.withColumns({"edit_size": F.size("edit"), "gap_size": F.size("gap")})
     return both.select(

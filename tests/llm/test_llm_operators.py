@@ -586,6 +586,17 @@ def test_peeling_recovers_the_difference(spark, sizes):
     assert Counter(map(tuple, got)) == Counter([(x, 1) for x in left] + [(x, -1) for x in right])
 
 
+def test_difference_of_sketches_made_once(spark):
+    """Sketches subtract: with those of both texts the difference is the one worked out from the digests."""
+    rng = np.random.default_rng(5)
+    left, right, both = ([int(x) for x in rng.integers(-(2**63), 2**63 - 1, n)] for n in (2, 1, 300))
+    frame = spark.createDataFrame([(left + both, both + right), (both, both), ([], left)], "a array<long>, b array<long>")
+    frame = frame.withColumns({"p": fp.sketch("a"), "q": fp.sketch("b")})
+    rows = frame.select(fp.difference("a", "b", ("p", "q")).alias("d"), fp.difference("a", "b").alias("e")).collect()
+    assert all(Counter(map(tuple, r["d"])) == Counter(map(tuple, r["e"])) for r in rows)
+    assert [len(r["d"]) for r in rows] == [3, 0, 2]
+
+
 # --- WARC -------------------------------------------------------------------------------
 
 
