@@ -2,8 +2,9 @@
 
 Texts are range-partitioned and sorted by id, so files in order hold documents in
 order. A file is one segment: a header with its place (partition, number), the
-documents' ids and token counts, and independently coded, checksummed blocks of
-``block_ids`` token ids each (see ``rangecoder``). A document lies in one segment.
+documents' ids and token counts, the model that all its ids gave, and checksummed
+blocks of ``block_ids`` token ids each, every one coded with that model and without
+the other blocks (see ``rangecoder``). A document lies in one segment.
 Spark's writer puts every segment in a file of its own on the shared folder,
 followed by one zero byte.
 
@@ -24,29 +25,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mergelens.llm.rangecoder import decode, encode, split
+from mergelens.llm.rangecoder import Orders, decode, encode, split
 from mergelens.llm.tokens import encoder
 
-_HEAD = struct.Struct("<4sQQIII")  # magic, partition, number, documents, blocks, crc32 of the document table
-_MAGIC = b"IDS1"
+_HEAD = struct.Struct("<4sQQIIII")  # magic, partition, number, documents, blocks, bytes of the model, crc32 of what is before the blocks
+_MAGIC = b"IDS2"
 _NO_ID = -(2**63)
 
 
 def pack_segment(part: int, number: int, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block_ids: int) -> bytes:
     """A segment's bytes; a null document id is written as the smallest long."""
-    blocks = encode([ids[at : at + block_ids] for at in range(0, len(ids), block_ids)])
-    docs = doc_ids.astype("<i8").tobytes() + counts.astype("<i8").tobytes()
-    return b"".join([_HEAD.pack(_MAGIC, part, number, len(doc_ids), len(blocks), zlib.crc32(docs)), docs, *blocks])
+    orders = Orders.learn(ids)
+    blocks = encode([ids[at : at + block_ids] for at in range(0, len(ids), block_ids)], orders)
+    docs, model = doc_ids.astype("<i8").tobytes() + counts.astype("<i8").tobytes(), orders.to_bytes()
+    crc = zlib.crc32(model, zlib.crc32(docs))
+    head = _HEAD.pack(_MAGIC, part, number, len(doc_ids), len(blocks), len(model), crc)
+    return b"".join([head, docs, model, *blocks])
 
 
 def unpack_segment(data: memoryview) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
     """Partition, number, document ids, token counts and token ids; damage is an error."""
-    magic, part, number, n, count, crc = _HEAD.unpack_from(data)
-    docs = bytes(data[_HEAD.size : _HEAD.size + 16 * n])
-    if magic != _MAGIC or zlib.crc32(docs) != crc:
+    magic, part, number, n, count, length, crc = _HEAD.unpack_from(data)
+    at = _HEAD.size + 16 * n
+    docs, model = bytes(data[_HEAD.size : at]), bytes(data[at : at + length])
+    if magic != _MAGIC or zlib.crc32(model, zlib.crc32(docs)) != crc:
         raise ValueError("damaged segment")
-    blocks, _ = split(data[_HEAD.size + 16 * n :], count)
-    ids = np.concatenate([np.zeros(0, np.uint32), *decode(blocks)])
+    blocks, _ = split(data[at + length :], count)
+    ids = np.concatenate([np.zeros(0, np.uint32), *decode(blocks, Orders.from_bytes(model)[0])])
     return part, number, np.frombuffer(docs[: 8 * n], "<i8"), np.frombuffer(docs[8 * n :], "<i8"), ids
 
 

@@ -178,6 +178,45 @@ def test_range_coder_round_trip():
         rangecoder.encode([np.array([1 << 16])])
 
 
+def test_segment_has_one_model():
+    """Blocks share what the whole segment says: short blocks cost little more than long ones, a lane has no tables."""
+    rng = np.random.default_rng(5)
+    follows = rng.permutation(400)
+    ids = np.zeros(40_000, np.int64)
+    for at in range(1, len(ids)):
+        ids[at] = follows[ids[at - 1]] if rng.random() < 0.9 else rng.integers(0, 400)
+    doc_ids, counts = np.array([3, -(2**63)]), np.array([30_000, 10_000])
+    sizes = {}
+    for block_ids in (250, 4096):
+        data = idfile.pack_segment(2, 1, doc_ids, counts, ids, block_ids)
+        part, number, found, lengths, read = idfile.unpack_segment(memoryview(data))
+        assert (part, number) == (2, 1) and (found == doc_ids).all() and (lengths == counts).all() and (read == ids).all()
+        sizes[block_ids] = len(data)
+    assert sizes[4096] < 12_000 and sizes[250] < sizes[4096] + 160 * 40
+    damaged = bytearray(data)
+    damaged[100] ^= 1  # in the model
+    with pytest.raises(ValueError):
+        idfile.unpack_segment(memoryview(bytes(damaged)))
+    orders = rangecoder.Orders.learn(ids)
+    state = [*vars(rangecoder._Mixer(1000, orders)).values()]
+    state = [x for v in state for x in (v if isinstance(v, list) else [v]) if isinstance(x, np.ndarray)]
+    assert sum(x.nbytes for x in state) <= 64 * 1000
+
+
+def test_model_meets_other_ids():
+    """Ids the model has not seen, more ids than it keeps, and a model of nothing."""
+    rng = np.random.default_rng(6)
+    blocks = [rng.integers(0, 65_536, 3000), rng.integers(0, 50, 1000), np.zeros(0, int), np.array([65_535])]
+    for seen in (np.zeros(0, int), np.array([7]), np.arange(65_536), rng.integers(0, 50, 5000)):
+        kept = rangecoder.Orders.learn(seen).to_bytes()
+        orders, used = rangecoder.Orders.from_bytes(kept + b"more")
+        coded = rangecoder.encode(blocks, orders)
+        read, _ = rangecoder.split(b"".join(coded), len(coded))
+        assert used == len(kept)
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(rangecoder.decode(read, orders), blocks, strict=True))
+        assert [rangecoder.encode([b], orders)[0] for b in blocks] == coded
+
+
 def check_id_files(spark, stage, docs, texts):  # noqa: F811
     """``texts``: (id, text) in the order of the files."""
     path = f"{stage.path}/ids"
