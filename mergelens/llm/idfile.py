@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from mergelens.llm.rangecoder import Orders, decode, encode, split
 from mergelens.llm.tokens import encoder
 
-_HEAD = struct.Struct("<4sQQIIII")  # magic, partition, number, documents, blocks, bytes of the model, crc32 of what is before the blocks
+# Magic, partition, number, documents, blocks, bytes of the model, crc32 of the document table and the model.
+_HEAD = struct.Struct("<4sQQIIII")
 _MAGIC = b"IDS2"
 _NO_ID = -(2**63)
 

@@ -31,7 +31,7 @@ _LAST, _BEFORE = _U(2_654_435_761), _U(2_246_822_519)
 _MOST, _ESCAPE = 32_768, 64  # ids that order 0 knows at most, and the least share of all others
 _UNSEEN = -64  # the share of a context without a prediction
 _WORTH = 5  # times a prediction must have held to be kept, as it takes some bytes
-_LOW, _WORD = 2.0**32, 2.0**16
+_ALL, _LOW, _WORD = np.int32(_IDS), 2.0**32, 2.0**16
 _TABLES = struct.Struct("<IIII")  # entries of order 1, 2 and 0, bytes
 _HEADER = struct.Struct("<4sIIIII")  # magic, ids, crc32 of the ids, bytes of an own model and of code, crc32 of both
 _MAGIC = b"IDR2"
@@ -159,7 +159,7 @@ class _Mixer:
         self.other = self.id1 != self.id2
         self.says2, self.says1 = (two >> 16).astype(_F), (one >> 16).astype(_F)
         # Order 1 speaks for order 2's id if it is its own, else against it.
-        self.agrees = np.where(self.other, -self.says1, self.says1)
+        self.agrees = self.says1 * (1 - 2 * self.other.view(np.int8))
         w = [x[:n] for x in self.weights]
         mixed = w[0] * self.says2 + w[1] * self.agrees + w[2]
         self.p2 = _SQUASH.take(mixed.astype(_I), mode="clip")
@@ -218,9 +218,10 @@ def _encode(blocks: list[np.ndarray], orders: Orders, own: bytes) -> list[bytes]
         low[lanes] = (now - word * _LOW) * _WORD
 
     def settle(lanes: np.ndarray) -> None:
-        if len(lanes):
+        while len(lanes):
             shift(lanes)
-            width[lanes] *= _WORD
+            width[lanes] = wide = width[lanes] * _WORD
+            lanes = lanes[wide < _LOW]
 
     for step, n in enumerate(working):
         now = ids[step, :n]
@@ -229,24 +230,24 @@ def _encode(blocks: list[np.ndarray], orders: Orders, own: bytes) -> list[bytes]
         is1 = (mixer.id1 == now) & ~is2
         rest = ~(is2 | is1)
         start = mixer.end2 * is1 + mixer.end1 * rest
+        end = mixer.end2 * is2 + mixer.end1 * is1 + _ALL * rest
         part = np.floor(width[:n] * (1 / _WORD))
         low[:n] += part * start
-        wide = np.multiply(part, mixer.end2 * is2 + mixer.end1 * is1 + _IDS * rest - start, out=width[:n])
-        settle(np.flatnonzero(wide < _LOW))
+        np.multiply(part, end - start, out=width[:n])
         rest = np.flatnonzero(rest)
         if len(rest):
             place = orders.place.take(now[rest], mode="clip")
             start = place >> _SIXTEEN
             part = np.floor(width[rest] * (1 / _WORD))
             low[rest] += part * start
-            width[rest] = part = part * (place & _U(0xFFFF))
-            settle(rest[part < _LOW])
+            width[rest] = part * (place & _U(0xFFFF))
             plain = rest[start == orders.known]
             if len(plain):
+                settle(plain[width[plain] < _LOW])
                 part = np.floor(width[plain] * (1 / _WORD))
                 low[plain] += part * now[plain]
                 width[plain] = part
-                settle(plain[part < _LOW])
+        settle(np.flatnonzero(width[:n] < _LOW))  # at most two words, as no share is empty
         mixer.learn(n, now, is2, is1)
     for _ in range(3):
         shift(np.arange(len(order)))
@@ -299,11 +300,12 @@ def _decode(blocks: list[tuple], orders: Orders) -> list[np.ndarray]:
     mixer, ids = _Mixer(len(order), orders), np.zeros((len(working), len(order)), np.uint16)
 
     def settle(lanes: np.ndarray) -> None:
-        if len(lanes):
+        while len(lanes):
             at = used[lanes]
             code[lanes] = code[lanes] * _WORD + words.take(at, mode="clip")
             used[lanes] = at + 1
-            width[lanes] *= _WORD
+            width[lanes] = wide = width[lanes] * _WORD
+            lanes = lanes[wide < _LOW]
 
     for step, n in enumerate(working):
         mixer.predict(n)
@@ -312,9 +314,9 @@ def _decode(blocks: list[tuple], orders: Orders) -> list[np.ndarray]:
         is2, rest = at < mixer.end2, at >= mixer.end1
         is1 = ~(is2 | rest)
         start = mixer.end2 * is1 + mixer.end1 * rest
+        end = mixer.end2 * is2 + mixer.end1 * is1 + _ALL * rest
         code[:n] -= part * start
-        wide = np.multiply(part, mixer.end2 * is2 + mixer.end1 * is1 + _IDS * rest - start, out=width[:n])
-        settle(np.flatnonzero(wide < _LOW))
+        np.multiply(part, end - start, out=width[:n])
         now = ids[step, :n]
         now[:] = np.where(is2, mixer.id2, mixer.id1)
         rest = np.flatnonzero(rest)
@@ -326,17 +328,17 @@ def _decode(blocks: list[tuple], orders: Orders) -> list[np.ndarray]:
             odd = np.flatnonzero(at >= orders.known)
             place[odd] = orders.others
             code[rest] -= part * (place >> _SIXTEEN)
-            width[rest] = part = part * (place & _U(0xFFFF))
-            settle(rest[part < _LOW])
+            width[rest] = part * (place & _U(0xFFFF))
             if len(odd):
                 plain = rest[odd]
+                settle(plain[width[plain] < _LOW])
                 part = np.floor(width[plain] * (1 / _WORD))
                 at = np.minimum(code[plain] / part, 65_535).astype(np.uint16)
                 code[plain] -= part * at
                 width[plain] = part
-                settle(plain[part < _LOW])
                 symbol[odd] = at
             now[rest] = symbol
+        settle(np.flatnonzero(width[:n] < _LOW))  # at most two words, as no share is empty
         mixer.learn(n, now, is2, is1)
     found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(order)
     for lane, i in enumerate(order):
