@@ -5,8 +5,8 @@ fetched again the last line wins, its children are added, and names follow the f
 mention of each user, old or new. The result is that of one load of all batches
 together, if each batch brings the children of a pull request with or after it.
 
-Only folders with rows that change are written again (dynamic overwrite): rows of
-touched pull requests, and rows of users whose first mention changed its name. What
+Only folders with rows that change are written again, each once (dynamic overwrite): new
+rows, pull requests fetched again, and rows of users whose first mention changed its name. What
 decides about names is kept beside the tables as mergeable state, the first mention
 of each user on each pull request (``_mentions``) and the pull requests' own payloads
 (``_heads``). Taking up the same batch again changes nothing, so a run that was cut off
@@ -18,7 +18,7 @@ request; users and state in folders by dump and hash.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from mergelens.operators import interning
 from mergelens.operators.normalize import Normalizer, Windows
 from mergelens.operators.tables import MONTH, PR_KEY, Tables, month_of
+from mergelens.sources import files
 from mergelens.sources.load import flat_prs, last_copies
 from mergelens.sources.staging import Staging
 
@@ -57,7 +58,25 @@ def _union(*parts: DataFrame | None) -> DataFrame:
 
 
 def _only(rows: DataFrame | None, keys: DataFrame, names: Sequence[str], how: str = "left_semi") -> DataFrame | None:
-    return None if rows is None else rows.join(keys.select(*names).distinct(), list(names), how)
+    return None if rows is None else rows.join(keys.select(*names), list(names), how)
+
+
+def _in(rows: DataFrame, places: set[tuple], folders: Sequence[str]) -> DataFrame:
+    """Rows of the given folders."""
+    by_dump: dict[str, list] = {}
+    for dump, *rest in sorted(places):
+        by_dump.setdefault(dump, []).extend(rest)
+    chosen = [
+        (F.col("dump_id") == dump) & F.col(folders[1]).isin(rest) if len(folders) > 1 else F.col("dump_id") == dump
+        for dump, rest in by_dump.items()
+    ]
+    return rows.filter(reduce(Column.__or__, chosen, F.lit(False)))
+
+
+def _first_of_prs(mentions: DataFrame) -> DataFrame:
+    """The first mention of each user on each pull request."""
+    first = [F.min_by("seen", "seen_at").alias("seen"), F.min("seen_at").alias("seen_at")]
+    return mentions.groupBy(*PR_KEY, "user_id").agg(*first)
 
 
 class Landing:
@@ -97,7 +116,9 @@ class Landing:
         norm = Normalizer(windows, self.key)
         heads = self.read("_heads")
         new_prs = staging.table("prs", norm.pull_requests(raw["pull_requests"]))
-        known = _union(None if heads is None else heads.select(*PR_KEY), new_prs.select(*PR_KEY)).distinct()
+        known = new_prs
+        if heads is not None:
+            known = staging.table("known", _union(heads.select(*PR_KEY), new_prs.select(*PR_KEY)).distinct())
         children = {
             "reviews": norm.reviews(raw["reviews"], known),
             "commits": norm.commits(raw["commits"], known),
@@ -106,147 +127,206 @@ class Landing:
             "files": norm.files(raw["files"], known),
         }
         children = {name: staging.table(name, rows) for name, rows in children.items()}
-        touched = staging.table(
-            "touched", _union(new_prs.select(*PR_KEY), *[rows.select(*PR_KEY) for rows in children.values()]).distinct()
-        )
 
-        # Pull requests: the last line wins, the first one keeps its place.
-        merged = _union(_only(heads, new_prs, PR_KEY), new_prs.withColumn(SLOT, self._slot(*PR_KEY)))
-        payload = [name for name in merged.columns if name not in (*PR_KEY, "first_ord")]
-        last = F.max_by(F.struct(*payload), "line_ord").alias("last")
-        merged = merged.groupBy(*PR_KEY).agg(last, F.min("first_ord").alias("first_ord"))
-        self._replace("_heads", new_prs.select(*PR_KEY), PR_KEY, merged.select(*PR_KEY, "last.*", "first_ord"), staging)
+        self._merge_heads(heads, new_prs)
         heads = self.read("_heads")
+        people, renamed = self._merge_mentions(heads, new_prs, children, staging)
 
-        renamed = self._merge_mentions(heads, children, touched, staging)
-        users = self.read("users")
-
-        flat = flat_prs(interning.named(self._hit(heads, touched, renamed, "user.id").drop(SLOT), users, "user"))
-        self._write_facts("pull_requests", flat, touched, renamed, staging)
+        self._write_prs(heads, new_prs, people, renamed, staging)
         for name, rows in children.items():
-            self._write_facts(name, self._children(name, rows, norm, touched, renamed, users), touched, renamed, staging)
+            self._write_children(name, rows, norm, people, renamed, staging)
+        # Only now, so that a run cut off before finds again whom to rename.
+        self._write_users(people, staging)
 
         dumps = manifests.select("dump_id").distinct()
-        repositories = interning.first_seen_repositories(_only(heads, dumps, ["dump_id"]))
-        self._replace("repositories", dumps, ["dump_id"], repositories, staging)
-        self._replace("manifests", dumps, ["dump_id"], manifests, staging)
+        places = self._places(dumps, ["dump_id"])
+        self._lay("repositories", interning.first_seen_repositories(_only(heads, dumps, ["dump_id"])), places)
+        self._lay("manifests", manifests, places)
 
     def _slot(self, *names: str) -> Column:
         return F.pmod(F.xxhash64(*names), F.lit(self.slots)).cast("int")
 
+    def _merge_heads(self, heads: DataFrame | None, new_prs: DataFrame) -> None:
+        """Pull requests: the last line wins, the first one keeps its place."""
+        fresh = new_prs.withColumn(SLOT, self._slot(*PR_KEY))
+        if heads is None:
+            return self._lay("_heads", fresh, set())
+        places = self._places(fresh, _FOLDERS["_heads"])
+        # A pull request is at most once on either side, so rows meet in one join.
+        was = _in(heads, places, _FOLDERS["_heads"])
+        payload = [name for name in fresh.columns if name not in (*PR_KEY, SLOT)]
+        old = was.select(*PR_KEY, F.struct(*payload).alias("_old"))
+        both = fresh.select(*PR_KEY, F.struct(*payload).alias("_new")).join(old, PR_KEY, "full")
+        newer = F.col("_old").isNull() | (F.col("_new.line_ord") >= F.col("_old.line_ord"))
+        last = F.when(newer, F.col("_new")).otherwise(F.col("_old"))
+        first = F.least("_old.first_ord", "_new.first_ord").alias("first_ord")
+        rest = [name for name in payload if name != "first_ord"]
+        merged = both.select(*PR_KEY, last.alias("last"), first)
+        merged = merged.select(*PR_KEY, *[F.col(f"last.{name}").alias(name) for name in rest], "first_ord")
+        self._lay("_heads", merged.withColumn(SLOT, self._slot(*PR_KEY)), places)
+
     def _merge_mentions(
-        self, heads: DataFrame, children: dict[str, DataFrame], touched: DataFrame, staging: Staging
-    ) -> DataFrame:
-        """Bring mentions and users up to date; returns the users whose name or type changed."""
-        carry = PR_KEY[1:]
-        by_children = interning.child_mentions(
+        self, heads: DataFrame, new_prs: DataFrame, children: dict[str, DataFrame], staging: Staging
+    ) -> tuple[DataFrame, DataFrame | None]:
+        """Bring mentions up to date; returns the users they are about, and those with another name or type, if any."""
+        old, carry, person = self.read("_mentions"), PR_KEY[1:], ["dump_id", "user_id"]
+        present = heads if old is None else _only(heads, new_prs, PR_KEY)
+        fresh = interning.child_mentions(
             children["reviews"], children["commits"], children["comments"], children["timeline"], carry
-        )
-        old = _only(self.read("_mentions"), touched, PR_KEY)
-        old = None if old is None else staging.table("old_mentions", old)
-        by_prs = interning.pr_mentions(_only(heads, touched, PR_KEY), carry)
-        kept = None if old is None else old.filter(~interning.introduced_by_pr()).drop(SLOT)
-        fresh = _union(kept, by_children, by_prs).groupBy(*PR_KEY, "user_id").agg(
-            F.min_by("seen", "seen_at").alias("seen"), F.min("seen_at").alias("seen_at")
-        )
-        fresh = staging.table("fresh_mentions", fresh.withColumn(SLOT, self._slot(*PR_KEY)))
-        self._replace("_mentions", touched, PR_KEY, fresh, staging)
-
-        person = ["dump_id", "user_id"]
-        affected = _union(None if old is None else old.select(*person), fresh.select(*person)).distinct()
+        ).unionByName(interning.pr_mentions(present, carry))
+        fresh = staging.table("mentions", _first_of_prs(fresh).withColumn(SLOT, self._slot(*PR_KEY)))
+        gone, places, merged = None, set(), fresh
+        if old is not None:
+            # What a pull request's earlier payload said goes; what its children said stays.
+            gone = old.filter(interning.introduced_by_pr()).join(new_prs.select(*PR_KEY), PR_KEY, "left_semi")
+            gone = staging.table("old_mentions", gone.select(*PR_KEY, "user_id", SLOT))
+            folders, key = _FOLDERS["_mentions"], [*PR_KEY, "user_id"]
+            places = self._places(_union(fresh.select(*folders), gone.select(*folders)), folders)
+            # A user is named once on a pull request by either side, so they meet in one join.
+            was = _only(_in(old, places, folders), gone, key, "left_anti")
+            was = was.select(*key, F.col("seen").alias("_seen"), F.col("seen_at").alias("_seen_at"))
+            both = was.join(fresh.drop(SLOT), key, "full")
+            earlier = F.col("seen_at").isNull() | (F.col("_seen_at") <= F.col("seen_at"))
+            first = [F.when(earlier, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("seen", "seen_at")]
+            merged = both.select(*key, *first).withColumn(SLOT, self._slot(*PR_KEY))
+        self._lay("_mentions", merged, places)
+
+        affected = _union(fresh.select(*person), None if gone is None else gone.select(*person)).distinct()
         affected = staging.table("affected", affected)
         first = interning.first_mentions(_only(self.read("_mentions"), affected, person))
-        now = staging.table("people", interning.users_of(first).withColumn(SLOT, self._slot("dump_id", "id")))
+        # A user who is named no more has no login.
         ids = affected.withColumnRenamed("user_id", "id")
-        before = _only(self.read("users"), ids, ["dump_id", "id"])
-        if before is None:
-            renamed = now.select("dump_id", "id").limit(0)
-        else:
-            was = before.select("dump_id", "id", F.col("login").alias("_login"), F.col("type").alias("_type"))
-            other = ~F.col("login").eqNullSafe(F.col("_login")) | ~F.col("type").eqNullSafe(F.col("_type"))
-            renamed = now.join(was, ["dump_id", "id"]).filter(other).select("dump_id", "id")
-        renamed = staging.table("renamed", renamed)
-        self._replace("users", ids, ["dump_id", "id"], now, staging)
-        return renamed
+        people = ids.join(interning.users_of(first), ["dump_id", "id"], "left").withColumn(SLOT, self._slot("dump_id", "id"))
+        people = staging.table("people", people)
+        users = self.read("users")
+        if users is None:
+            return people, None
+        was = users.select("dump_id", "id", F.col("login").alias("_login"), F.col("type").alias("_type"))
+        other = ~F.col("login").eqNullSafe(F.col("_login")) | ~F.col("type").eqNullSafe(F.col("_type"))
+        renamed = people.filter(F.col("login").isNotNull()).join(was, ["dump_id", "id"]).filter(other)
+        renamed = staging.table("renamed", renamed.select("dump_id", "id", "login", "type"))
+        return people, None if renamed.isEmpty() else renamed
+
+    def _write_users(self, people: DataFrame, staging: Staging) -> None:
+        now, users, folders = people.filter(F.col("login").isNotNull()), self.read("users"), _FOLDERS["users"]
+        if users is None:
+            return self._lay("users", now, set())
+        places = self._places(people, folders)
+        others = _only(_in(users, places, folders), people, ["dump_id", "id"], "left_anti")
+        self._lay("users", _union(others, now), places)
+
+    def _write_prs(
+        self, heads: DataFrame, new_prs: DataFrame, people: DataFrame, renamed: DataFrame | None, staging: Staging
+    ) -> None:
+        old = self.read("pull_requests")
+        present = heads if old is None else _only(heads, new_prs, PR_KEY)
+        new = flat_prs(interning.named(present.drop(SLOT), people, "user"))
+        out = None
+        if old is not None:
+            new = staging.table("pull_requests-new", new)
+            out = staging.table("pull_requests-out", _only(old.select(*PR_KEY, MONTH), new_prs, PR_KEY))
+        self._write_facts("pull_requests", new, new, out, PR_KEY, renamed)
 
-    @staticmethod
-    def _hit(rows: DataFrame, touched: DataFrame, renamed: DataFrame, user: str | None, hit: bool = True) -> DataFrame:
-        """Rows of touched pull requests or renamed users, or all others."""
-        marked = rows.join(touched.withColumn("_touched", F.lit(True)), PR_KEY, "left")
-        found = F.col("_touched").isNotNull()
-        if user is not None:
-            who = renamed.select(F.col("dump_id").alias("_dump"), F.col("id").alias("_id"))
-            marked = marked.join(who, (F.col("dump_id") == F.col("_dump")) & (F.col(user) == F.col("_id")), "left")
-            found = found | F.col("_id").isNotNull()
-        return marked.filter(found if hit else ~found).select(*rows.columns)
-
-    def _children(
-        self, name: str, new: DataFrame, norm: Normalizer, touched: DataFrame, renamed: DataFrame, users: DataFrame
-    ) -> DataFrame:
-        """Rows of a table to be written: new ones and landed ones that are hit, with present names."""
-        user = FACTS[name][1]
+    def _write_children(
+        self, name: str, new: DataFrame, norm: Normalizer, people: DataFrame, renamed: DataFrame | None, staging: Staging
+    ) -> None:
+        user, fetched = FACTS[name][1], new
         if name == "commits":
             new = norm.usable_commits(new).withColumn("committer_id", F.col("committer.id")).drop("committer")
         if user is not None:
-            new = new.withColumn(user, F.struct(F.col(f"{user}.id").alias("id")))
-        old = self.read(name)
+            new = interning.named(new, people, user)
+        old, out = self.read(name), None
+        line = [*PR_KEY, "line_ord", *(["type"] if name == "comments" else []), *(["filename"] if name == "files" else [])]
         if old is not None:
-            old = self._hit(old, touched, renamed, None if user is None else f"{user}_id").drop(MONTH)
-            if user is not None:
-                old = old.withColumn(user, F.struct(F.col(f"{user}_id").alias("id")))
-                old = old.drop(*[f"{user}_{part}" for part in ("id", "login", "type")])
             # A batch taken up before is there already.
-            line = [*PR_KEY, "line_ord", *(["type"] if name == "comments" else []), *(["filename"] if name == "files" else [])]
-            old = _only(old, new, line, "left_anti")
-        rows = _union(old, new)
-        if user is not None:
-            rows = interning.named(rows, users, user)
-        return last_copies(rows, *_COPY_ID[name]) if self.dedup_children else rows
+            copy = [*PR_KEY, *_COPY_ID[name]]
+            narrow = old.select(*dict.fromkeys([*line, *copy]), MONTH)
+            out = _only(narrow, new, line)
+            if self.dedup_children:
+                out = _union(out, _only(narrow, new, copy)).distinct()
+            out = staging.table(f"{name}-out", out)
+        if self.dedup_children:
+            if out is not None:
+                back = self._renamed(_only(old, out, line), name, renamed).drop(MONTH)
+                new = _union(_only(back, new, line, "left_anti"), new)
+            new = last_copies(new, *_COPY_ID[name])
+        self._write_facts(name, new, fetched, out, line, renamed)
+
+    @staticmethod
+    def _renamed(rows: DataFrame, name: str, renamed: DataFrame | None) -> DataFrame:
+        """Landed rows with present names."""
+        user = FACTS[name][1]
+        if user is None or renamed is None:
+            return rows
+        parts = {part: f"{user}_{part}" for part in ("login", "type")}
+        now = renamed.select("dump_id", F.col("id").alias(f"{user}_id"), *[F.col(c).alias(f"_{c}") for c in parts])
+        marked = rows.join(now, ["dump_id", f"{user}_id"], "left")
+        present = {c: F.when(F.col("_login").isNotNull(), F.col(f"_{part}")).otherwise(F.col(c)) for part, c in parts.items()}
+        return marked.withColumns(present).select(*rows.columns)
 
     def _write_facts(
-        self, name: str, rows: DataFrame, touched: DataFrame, renamed: DataFrame, staging: Staging
-    ) -> None:
-        at, user = FACTS[name]
-        month = F.lit(0) if at is None else F.coalesce(month_of(F.col(at)), F.lit(0))
-        fresh = rows.withColumn(MONTH, month.cast("int"))
-        who = None if user is None else f"{user}_id"
-        self._swap(name, lambda old, hit: self._hit(old, touched, renamed, who, hit), fresh, staging)
-
-    def _replace(self, name: str, keys: DataFrame, by: Sequence[str], fresh: DataFrame, staging: Staging) -> None:
-        """Put ``fresh`` in place of all rows of the table with one of the keys."""
-        how = {True: "left_semi", False: "left_anti"}
-        self._swap(name, lambda old, hit: _only(old, keys, by, how[hit]), fresh, staging)
-
-    def _swap(
-        self, name: str, split: Callable[[DataFrame, bool], DataFrame], fresh: DataFrame, staging: Staging
+        self,
+        name: str,
+        new: DataFrame,
+        fetched: DataFrame,
+        out: DataFrame | None,
+        line: Sequence[str],
+        renamed: DataFrame | None,
     ) -> None:
-        """Put ``fresh`` in place of the landed rows that ``split`` hits, in the folders that lose or gain rows."""
-        folders, old = _FOLDERS[name], self.read(name)
-        written, changed = staging.table(f"{name}-fresh", fresh), set()
-        if old is not None:
-            # At most one row per folder.
-            places = _union(split(old, True).select(*folders), written.select(*folders)).distinct()
-            changed = {tuple(row) for row in places.collect()}
-            rest = old
-            for i, folder in enumerate(folders):
-                rest = rest.filter(F.col(folder).isin(sorted({row[i] for row in changed})))
-            rest = split(_only(rest, places, folders), False)
-            written = staging.table(f"{name}-written", _union(rest, written))
-        by = [*folders, *[c for c in (*PR_KEY, "id") if c in written.columns and c not in folders]]
-        laid = written.repartitionByRange(*by).sortWithinPartitions(*by)
+        """Add rows to a fact table, without the landed rows ``out`` and with present names in all others.
+
+        Times of new rows are among those of ``fetched`` or lie in folders of ``out``.
+        """
+        (at, user), old, folders = FACTS[name], self.read(name), _FOLDERS[name]
+
+        def placed(rows: DataFrame) -> DataFrame:
+            month = F.lit(0) if at is None else F.coalesce(month_of(F.col(at)), F.lit(0))
+            return rows.withColumn(MONTH, month.cast("int"))
+
+        if old is None:
+            return self._lay(name, placed(new), set())
+        parts = [placed(fetched).select(*folders), out.select(*folders)]
+        if user is not None and renamed is not None:
+            who = renamed.select("dump_id", F.col("id").alias(f"{user}_id"))
+            parts.append(_only(old, who, ["dump_id", f"{user}_id"]).select(*folders))
+        places = self._places(_union(*parts), folders)
+        rest = _in(old, places, folders)
+        if not out.isEmpty():
+            rest = _only(rest, out, line, "left_anti")
+        self._lay(name, _union(self._renamed(rest, name, renamed), placed(new)), places)
+
+    @staticmethod
+    def _places(rows: DataFrame, folders: Sequence[str]) -> set[tuple]:
+        """Folders of rows; at most one row per folder reaches the driver."""
+        return {tuple(row) for row in rows.select(*folders).distinct().collect()}
+
+    def _lay(self, name: str, rows: DataFrame, places: set[tuple]) -> None:
+        """Write rows in place of the folders ``places`` of a table, in one pass; it may read them.
+
+        Folders are replaced after all rows have been read and written elsewhere.
+        """
+        folders, new = _FOLDERS[name], self.read(name) is None
+        before = {place: set(files.names(self.spark, self._folder(name, place))) for place in places}
+        by = [*folders, *[c for c in (*PR_KEY, "id") if c in rows.columns and c not in folders]]
+        spread = folders
+        if MONTH not in folders or FACTS[name][0] is None:
+            # Few folders, or one: each is written by several tasks, which take whole pull requests or users.
+            tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            share = -(-tasks // (self.slots if SLOT in folders else 1))
+            rows = rows.withColumn("_share", F.pmod(F.hash(*by), F.lit(share)))
+            spread = [*folders, "_share"]
+        laid = rows.hint("rebalance", *[F.col(c) for c in spread]).sortWithinPartitions(*by).drop("_share")
         laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(
             f"{self.path}/{name}"
         )
-        if old is None:
-            written.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_schemas/{name}")
-        if changed:
-            left = {tuple(row) for row in written.select(*folders).distinct().collect()}
-            for values in changed - left:
-                self._remove(name, dict(zip(folders, values)))
-
-    def _remove(self, name: str, folder: dict) -> None:
-        """Delete a folder that has lost its last row."""
+        if new:
+            rows.drop("_share").limit(0).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_schemas/{name}")
+        for place, had in before.items():
+            # Nothing came in its place: it has lost its last row.
+            if had & set(files.names(self.spark, self._folder(name, place))):
+                files.delete(self.spark, self._folder(name, place))
+
+    def _folder(self, name: str, place: tuple) -> str:
         catalog = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-        parts = "/".join(f"{key}={catalog.escapePathName(str(value))}" for key, value in folder.items())
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/{parts}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        parts = [f"{key}={catalog.escapePathName(str(value))}" for key, value in zip(_FOLDERS[name], place)]
+        return "/".join([self.path, name, *parts])

@@ -128,3 +128,30 @@ def test_an_empty_batch_lands_empty_tables(spark, tmp_path):
     first, _ = batches(spark)
     landing.append(first, WINDOW, WINDOW.frame(spark))
     assert landing.tables().pull_requests.count() == 3
+
+
+def part_files(tmp_path, name, month):
+    return sorted(path.name for path in tmp_path.glob(f"{name}/dump_id=d/month={month}/part-*"))
+
+
+def test_a_cut_off_run_is_repeated_and_rows_that_stay_are_not_written_again(spark, tmp_path, monkeypatch):
+    first, second = batches(spark)
+    landing = Landing(spark, str(tmp_path), slots=2)
+    landing.append(first, WINDOW, WINDOW.frame(spark))
+    january, march = (part_files(tmp_path, "reviews", month) for month in (202601, 202603))
+    assert january and march
+
+    def cut_off(*args):
+        raise RuntimeError("cut off")
+
+    monkeypatch.setattr(Landing, "_write_facts", cut_off)
+    with pytest.raises(RuntimeError):
+        landing.append(second, WINDOW, WINDOW.frame(spark))
+    monkeypatch.undo()
+    landing.append(second, WINDOW, WINDOW.frame(spark))
+    # Names of users that the first run had merged reach pull requests which only landed before it.
+    found = {r.number: (r.title, r.user_login) for r in landing.tables().pull_requests.collect()}
+    assert found == {1: ("again", "ann"), 2: ("t", "bobby"), 3: ("t", "ann"), 4: ("t", "bobby")}
+    # Their pull requests were fetched again, but these reviews are as they were.
+    assert part_files(tmp_path, "reviews", 202601) == january
+    assert part_files(tmp_path, "reviews", 202603) == march
