@@ -1,7 +1,10 @@
 """What the registered queries land of the star tables, and how landed tables are joined."""
 
 from conftest import SMALL
+from pyspark.sql import functions as F
 
+from mergelens.operators import interning
+from mergelens.operators.normalize import Normalizer
 from mergelens.plans import star
 from mergelens.plans.queries import QUERIES
 from mergelens.sources.staging import Staging
@@ -51,3 +54,15 @@ def test_batches_read_payloads_that_were_written_once(spark):
         assert not set(one[name].inputFiles()) & set(made.inputFiles()), name
     reviews = one["reviews"].unionByName(two["reviews"])
     assert sorted(map(str, reviews.collect())) == sorted(map(str, star.raw_table(spark, SMALL, "reviews").collect()))
+
+
+def test_users_of_pull_requests_come_from_one_scan(spark, tmp_path):
+    norm = Normalizer(star.MANIFEST)
+    prs = Staging(spark, str(tmp_path / "staged")).table("prs", norm.pull_requests(star.raw_pull_requests(spark, SMALL)))
+    mentions = interning.pr_mentions(prs)
+    assert mentions._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    by_slot = {r.slot: r.n for r in mentions.groupBy("seen_at.slot").agg(F.count("*").alias("n")).collect()}
+    every, merged = prs.count(), prs.filter("merged_by IS NOT NULL").count()
+    assert merged and by_slot == {0: every, 1: every, 2: every, 3: merged, 4: every}
+    owners = mentions.filter("seen_at.slot = 0").select("seen.type").distinct().collect()
+    assert [r.type for r in owners] == ["Organization"]
